@@ -1,0 +1,31 @@
+"""Session helpers."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Point checkpoints at the folder the cluster names.
+
+    ``spark.checkpoint.dir`` is used as it stands. Only a local session that names
+    none gets a folder of its own; a cluster without a shared folder is an error,
+    since a checkpoint on one machine would be lost with it.
+    """
+    context = spark.sparkContext
+    if context.getCheckpointDir():
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+        folder = tempfile.mkdtemp(prefix="epispark-checkpoints-")
+    context.setCheckpointDir(folder)
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the checkpoint folder and continue from the written rows."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
