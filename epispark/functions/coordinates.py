@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+WHITESPACE = " \t\n\r\f\v"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
 
 def methylated_count(coverage: Column, percent: Column) -> Column:
     """Reads that are methylated, rounded half to even."""
@@ -33,13 +42,17 @@ def safe_ratio(part: Column, whole: Column) -> Column:
 
 def normalize_chrom(name: Column) -> Column:
     """One spelling per chromosome: ``chr`` prefix, upper-case X and Y, M for mitochondria."""
-    suffix = F.regexp_replace(F.regexp_replace(name, r"^\s+|\s+$", ""), "(?i)^chr", "")
-    lowered = F.lower(suffix)
-    return F.concat(
-        F.lit("chr"),
-        F.when(lowered.isin("x", "y"), F.upper(suffix))
-        .when(lowered.isin("m", "mt"), F.lit("M"))
-        .otherwise(suffix),
+    trimmed = F.btrim(name, F.lit(WHITESPACE))
+    prefixed = F.lower(F.substring(trimmed, 1, 3)) == "chr"
+    bare = F.when(prefixed, F.substring(trimmed, F.lit(4), F.length(trimmed))).otherwise(trimmed)
+    return let(
+        bare,
+        lambda suffix: F.concat(
+            F.lit("chr"),
+            F.when(F.lower(suffix).isin("x", "y"), F.upper(suffix))
+            .when(F.lower(suffix).isin("m", "mt"), F.lit("M"))
+            .otherwise(suffix),
+        ),
     )
 
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from epispark.functions.coordinates import WHITESPACE, let
 from epispark.params import BASE_ORDER, UNKNOWN_BASE_CODE, UNKNOWN_DINUCLEOTIDE_CODE
 
 # The outcomes of the window check, in the order they are tried.
@@ -37,51 +38,64 @@ def unsupported_count(sequence: Column) -> Column:
 
 def window_status(sequence: Column, window: int, max_unknown_fraction: float) -> Column:
     """First failed check of a window, or ``Valid``."""
-    return (
-        F.when(sequence.isNull(), MISSING)
-        .when(F.length(sequence) != window, BAD_LENGTH)
-        .when(unsupported_count(sequence) > 0, UNSUPPORTED)
-        .when(center_dinucleotide(sequence, window) != "CG", BAD_CENTER)
-        .when(unknown_count(sequence) / F.lit(window) > max_unknown_fraction, TOO_UNKNOWN)
-        .otherwise(VALID)
-    )
+
+    def status(text: Column) -> Column:
+        return (
+            F.when(text.isNull(), MISSING)
+            .when(F.length(text) != window, BAD_LENGTH)
+            .when(unsupported_count(text) > 0, UNSUPPORTED)
+            .when(center_dinucleotide(text, window) != "CG", BAD_CENTER)
+            .when(unknown_count(text) / F.lit(window) > max_unknown_fraction, TOO_UNKNOWN)
+            .otherwise(VALID)
+        )
+
+    # A filter on the status is pushed below the step that cuts the window out; bound
+    # once, the window is not cut again for every test.
+    return let(sequence, status)
 
 
 def clean(sequence: Column) -> Column:
-    return F.upper(F.regexp_replace(sequence, r"^\s+|\s+$", ""))
+    return F.upper(F.btrim(sequence, F.lit(WHITESPACE)))
 
 
 def base_codes(sequence: Column) -> Column:
     """A, C, G, T as 0 to 3 and anything else as 4."""
-    digits = "".join(str(i) for i in range(len(BASE_ORDER)))
-    known = F.regexp_replace(clean(sequence), f"[^{BASE_ORDER}]", str(UNKNOWN_BASE_CODE))
-    return F.split(F.translate(known, BASE_ORDER, digits), "").cast("array<smallint>")
+    place = F.lit(BASE_ORDER)
+    # instr is 0 for an unknown base and 1 to 4 for a known one.
+    return F.transform(
+        F.split(clean(sequence), ""),
+        lambda base: F.pmod(F.instr(place, base) + UNKNOWN_BASE_CODE, F.lit(UNKNOWN_BASE_CODE + 1)).cast(
+            "smallint"
+        ),
+    )
 
 
 def pair_codes(codes: Column) -> Column:
     """Neighbouring base codes as one code: AA is 0, TT is 15, any unknown gives 255."""
-    width = F.size(codes) - 1
     bases = len(BASE_ORDER)
-    return F.zip_with(
-        F.slice(codes, F.lit(1), width),
-        F.slice(codes, F.lit(2), width),
-        lambda a, b: F.when((a >= bases) | (b >= bases), F.lit(UNKNOWN_DINUCLEOTIDE_CODE))
-        .otherwise(a * bases + b)
-        .cast("smallint"),
-    )
+
+    def pair(a: Column, i: Column) -> Column:
+        b = F.get(codes, i + 1)
+        return (
+            F.when((a >= bases) | (b >= bases), UNKNOWN_DINUCLEOTIDE_CODE)
+            .otherwise(a * bases + b)
+            .cast("smallint")
+        )
+
+    return F.transform(F.slice(codes, F.lit(1), F.size(codes) - 1), pair)
 
 
 def dinucleotide_codes(sequence: Column) -> Column:
-    return pair_codes(base_codes(sequence))
+    return let(base_codes(sequence), pair_codes)
 
 
 def one_hot(codes: Column) -> Column:
     """One row per base over the base codes; an unknown base is a zero column."""
 
-    def row(base: int) -> Column:
-        return F.transform(codes, lambda c: (c == base).cast("float"))
+    def row(known: Column, base: int) -> Column:
+        return F.transform(known, lambda c: (c == base).cast("float"))
 
-    return F.array(*[row(base) for base in range(len(BASE_ORDER))])
+    return let(codes, lambda known: F.array(*[row(known, b) for b in range(len(BASE_ORDER))]))
 
 
 def property_matrix(codes: Column, properties: Sequence[Sequence[float]]) -> Column:
@@ -90,14 +104,15 @@ def property_matrix(codes: Column, properties: Sequence[Sequence[float]]) -> Col
     ``properties`` has one row of values per code, so it is a fixed-size literal.
     """
 
-    def row(j: int) -> Column:
+    zero = F.lit(0.0).cast("float")
+
+    def row(codes: Column, j: int) -> Column:
         values = F.array(*[F.lit(float(of_code[j])) for of_code in properties]).cast("array<float>")
-        return F.transform(codes, lambda c: F.coalesce(F.get(values, c), F.lit(0.0).cast("float")))
+        return F.transform(codes, lambda c: F.coalesce(F.get(values, c), zero))
 
-    return F.array(*[row(j) for j in range(len(properties[0]))])
+    return let(codes, lambda known: F.array(*[row(known, j) for j in range(len(properties[0]))]))
 
 
 def is_invalid_window(sequence: Column, window: int) -> Column:
     """Wrong length, or a letter outside A, C, G, T, N."""
-    cleaned = clean(sequence)
-    return (F.length(cleaned) != window) | cleaned.rlike("[^ACGTN]")
+    return (F.length(clean(sequence)) != window) | (count_outside(clean(sequence), "ACGTN") > 0)

@@ -139,13 +139,18 @@ def expected_by_distance(edges: DataFrame) -> DataFrame:
     )
 
 
-def edge_features(edges: DataFrame, nodes: DataFrame, bin_width: int) -> DataFrame:
+def edge_features(
+    edges: DataFrame, nodes: DataFrame, bin_width: int, max_bins: int | None = None
+) -> DataFrame:
     """Four features per edge, plus one neutral self-loop per node.
 
-    The expectation has one row per distance, which the distance cap bounds, so the
-    lookup is a join on a small table; Spark picks broadcast from its measured size.
+    The expectation has one row per distance. With edges capped at ``max_bins`` that is
+    at most ``max_bins + 1`` rows, which are broadcast; joining by the distance itself
+    would send all edges to a few hundred keys, the short distances the heaviest.
     """
     expected = expected_by_distance(edges).select("distance", "expected")
+    if max_bins is not None:
+        expected = F.broadcast(expected)
     distance = F.abs(F.col("src") - F.col("dst"))
     observed = (
         edges.withColumn("distance", distance)

@@ -20,7 +20,8 @@ def with_row_index(df: DataFrame, order_by: list[Column | str], name: str = "row
     A window without partitions would move the table into one task. Here the table is
     range-sorted, each row takes its place inside its task, and the task sizes, one
     row per task, give the offsets. The sorted rows are checkpointed in between:
-    evaluated twice, the sort could cut its ranges differently.
+    evaluated twice, the sort could cut its ranges differently. The sort itself reads
+    its input twice, to sample and to move it, so hand it a stored table.
     """
     slot = F.monotonically_increasing_id()
     ordered = materialise(df.sort(*order_by).withColumn("_slot", slot))

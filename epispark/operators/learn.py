@@ -47,13 +47,14 @@ def kmer_model(width: int = 64, k: int = 3) -> Callable[[], Model]:
 
     def load() -> Model:
         def embed(sequences: list[str]) -> np.ndarray:
-            out = np.zeros((len(sequences), width), dtype=np.float32)
-            powers = 5 ** np.arange(k)
-            for row, text in enumerate(sequences):
-                letters = np.frombuffer(text.encode("ascii"), dtype=np.uint8).astype(np.int64)
-                kmers = np.lib.stride_tricks.sliding_window_view(letters, k) @ powers
-                out[row] = np.bincount(kmers % width, minlength=width) / max(len(kmers), 1)
-            return out
+            if len({len(s) for s in sequences}) > 1:
+                raise ValueError("the windows differ in length")
+            joined = np.frombuffer("".join(sequences).encode("ascii"), dtype=np.uint8)
+            letters = joined.astype(np.int64).reshape(len(sequences), -1)
+            kmers = np.lib.stride_tricks.sliding_window_view(letters, k, axis=1) @ 5 ** np.arange(k)
+            rows = np.arange(len(sequences))[:, None] * width
+            counts = np.bincount((kmers % width + rows).ravel(), minlength=len(sequences) * width)
+            return counts.reshape(len(sequences), width) / kmers.shape[1]
 
         return embed
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from epispark.functions.sequence import clean
 from epispark.functions.vectors import all_finite
 from epispark.operators.audit import require_empty
 from epispark.params import BASE_ORDER, PROPERTY_COUNT
@@ -23,8 +24,7 @@ def _problem(count: int) -> Column:
 
 def check_properties(raw: DataFrame, count: int = PROPERTY_COUNT) -> DataFrame:
     """``row_number, dinucleotide, properties`` with the name cleaned and the first problem found."""
-    trimmed = F.upper(F.regexp_replace("dinucleotide", r"^\s+|\s+$", ""))
-    return raw.withColumn("dinucleotide", trimmed).withColumn("problem", _problem(count))
+    return raw.withColumn("dinucleotide", clean(F.col("dinucleotide"))).withColumn("problem", _problem(count))
 
 
 def last_per_dinucleotide(checked: DataFrame) -> DataFrame:

@@ -21,6 +21,7 @@ from epispark.operators import quality as Q
 from epispark.operators import shards as D
 from epispark.operators import splits as X
 from epispark.params import RRBS_HG19
+from epispark.session import materialise
 from epispark.sources import properties as P
 
 PARAMS = replace(
@@ -98,7 +99,7 @@ class Tables:
     def contigs(self) -> DataFrame:
         return self.table("documents").selectExpr(
             "concat('ctg', doc_id) AS chrom",
-            "translate(upper(regexp_replace(text, '[^acgtxqyACGTXQY]', '')), 'XQ', 'NN') AS seq",
+            "translate(upper(regexp_replace(text, '[^acgtxqyACGTXQY]+', '')), 'XQ', 'NN') AS seq",
         )
 
     @cached_property
@@ -135,11 +136,16 @@ class Tables:
     def valid(self) -> DataFrame:
         return Q.valid_windows(self.windows, PARAMS.window, PARAMS.max_unknown_fraction)
 
+    @cached_property
+    def stored(self) -> DataFrame:
+        """Valid windows written once; what follows reads them more than once."""
+        return materialise(self.valid)
+
     @cached_property
     def rows(self) -> DataFrame:
         """Valid windows with a label and the split of their contig group."""
         number = F.regexp_replace("chrom", "^ctg", "").try_cast("bigint")
-        labelled = self.valid.select(
+        labelled = self.stored.select(
             "chrom",
             "canonical_position",
             "sequence",
@@ -189,8 +195,11 @@ class Tables:
     @cached_property
     def chrom_sizes(self) -> DataFrame:
         """Names in mixed spelling; the lengths follow the largest position."""
-        keyed = self.table("lineitem").groupBy((F.col("l_suppkey") % 25).alias("k"))
-        longest = keyed.agg(F.max("l_partkey").alias("top"))
+        k = F.col("l_suppkey") % 25
+        # The name comes from an aggregate, so tests on it are not pushed to every record.
+        longest = self.table("lineitem").groupBy(k).agg(
+            F.max(k).alias("k"), F.max("l_partkey").alias("top")
+        )
         return longest.selectExpr(
             f"{RAW_NAME} AS raw_name", "9601 + k + CAST(floor(top / 4) AS BIGINT) * 100 AS length"
         )
@@ -211,7 +220,9 @@ class Tables:
 
     @cached_property
     def edge_features(self) -> DataFrame:
-        return H.edge_features(self.kept_edges, self.nodes, PARAMS.bin_width)
+        return H.edge_features(
+            self.kept_edges, self.nodes, PARAMS.bin_width, PARAMS.max_contact_bins
+        )
 
     # -- vectors -------------------------------------------------------------
 
@@ -423,8 +434,7 @@ VIEWS: dict[str, str] = {
         FROM b_base_codes a JOIN b_base_codes b
           ON a.chrom = b.chrom AND a.canonical_position = b.canonical_position AND b.i = a.i + 1""",
     "b_matrix_sums": """
-        SELECT c.chrom, c.canonical_position, p.j AS property_no, round(sum(p.v), 6) AS row_sum,
-               round(sum(p.v * (c.i + 1)), 6) AS weighted_sum
+        SELECT c.chrom, c.canonical_position, p.j AS property_no, round(sum(p.v * (c.i + 1)), 6) AS weighted_sum
         FROM (SELECT c.chrom, c.canonical_position, c.i, c.code FROM b_pair_codes c) c
         JOIN b_props p ON p.code = c.code GROUP BY ALL""",
     "b_bins": """

@@ -143,15 +143,9 @@ def one_hot(t: Tables):
 
 
 def _matrix_sums(rows):
-    indexed = F.transform("row", lambda x, i: x.cast("double") * (i + 1))
-    plain = F.transform("row", lambda x: x.cast("double"))
-
-    def total(values):
-        return F.round(F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x), 6)
-
-    return rows.select(
-        *_SITE, "property_no", total(plain).alias("row_sum"), total(indexed).alias("weighted_sum")
-    )
+    indexed = F.transform("row", lambda x, i: x * (i + 1.0))
+    total = F.aggregate(indexed, F.lit(0.0), lambda acc, x: acc + x)
+    return rows.select(*_SITE, "property_no", F.round(total, 6).alias("weighted_sum"))
 
 
 def _properties(t: Tables):
@@ -240,7 +234,7 @@ _KEYED = "md5(concat_ws('|', chrom, canonical_position, '45'))"
                   row_number() OVER (ORDER BY {_KEYED}, chrom, canonical_position) - 1 AS row_index
            FROM b_labelled""")
 def epoch_shuffle(t: Tables):
-    rows = t.valid.select(*_SITE)
+    rows = t.stored.select(*_SITE)
     keyed = rows.withColumn("shuffle_key", D.epoch_key([F.col(c) for c in _SITE], seed=42, epoch=3))
     return I.with_row_index(keyed, ["shuffle_key", *_SITE])
 
