@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from epispark.functions.coordinates import bin_start
+from epispark.operators.indexing import even_sample_in_row
 
 
 def tile_contigs(contigs: DataFrame, tile_width: int, flank: int) -> DataFrame:
@@ -98,6 +99,24 @@ def cg_sites(tiles: DataFrame, tile_width: int, window: int | None = None) -> Da
     )
 
 
+def sampled_cg_windows(tiles: DataFrame, bin_width: int, window: int, limit: int) -> DataFrame:
+    """At most ``limit`` evenly spaced CGs of every bin, with their windows.
+
+    For tiles as wide as the bins. A tile then is a bin: the scan, the sample and the
+    windows all come from one row, and nothing is shuffled or joined.
+    """
+    hits = tiles.withColumn("_hits", cg_hits(bin_width)).filter(F.size("_hits") > 0)
+    picked = hits.withColumn(
+        "canonical_position", F.explode(even_sample_in_row(F.col("_hits"), limit))
+    )
+    return picked.select(
+        "chrom",
+        F.col("tile_start").alias("bin_start"),
+        "canonical_position",
+        window_of(F.col("canonical_position"), window).alias("sequence"),
+    )
+
+
 def genome_bins(chrom_lengths: DataFrame, bin_width: int) -> DataFrame:
     """Fixed-width bins of every chromosome; an empty chromosome has none."""
     width = F.lit(bin_width).cast("bigint")

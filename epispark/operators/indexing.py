@@ -80,3 +80,17 @@ def even_sample_flag(sites: DataFrame, limit: int) -> DataFrame:
 
 def even_sample(sites: DataFrame, limit: int) -> DataFrame:
     return even_sample_flag(sites, limit).filter("selected").drop("selected")
+
+
+def even_sample_in_row(ordered: Column, limit: int) -> Column:
+    """The same sample from an ordered array that already is one bin: no shuffle."""
+    size = F.size(ordered)
+    if limit == 1:
+        return F.slice(ordered, F.lit(1), F.lit(1))
+    step = (size - 1).cast("double") / F.lit(float(limit - 1))
+    ranks = F.transform(
+        F.sequence(F.lit(0), F.lit(limit - 1)),
+        lambda i: F.when(i == limit - 1, size - 1).otherwise(F.floor(i * step).cast("int")),
+    )
+    picked = F.transform(ranks, lambda rank: F.get(ordered, rank))
+    return F.when(size <= limit, ordered).otherwise(picked)

@@ -110,8 +110,11 @@ def cumulative_counts(rows: DataFrame, slices: int | None = None) -> DataFrame:
         slices = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 10_000)
     steps = [i / slices for i in range(1, slices)]
     cuts = counts.approxQuantile("score", steps, 0.25 / slices) if steps else []
-    splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
-    sliced = Bucketizer(splits=splits, inputCol="score", outputCol="_slice").transform(counts)
+    if cuts:
+        splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
+        sliced = Bucketizer(splits=splits, inputCol="score", outputCol="_slice").transform(counts)
+    else:
+        sliced = counts.withColumn("_slice", F.lit(0.0))
     totals = sliced.groupBy("_slice").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
     totals = totals.withColumn("_order", -F.col("_slice"))
     totals = exclusive_running_sum(totals, "_p", ["_order"], "_pos_above")

@@ -57,13 +57,21 @@ def softmax_mean(rows: DataFrame, key: str, score: Column, vector: Column) -> Da
         .groupBy(key, "_level")
         .agg(F.sum("_weight").alias("_weight"), mean_vector(vector, F.col("_weight")).alias("_mean"))
     )
+    # exp underflows to zero 24 steps below the top, so few sums of a key are left to combine.
     top = F.max("_level").over(Window.partitionBy(key))
     scaled = parts.withColumn("_weight", F.col("_weight") * F.exp((F.col("_level") - top) * F.lit(step)))
-    return (
-        scaled.filter(F.col("_weight") > 0)
-        .groupBy(key)
-        .agg(mean_vector(F.col("_mean"), F.col("_weight")).alias("embedding"))
+    few = scaled.filter(F.col("_weight") > 0).groupBy(key).agg(
+        F.sum("_weight").alias("_total"),
+        F.collect_list(F.struct("_weight", "_mean")).alias("_parts"),
     )
+    first = F.get("_parts", F.lit(0))["_mean"]
+
+    def add(acc: Column, part: Column) -> Column:
+        share = part["_weight"] / F.col("_total")
+        return F.zip_with(acc, part["_mean"], lambda a, m: a + m * share)
+
+    summed = F.aggregate("_parts", F.array_repeat(F.lit(0.0), F.size(first)), add)
+    return few.select(key, F.when(F.size("_parts") == 1, first).otherwise(summed).alias("embedding"))
 
 
 def softmax_pool(tokens: DataFrame, key: str = "seq_id", score: str = "score") -> DataFrame:

@@ -45,6 +45,13 @@ def shard_manifest(rows: DataFrame, codes: str, shard_size: int, name: str) -> D
     )
 
 
+def extraction_summary(manifest: DataFrame) -> DataFrame:
+    """Rows and shards of every split."""
+    return manifest.groupBy("split").agg(
+        F.sum("row_count").alias("total_rows"), F.count("*").alias("shard_count")
+    )
+
+
 def shard_offsets(manifest: DataFrame) -> DataFrame:
     """Rows of the split before each shard.
 

@@ -108,6 +108,14 @@ def even_sample(t: Tables):
     return sampled.select("chrom", "bin_start", "canonical_position")
 
 
+@query(f"""SELECT s.chrom, s.bin_start, s.canonical_position, w.sequence
+           FROM ({_SELECTED}) s JOIN b_windows w
+             ON s.chrom = w.chrom AND s.canonical_position = w.canonical_position WHERE selected""")
+def sampled_windows(t: Tables):
+    tiles = G.tile_contigs(t.contigs, PARAMS.bin_width, PARAMS.center)
+    return G.sampled_cg_windows(tiles, PARAMS.bin_width, PARAMS.window, PARAMS.max_sampled_sites)
+
+
 @query(f"""
     WITH s AS (SELECT chrom, count(*) AS source_count, count(*) FILTER (selected) AS selected_count,
                       count(DISTINCT bin_start) AS node_count FROM ({_SELECTED}) q GROUP BY chrom)
