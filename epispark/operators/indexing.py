@@ -14,43 +14,37 @@ def exclusive_running_sum(df: DataFrame, value: str, order_by: list[str], name:
     return df.withColumn(name, F.coalesce(F.sum(value).over(before), F.lit(0)).cast("bigint"))
 
 
-def with_row_index(df: DataFrame, order_by: list[Column | str], name: str = "row_index") -> DataFrame:
+def with_row_index(
+    df: DataFrame, order_by: list[Column | str], name: str = "row_index", group: str | None = None
+) -> DataFrame:
     """0-based position of every row in the order ``order_by`` (which must be total).
 
-    A window without partitions would move the table into one task. Here the table is
-    range-sorted, each row takes its place inside its task, and the task sizes, one
-    row per task, give the offsets. The sorted rows are checkpointed in between:
-    evaluated twice, the sort could cut its ranges differently. The sort itself reads
-    its input twice, to sample and to move it, so hand it a stored table.
+    With ``group`` the positions start anew in each of a few large groups, such as the
+    splits. A window would move a whole group into one task. Here the table is
+    range-sorted, group first, so a group of any size is spread over many tasks; each
+    row takes its place inside its task, and one row per task and group gives the
+    offsets. That small table is bounded by tasks plus groups, since a group that spans
+    tasks is contiguous, and is broadcast.
+
+    The sorted rows are checkpointed in between: evaluated twice, the sort could cut its
+    ranges differently. The sort itself reads its input twice, to sample and to move it,
+    so hand it a stored table.
     """
+    keys = [group] if group else []
     slot = F.monotonically_increasing_id()
-    ordered = materialise(df.sort(*order_by).withColumn("_slot", slot))
+    ordered = materialise(df.sort(*keys, *order_by).withColumn("_slot", slot))
     task = F.shiftright("_slot", 33)
-    place = F.col("_slot").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = ordered.groupBy(task.alias("_task")).agg(F.count("*").alias("_size"))
-    offsets = exclusive_running_sum(sizes, "_size", ["_task"], "_offset").select("_task", "_offset")
-    return (
-        ordered.withColumn("_task", task)
-        .join(F.broadcast(offsets), "_task")
-        .withColumn(name, F.col("_offset") + place)
-        .drop("_task", "_offset", "_slot")
+    runs = ordered.groupBy(*keys, task.alias("_task")).agg(
+        F.count("*").alias("_size"), F.min("_slot").alias("_first")
     )
-
-
-def with_group_index(
-    df: DataFrame, group: str, order_by: list[Column | str], name: str = "row_index"
-) -> DataFrame:
-    """0-based position inside each of a few large groups, such as the splits.
-
-    Sorting by group first keeps the groups contiguous, so a group of any size is
-    spread over many tasks and its first index is all that has to be subtracted.
-    """
-    indexed = with_row_index(df, [group, *order_by], "_global")
-    first = indexed.groupBy(group).agg(F.min("_global").alias("_first"))
+    before = Window.partitionBy(*keys).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum("_size").over(before), F.lit(0)).cast("bigint")
+    offsets = runs.select(*keys, "_task", (offset - F.col("_first")).alias("_shift"))
     return (
-        indexed.join(first, group)
-        .withColumn(name, F.col("_global") - F.col("_first"))
-        .drop("_global", "_first")
+        ordered.withColumn("_task", task)
+        .join(F.broadcast(offsets), [*keys, "_task"])
+        .withColumn(name, F.col("_slot") + F.col("_shift"))
+        .drop("_task", "_shift", "_slot")
     )
 
 

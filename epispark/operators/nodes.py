@@ -134,12 +134,30 @@ def full_features(with_extra: DataFrame) -> DataFrame:
     return with_extra.withColumn("features", F.concat("embedding", "extra"))
 
 
-def site_to_node(sites: DataFrame, nodes: DataFrame, bin_width: int) -> DataFrame:
-    """Add the node of every site; a site outside all bins keeps a NULL node."""
+def join_nodes(sites: DataFrame, nodes: DataFrame, bin_width: int) -> DataFrame:
+    """Add the node of every site by its bin, for any numbering; NULL outside all bins."""
     lookup = nodes.select(*BIN_KEY, "node_index")
     return with_bin(sites, bin_width).join(lookup, list(BIN_KEY), "left")
 
 
+def site_to_node(sites: DataFrame, offsets: DataFrame, bin_width: int) -> DataFrame:
+    """Add the node of every site, for nodes numbered bin by bin; NULL outside all bins.
+
+    The number of a bin is then its chromosome's first node plus its place, so the
+    lookup needs one row per chromosome (broadcast) and the sites stay where they are.
+    """
+    first = offsets.select("chrom", "node_offset", "chrom_length")
+    start = F.col("bin_start")
+    inside = (start >= 0) & (start < F.col("chrom_length"))
+    node = F.col("node_offset") + F.floor(start / F.lit(bin_width))
+    return (
+        with_bin(sites, bin_width)
+        .join(F.broadcast(first), "chrom", "left")
+        .withColumn("node_index", F.when(inside, node))
+        .drop("node_offset", "chrom_length")
+    )
+
+
 def unmapped_sites(linked: DataFrame) -> DataFrame:
     return linked.filter(F.col("node_index").isNull())
 

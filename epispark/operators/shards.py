@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from epispark.functions import sequence as S
 from epispark.operators.calls import SITE_KEY
-from epispark.operators.indexing import with_group_index, with_row_index
+from epispark.operators.indexing import with_row_index
 
 
 def encode_windows(windows: DataFrame) -> DataFrame:
@@ -19,12 +19,12 @@ def encode_windows(windows: DataFrame) -> DataFrame:
 
 def assign_shards(rows: DataFrame, shard_size: int) -> DataFrame:
     """Add ``shard_index``: rows of a split in genome order, ``shard_size`` to a shard."""
-    indexed = with_group_index(rows, "split", list(SITE_KEY))
+    indexed = with_row_index(rows, list(SITE_KEY), group="split")
     return indexed.withColumn("shard_index", F.floor(F.col("row_index") / F.lit(shard_size)))
 
 
 def shard_manifest(rows: DataFrame, codes: str, shard_size: int, name: str) -> DataFrame:
-    """One row per shard, with the totals of its split."""
+    """One row per shard, with the totals of its split (three rows, broadcast)."""
     shards = rows.groupBy("split", "shard_index").agg(
         F.count("*").alias("row_count"), F.max(F.size(codes)).alias("codes_width")
     )
@@ -32,7 +32,7 @@ def shard_manifest(rows: DataFrame, codes: str, shard_size: int, name: str) -> D
         F.sum("row_count").alias("total_rows"), F.count("*").alias("shard_count")
     )
     file = F.format_string(f"split=%s/shard_index=%d/{name}", F.col("split"), F.col("shard_index"))
-    return shards.join(totals, "split").select(
+    return shards.join(F.broadcast(totals), "split").select(
         "split",
         "shard_index",
         file.alias("file"),

@@ -16,11 +16,13 @@ def greedy_split(
     counts: DataFrame,
     group: str = "chrom",
     fractions: tuple[tuple[str, float], ...] = SPLIT_FRACTIONS,
+    max_groups: int = 10_000,
 ) -> DataFrame:
     """Give each chromosome, largest first, to the split that lacks most rows.
 
     A fold over the list of chromosomes. There is one entry per chromosome kept
-    (23), not per site, so the list is short whatever the number of sites.
+    (23), not per site, so the list is short whatever the number of sites; more than
+    ``max_groups`` entries are an error.
     """
     names = [name for name, _ in fractions]
     total = F.aggregate("ordered", F.lit(0).cast("bigint"), lambda acc, x: acc + x["site_count"])
@@ -57,7 +59,13 @@ def greedy_split(
         F.array().cast(f"array<struct<{group}:string,split:string>>").alias("given"),
     )
     folded = F.aggregate("ordered", start, step, lambda acc: acc["given"])
-    return ordered.withColumn("total", total).select(F.inline(folded))
+    size = F.size("ordered")
+    few = F.when(size <= max_groups, F.col("ordered")).otherwise(
+        F.raise_error(F.lit(f"more than {max_groups} groups to split")).cast(ordered.schema["ordered"].dataType)
+    )
+    return (
+        ordered.withColumn("ordered", few).withColumn("total", total).select(F.inline(folded))
+    )
 
 
 def assign_splits(sites: DataFrame, split_map: DataFrame, group: str = "chrom") -> DataFrame:

@@ -46,7 +46,7 @@ def check_alignment(
     """Fail unless both sets hold the same labelled sites, linked to the right nodes."""
     key = ["chrom", "canonical_position"]
     first = shards.select(*key, "label").join(site_nodes.select(*key, "node_index"), key, "left")
-    computed = N.site_to_node(shards.select(*key), nodes, params.bin_width)
+    computed = N.join_nodes(shards.select(*key), nodes, params.bin_width)
     compared = audit.alignment(first, other.select(*key, "label"), computed)
     audit.require_empty(compared.filter(F.col("outcome") != "aligned"), "the sets are not aligned")
 

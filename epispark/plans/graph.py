@@ -112,7 +112,7 @@ def build_node_features(nodes: DataFrame, pooled: DataFrame, params: Params, pat
 
 def link_sites(sites: DataFrame, nodes: DataFrame, params: Params, path: str) -> DataFrame:
     """Write and return the node of every site; a site without one is an error."""
-    linked = N.site_to_node(sites, nodes, params.bin_width).select(
+    linked = N.site_to_node(sites, H.chrom_offsets(nodes), params.bin_width).select(
         "split", "chrom", "canonical_position", "node_index"
     )
     linked.write.mode("overwrite").partitionBy("split").parquet(f"{path}/site_nodes")

@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from epispark.functions.coordinates import bin_start, natural_chrom_key
-from epispark.operators import audit, calls as C, nodes as N, splits as X
+from epispark.operators import audit, calls as C, graph as H, nodes as N, splits as X
 from epispark.params import RRBS_HG19
 from epispark.workloads.bindings import PARAMS, Tables
 from epispark.workloads.registry import Registry
@@ -231,7 +231,7 @@ def pos_weight(t: Tables):
           FROM b_consensus c LEFT JOIN b_nodes n
             ON c.chrom = n.chrom AND n.bin_start = (c.canonical_position - 1) // 100 * 100""")
 def site_to_node(t: Tables):
-    linked = N.site_to_node(t.consensus, t.nodes, PARAMS.bin_width)
+    linked = N.site_to_node(t.consensus, H.chrom_offsets(t.nodes), PARAMS.bin_width)
     return linked.select("chrom", "canonical_position", "node_index")
 
 
@@ -239,7 +239,7 @@ def site_to_node(t: Tables):
           WHERE NOT EXISTS (SELECT 1 FROM b_nodes n WHERE c.chrom = n.chrom
                             AND n.bin_start = CAST(floor((c.canonical_position - 1) / 100.0) * 100 AS BIGINT))""")
 def unmapped_sites(t: Tables):
-    linked = N.site_to_node(t.consensus, t.nodes, PARAMS.bin_width)
+    linked = N.join_nodes(t.consensus, t.nodes, PARAMS.bin_width)
     return N.unmapped_sites(linked).select("chrom", "canonical_position")
 
 

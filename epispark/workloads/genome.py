@@ -284,7 +284,7 @@ def feature_alignment(t: Tables):
         "label", F.when(F.col("kind") == 3, 1 - F.col("label")).otherwise(F.col("label"))
     )
     bins = G.genome_bins(t.contig_lengths, PARAMS.bin_width).withColumn("node_index", F.col("bin_start"))
-    nodes = N.site_to_node(rows.select(*_SITE), bins, PARAMS.bin_width)
+    nodes = N.join_nodes(rows.select(*_SITE), bins, PARAMS.bin_width)
     return audit.alignment(first, second, nodes)
 
 

@@ -201,7 +201,7 @@ def test_row_index_follows_the_order(spark):
 
 def test_group_index_restarts(spark):
     rows = spark.range(100).select((F.col("id") % 3).cast("string").alias("g"), "id")
-    found = values(I.with_group_index(rows, "g", ["id"]), "g", "id", "row_index")
+    found = values(I.with_row_index(rows, ["id"], group="g"), "g", "id", "row_index")
     assert all(index == id_ // 3 for _, id_, index in found)
 
 
