@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from epispark.functions.coordinates import normalize_chrom
 from epispark.operators import audit
 from epispark.operators import genome as G
 from epispark.operators import graph as H
@@ -28,8 +29,8 @@ class Graph:
 def build_graph(sizes: DataFrame, contacts: DataFrame, params: Params, path: str) -> Graph:
     """Write ``nodes`` and ``edges``.
 
-    ``sizes`` has ``raw_name, length``; ``contacts`` has ``chrom, bin_x, bin_y, count``
-    with chromosome names as in ``nodes``.
+    ``sizes`` has ``raw_name, length``; ``contacts`` has ``chrom, bin_x, bin_y, count``,
+    the chromosome in any of the usual spellings.
     """
     spark = sizes.sparkSession
     named = H.normalize_chrom_sizes(sizes, params.chroms)
@@ -39,7 +40,8 @@ def build_graph(sizes: DataFrame, contacts: DataFrame, params: Params, path: str
     nodes = spark.read.parquet(f"{path}/nodes")
     audit.require_empty(audit.duplicate_keys(nodes, N.BIN_KEY), "bins are listed twice")
 
-    usable = H.near_contacts(H.finite_contacts(contacts), params.max_contact_bins)
+    named_contacts = contacts.withColumn("chrom", normalize_chrom(F.col("chrom")))
+    usable = H.near_contacts(H.finite_contacts(named_contacts), params.max_contact_bins)
     if usable.isEmpty():
         raise ValueError("no usable contact on any chromosome")
     adjacency = H.symmetric_edges(usable, H.chrom_offsets(nodes), params.drop_diagonal)

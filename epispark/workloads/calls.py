@@ -236,10 +236,12 @@ def site_to_node(t: Tables):
 
 
 @query("""SELECT c.chrom, c.canonical_position FROM b_consensus c
-          WHERE NOT EXISTS (SELECT 1 FROM b_nodes n WHERE c.chrom = n.chrom
-                            AND n.bin_start = CAST(floor((c.canonical_position - 1) / 100.0) * 100 AS BIGINT))""")
+          WHERE NOT EXISTS (SELECT 1 FROM b_nodes n JOIN b_sample_counts s USING (chrom, bin_start)
+                            WHERE c.chrom = n.chrom AND n.bin_start = (c.canonical_position - 1) // 100 * 100)""")
 def unmapped_sites(t: Tables):
-    linked = N.join_nodes(t.consensus, t.nodes, PARAMS.bin_width)
+    """Sites outside the nodes that have an embedding."""
+    embedded = t.nodes.join(t.pooled.select("chrom", "bin_start"), ["chrom", "bin_start"], "left_semi")
+    linked = N.join_nodes(t.consensus, embedded, PARAMS.bin_width)
     return N.unmapped_sites(linked).select("chrom", "canonical_position")
 
 

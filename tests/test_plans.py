@@ -62,7 +62,7 @@ def test_flows(spark, tmp_path, genome, calls, name):
 
     sizes = spark.createDataFrame([("1", 4000), ("CHR2", 1050), (" x", 700), ("MT", 99)], "raw_name string, length bigint")
     rng = np.random.default_rng(9)
-    pairs = [(c, int(a), int(min(a + d, n - 1)), float(w)) for c, n in zip(CHROMS, (40, 11, 7))
+    pairs = [(c, int(a), int(min(a + d, n - 1)), float(w)) for c, n in zip(("1", "chr2", "x"), (40, 11, 7))
              for a, d, w in zip(rng.integers(0, n, 200), rng.integers(0, 15, 200), rng.integers(1, 50, 200))]
     contacts = spark.createDataFrame(pairs, "chrom string, bin_x bigint, bin_y bigint, count double")
     net = graph.build_graph(sizes, contacts, params, path)
