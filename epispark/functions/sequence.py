@@ -98,19 +98,47 @@ def one_hot(codes: Column) -> Column:
     return let(codes, lambda known: F.array(*[row(known, b) for b in range(len(BASE_ORDER))]))
 
 
-def property_matrix(codes: Column, properties: Sequence[Sequence[float]]) -> Column:
+def property_matrix(codes: Column, properties: Sequence[Sequence[float] | None]) -> Column:
     """One row per property over the pair codes; an unknown pair is a zero column.
 
-    ``properties`` has one row of values per code, so it is a fixed-size literal.
+    ``properties`` has one row of values per code, so it is a fixed-size literal. A
+    pair whose row is None counts as unknown.
     """
-
     zero = F.lit(0.0).cast("float")
+    width = next(len(of_code) for of_code in properties if of_code is not None)
 
     def row(codes: Column, j: int) -> Column:
-        values = F.array(*[F.lit(float(of_code[j])) for of_code in properties]).cast("array<float>")
+        listed = [F.lit(0.0 if of_code is None else float(of_code[j])) for of_code in properties]
+        values = F.array(*listed).cast("array<float>")
         return F.transform(codes, lambda c: F.coalesce(F.get(values, c), zero))
 
-    return let(codes, lambda known: F.array(*[row(known, j) for j in range(len(properties[0]))]))
+    return let(codes, lambda known: F.array(*[row(known, j) for j in range(width)]))
+
+
+def checked_codes(
+    sequence: Column,
+    window: int,
+    properties: Sequence[Sequence[float] | None],
+    unknown_strategy: str = "zero",
+) -> Column:
+    """Pair codes of a window; a wrong length or letter fails the query.
+
+    With ``unknown_strategy="error"`` a pair of known bases that the table lacks fails it
+    too; a pair with an N is always allowed.
+    """
+    if unknown_strategy not in ("zero", "error"):
+        raise ValueError("unknown_strategy must be 'zero' or 'error'")
+    invalid = F.concat(F.lit("invalid window: "), sequence)
+    codes = dinucleotide_codes(sequence)
+    kind = "array<smallint>"
+    lacking = [code for code, of_code in enumerate(properties) if of_code is None]
+    if unknown_strategy == "error" and lacking:
+        unlisted = F.raise_error(F.concat(F.lit("a pair has no properties: "), sequence)).cast(kind)
+        codes = let(
+            codes,
+            lambda known: F.when(F.exists(known, lambda c: c.isin(*lacking)), unlisted).otherwise(known),
+        )
+    return F.when(is_invalid_window(sequence, window), F.raise_error(invalid).cast(kind)).otherwise(codes)
 
 
 def is_invalid_window(sequence: Column, window: int) -> Column:

@@ -12,34 +12,49 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-Model = Callable[[list[str]], np.ndarray]
+Model = Callable[[list], np.ndarray]
 
 _loaded: dict[str, Model] = {}
 
 
-def embed_windows(windows: DataFrame, name: str, load: Callable[[], Model], width: int) -> DataFrame:
-    """Add ``embedding``, computed by a user's model from ``sequence``.
+def _apply_model(
+    rows: DataFrame, column: str, field: T.StructField, name: str, load: Callable[[], Model], shape: tuple
+) -> DataFrame:
+    """Add ``field``, computed batch by batch by a user's model from ``column``.
 
-    ``load`` builds the model; it runs once per Python worker and the model is kept
-    under ``name``. Filter the windows before: each row costs a model call.
+    ``load`` builds the model; it runs once per Python worker, which keeps the model
+    under ``name``.
     """
-    schema = T.StructType([*windows.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))])
+    schema = T.StructType([*rows.schema.fields, field])
 
-    def embed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from epispark.operators import learn
 
         if name not in learn._loaded:
             learn._loaded[name] = load()
         model = learn._loaded[name]
         for batch in batches:
-            vectors = np.asarray(model(batch["sequence"].tolist()), dtype=np.float32)
-            if vectors.shape != (len(batch), width):
-                raise ValueError(f"the model returned shape {vectors.shape}")
-            if not np.isfinite(vectors).all():
+            if not len(batch):
+                continue
+            result = np.asarray(model(batch[column].tolist()))
+            if result.shape != (len(batch), *shape):
+                raise ValueError(f"the model returned shape {result.shape}")
+            if not np.isfinite(result).all():
                 raise ValueError("the model returned a non-finite value")
-            yield batch.assign(embedding=list(vectors))
+            yield batch.assign(**{field.name: list(result)})
+
+    return rows.mapInPandas(run, schema)
+
+
+def embed_windows(windows: DataFrame, name: str, load: Callable[[], Model], width: int) -> DataFrame:
+    """Add ``embedding``, computed from ``sequence``. Filter before: each row costs a model call."""
+    field = T.StructField("embedding", T.ArrayType(T.FloatType()))
+    return _apply_model(windows, "sequence", field, name, load, (width,))
+
 
-    return windows.mapInPandas(embed, schema)
+def score_rows(rows: DataFrame, name: str, load: Callable[[], Model]) -> DataFrame:
+    """Add ``score``, the probability a user's model gives to ``features``."""
+    return _apply_model(rows, "features", T.StructField("score", T.DoubleType()), name, load, ())
 
 
 def kmer_model(width: int = 64, k: int = 3) -> Callable[[], Model]:

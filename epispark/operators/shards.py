@@ -93,6 +93,16 @@ def epoch_shuffle(rows: DataFrame, key: list[str], seed: int, epoch: int) -> Dat
     return keyed.orderBy("shuffle_key", *key)
 
 
+def shard_order(manifest: DataFrame, seed: int, epoch: int, workers: int = 1) -> DataFrame:
+    """Order in which the shards of a split are read in an epoch, dealt out to workers."""
+    key = epoch_key([F.col("split"), F.col("shard_index")], seed, epoch)
+    placed = with_row_index(
+        manifest.withColumn("_key", key), ["_key", "shard_index"], name="place", group="split"
+    )
+    worker = F.pmod(F.col("place"), F.lit(workers).cast("bigint"))
+    return placed.drop("_key").withColumn("worker", worker)
+
+
 def pack_batches(
     rows: DataFrame, order_by: list[Column | str], fields: list[str], batch_size: int, workers: int = 1
 ) -> DataFrame:

@@ -35,6 +35,7 @@ class Params:
     shard_size: int = 50_000
     batch_size: int = 1_024
     embedding_width: int = 768
+    extra_node_features: bool = True
     decision_threshold: float = 0.5
     patience: int = 20
     min_delta: float = 1e-5

@@ -103,7 +103,10 @@ def build_node_features(nodes: DataFrame, pooled: DataFrame, params: Params, pat
     """Write and return ``node_features``: one full vector per node."""
     audit.require_empty(audit.duplicate_keys(pooled, N.BIN_KEY), "bins are embedded twice")
     covered = N.node_features(nodes, pooled, params.embedding_width)
-    full = N.full_features(N.extra_features(covered, params.chroms))
+    if params.extra_node_features:
+        full = N.full_features(N.extra_features(covered, params.chroms))
+    else:
+        full = covered.withColumnRenamed("embedding", "features")
     kept = full.select("node_index", *N.BIN_KEY, "covered", "sample_count", "features")
     kept.write.mode("overwrite").parquet(f"{path}/node_features")
     written = nodes.sparkSession.read.parquet(f"{path}/node_features")

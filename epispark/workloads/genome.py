@@ -162,7 +162,9 @@ def _properties(t: Tables):
 
 @query("SELECT * FROM b_matrix_sums")
 def property_matrix(t: Tables):
-    matrix = S.property_matrix(S.dinucleotide_codes(F.col("sequence")), _properties(t))
+    properties = _properties(t)
+    codes = S.checked_codes(F.col("sequence"), PARAMS.window, properties, "error")
+    matrix = S.property_matrix(codes, properties)
     return _matrix_sums(t.valid.select(*_SITE, F.posexplode(matrix).alias("property_no", "row")))
 
 
@@ -235,6 +237,18 @@ def manifest_explode(t: Tables):
     return D.explode_manifest(files.parse_manifests(nested))
 
 
+_SHARD_KEY = "md5(concat_ws('|', split, shard_index, '45'))"
+
+
+@query(f"""SELECT split, shard_index, i AS place, i % 4 AS worker FROM (
+             SELECT split, shard_index,
+                    row_number() OVER (PARTITION BY split ORDER BY {_SHARD_KEY}, shard_index) - 1 AS i
+             FROM b_shards) s""")
+def worker_shards(t: Tables):
+    ordered = D.shard_order(_manifest(t, "pair_codes"), seed=42, epoch=3, workers=4)
+    return ordered.select("split", "shard_index", "place", "worker")
+
+
 _KEYED = "md5(concat_ws('|', chrom, canonical_position, '45'))"
 
 

@@ -169,6 +169,27 @@ def test_property_matrix_has_zero_for_unknown(spark):
     assert one(spark, matrix) == [[1.0, 0.0, 0.0], [10.0, 0.0, 0.0]]
 
 
+def test_checked_codes(spark):
+    whole = [[float(i)] for i in range(16)]
+    lacking = [None if i == 1 else row for i, row in enumerate(whole)]
+    rows = spark.createDataFrame([("ACNT",)], "sequence string")
+
+    def matrix(properties, window=4, strategy="zero", data=rows):
+        codes = S.checked_codes(F.col("sequence"), window, properties, strategy)
+        return data.select(S.property_matrix(codes, properties).alias("m")).first()["m"]
+
+    assert matrix(whole, strategy="error") == [[1.0, 0.0, 0.0]]
+    assert matrix(lacking) == [[0.0, 0.0, 0.0]]
+    with pytest.raises(Exception, match="no properties"):
+        matrix(lacking, strategy="error")
+    with pytest.raises(Exception, match="invalid window"):
+        matrix(whole, window=5)
+    with pytest.raises(Exception, match="invalid window"):
+        matrix(whole, data=spark.createDataFrame([("ACYT",)], "sequence string"))
+    with pytest.raises(ValueError):
+        matrix(whole, strategy="skip")
+
+
 # -- splits ------------------------------------------------------------------
 
 

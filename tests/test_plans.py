@@ -79,6 +79,8 @@ def test_flows(spark, tmp_path, genome, calls, name):
     assert again.count() == before
     full = graph.build_node_features(net.nodes, pooled, params, path)
     assert audit.wrong_width(full, "features", 8 + len(CHROMS) + 2).count() == 0
+    plain = graph.build_node_features(net.nodes, pooled, replace(params, extra_node_features=False), path + "/plain")
+    assert audit.wrong_width(plain, "features", 8).count() == 0
     linked = graph.link_sites(made.sites, net.nodes, params, path)
     assert linked.count() == made.sites.count()
 
@@ -137,6 +139,12 @@ def test_embedding_model_is_checked(spark):
         learn.embed_windows(rows, "nan", lambda: lambda s: np.full((len(s), 8), np.nan), 8).collect()
 
 
+def test_scores_of_a_user_model(spark):
+    rows = spark.createDataFrame([([0.25, 0.5],), ([0.0, 1.0],)], "features array<double>")
+    scored = learn.score_rows(rows, "mean", lambda: lambda x: np.array([np.mean(v) for v in x]))
+    assert sorted(r["score"] for r in scored.collect()) == [0.375, 0.5]
+
+
 def test_shards_keep_every_row_of_a_hot_split(spark):
     rows = spark.range(5000).select(
         F.lit("train").alias("split"), F.lit("chr1").alias("chrom"), F.col("id").alias("canonical_position")
