@@ -79,11 +79,32 @@ def softmax_pool(tokens: DataFrame, key: str = "seq_id", score: str = "score") -
     return softmax_mean(tokens, key, F.col(score), F.col("embedding"))
 
 
+def edge_softmax(edges: DataFrame, score: str) -> DataFrame:
+    """Add ``attention``: the softmax of the score over the edges into one target.
+
+    A target has at most one edge per bin inside the distance cap and its self-loop, so
+    the window is bounded by the cap; it runs on the bare edges, before any vector is
+    attached to them.
+    """
+    target = Window.partitionBy("dst")
+    value = F.col(score).cast("double")
+    weight = F.exp(value - F.max(value).over(target))
+    weighted = edges.withColumn("_weight", weight)
+    return weighted.withColumn(
+        "attention", F.col("_weight") / F.sum("_weight").over(target)
+    ).drop("_weight")
+
+
 def neighbour_aggregate(edges: DataFrame, features: DataFrame, score: str) -> DataFrame:
     """Mean of the neighbours' vectors at every target, weighted by the edges' softmax."""
     sources = features.select(F.col("node_index").alias("src"), F.col("features").alias("_vector"))
-    messages = edges.join(sources, "src")
-    return softmax_mean(messages, "dst", F.col(score).cast("double"), F.col("_vector"))
+    messages = edge_softmax(edges, score).select("src", "dst", "attention").join(sources, "src")
+    # A weight that underflows to zero adds nothing, and its row need not be moved.
+    return (
+        messages.filter(F.col("attention") > 0)
+        .groupBy("dst")
+        .agg(mean_vector(F.col("_vector"), F.col("attention")).alias("embedding"))
+    )
 
 
 def node_features(nodes: DataFrame, pooled: DataFrame, width: int) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +47,26 @@ def shard_manifest(rows: DataFrame, codes: str, shard_size: int, name: str) -> D
     )
 
 
+def expand_samples(
+    rows: DataFrame, site_nodes: DataFrame, properties: Sequence[Sequence[float] | None]
+) -> DataFrame:
+    """Training samples from coded rows: both matrices, the node and the label of each site.
+
+    Codes are an order of magnitude smaller than the matrices, so the node is joined
+    first and the matrices are made last, where they are read.
+    """
+    linked = rows.join(site_nodes.select(*SITE_KEY, "node_index"), list(SITE_KEY))
+    return linked.select(
+        "split",
+        "shard_index",
+        *SITE_KEY,
+        "node_index",
+        "label",
+        S.one_hot(F.col("base_codes")).alias("one_hot"),
+        S.property_matrix(F.col("pair_codes"), properties).alias("properties"),
+    )
+
+
 def extraction_summary(manifest: DataFrame) -> DataFrame:
     """Rows and shards of every split."""
     return manifest.groupBy("split").agg(

@@ -91,6 +91,15 @@ def test_flows(spark, tmp_path, genome, calls, name):
     }
     features.check_alignment(shards.rows, shards.rows, linked, net.nodes, params)
     features.check_layout(shards.manifest, shards.manifest, params)
+    table = [[float(code + j) for j in range(12)] for code in range(16)]
+    sample = D.expand_samples(shards.rows, linked, table)
+    assert sample.count() == made.sites.count()
+    first = sample.first()
+    text = genome[first["chrom"]][first["canonical_position"] - 11 : first["canonical_position"] + 10]
+    assert first["node_index"] is not None
+    assert [[int(b == base) for b in text] for base in "ACGT"] == first["one_hot"]
+    pairs = ["ACGT".find(a) * 4 + "ACGT".find(b) if "N" not in a + b else None for a, b in zip(text, text[1:])]
+    assert [[0.0 if c is None else c + j for c in pairs] for j in range(12)] == first["properties"]
     wrong = shards.rows.withColumn("label", 1 - F.col("label"))
     with pytest.raises(ValueError, match="not aligned"):
         features.check_alignment(shards.rows, wrong, linked, net.nodes, params)
