@@ -14,7 +14,13 @@ SITE_KEY = ("chrom", "canonical_position")
 
 
 def keep_chroms(df: DataFrame, chroms: Iterable[str]) -> DataFrame:
-    return df.filter(F.col("chrom").isin(*chroms))
+    """Rows on the listed chromosomes.
+
+    The null test is implied, but a later join on ``chrom`` would add it on its side only;
+    with it here, both uses of the sites keep the same plan and share one shuffle.
+    """
+    chrom = F.col("chrom")
+    return df.filter(chrom.isNotNull() & chrom.isin(*chroms))
 
 
 def add_read_counts(calls: DataFrame) -> DataFrame:

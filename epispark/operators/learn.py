@@ -28,11 +28,13 @@ def _apply_model(
     schema = T.StructType([*rows.schema.fields, field])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from epispark.operators import learn
-
-        if name not in learn._loaded:
-            learn._loaded[name] = load()
-        model = learn._loaded[name]
+        try:
+            from epispark.operators.learn import _loaded as kept
+        except ImportError:
+            kept = {}  # the package was not shipped to the workers: load once per task
+        if name not in kept:
+            kept[name] = load()
+        model = kept[name]
         for batch in batches:
             if not len(batch):
                 continue

@@ -295,13 +295,13 @@ class Tables:
         )
 
 
-def digest(vector: str) -> list[Column]:
+def digest(vector: str, places: int = 6) -> list[Column]:
     """A vector as its width and two weighted sums, to compare without printing it."""
     indexed = F.transform(vector, lambda x, i: x.cast("double") * (i + 1))
     squares = F.transform(vector, lambda x: x.cast("double") * x.cast("double"))
 
     def total(values: Column) -> Column:
-        return F.round(F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x), 6)
+        return F.round(F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x), places)
 
     return [
         F.size(vector).alias("width"),

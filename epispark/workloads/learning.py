@@ -117,13 +117,22 @@ def weighted_classifier(t: Tables):
     return learn.score(model, rows).select("vec_id", "label", F.round("score", 6).alias("score"))
 
 
-@query()
+@query("""
+    WITH k AS (
+      SELECT chrom, canonical_position,
+             (ascii(substring(sequence, i, 1)) + 5 * ascii(substring(sequence, i + 1, 1))
+              + 25 * ascii(substring(sequence, i + 2, 1))) % 64 AS d
+      FROM (SELECT *, CAST(unnest(range(1, 50)) AS INTEGER) AS i FROM b_labelled) w),
+    c AS (SELECT chrom, canonical_position, d, count(*) / 49.0::DOUBLE AS share FROM k GROUP BY ALL)
+    SELECT chrom, canonical_position, CAST(64 AS INTEGER) AS width,
+           round(sum(share * (d + 1)), 3) AS weighted_sum, round(sum(share * share), 3) AS square_sum
+    FROM c GROUP BY chrom, canonical_position""")
 def embed_windows(t: Tables):
-    """Every valid window embedded by the stand-in model; a Python model has no SQL form."""
+    """Every valid window embedded by the stand-in model: shares of its hashed triples."""
     embedded = learn.embed_windows(
         t.valid.select("chrom", "canonical_position", "sequence"),
         "kmer-64-3",
         learn.kmer_model(PARAMS.embedding_width),
         PARAMS.embedding_width,
     )
-    return embedded.select("chrom", "canonical_position", *digest("embedding"))
+    return embedded.select("chrom", "canonical_position", *digest("embedding", places=3))

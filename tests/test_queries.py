@@ -7,7 +7,7 @@ from compare import connect, difference
 
 FOLDER = "/root/testdata/sf0.001"
 QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
-ROWS_ONLY = {"weighted_classifier", "embed_windows"}
+ROWS_ONLY = {"weighted_classifier"}
 
 
 @pytest.fixture(scope="module")
