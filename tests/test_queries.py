@@ -4,9 +4,10 @@ import pytest
 
 import __spark_entry__ as contract
 from compare import connect, difference
+from epispark import workloads
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
+QUERIES, ORACLES = workloads.queries(), workloads.oracle_sql()
 ROWS_ONLY = {"weighted_classifier"}
 
 
@@ -30,5 +31,10 @@ def test_every_query_has_sql_or_is_listed():
     assert not set(ORACLES) - set(QUERIES)
 
 
+def test_contract_has_every_query():
+    assert set(QUERIES) <= set(contract.queries())
+    assert set(ORACLES) <= set(contract.oracle_sql())
+
+
 def test_entry(spark):
     assert contract.entry(spark).count() > 0
