@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from epispark.llm import urls
+from epispark.llm import decontam, urls
 
 QUERIES, ORACLES = {}, {}
 
@@ -25,6 +25,30 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+_DECONTAM_WORDS = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+
+@query(f"""
+    WITH d AS (SELECT doc_id, coalesce({_DECONTAM_WORDS}, []) AS w FROM documents),
+    i AS (SELECT item_id, coalesce({_DECONTAM_WORDS}, []) AS w FROM benchmark),
+    iw AS (SELECT item_id, least(len(w), 10) AS k, unnest(CASE WHEN len(w) < 10 THEN [w]
+              ELSE list_transform(range(1, len(w) - 8), lambda p: w[p:p + 9]) END) AS g FROM i WHERE len(w) > 0),
+    sizes AS (SELECT DISTINCT k FROM iw),
+    dw AS (SELECT doc_id, k, p, w[p:p + k - 1] AS g
+           FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, sizes) x),
+    hits AS (SELECT doc_id, item_id, p, dw.k FROM dw JOIN iw USING (g)),
+    n AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + k)) AS q FROM hits) x GROUP BY doc_id),
+    f AS (SELECT doc_id, count(DISTINCT item_id) AS n_items,
+                 string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM hits GROUP BY doc_id)
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+           sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN n USING (doc_id) LEFT JOIN f USING (doc_id)""")
+def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontam.find_contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.drop("n_near")
+
+
 # The rules that page URLs are judged by.
 URL_RULES = [
     ("com", "/", "allow"),
