@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from epispark.llm import decontam, urls
+from epispark.llm import decontam, secrets, urls
 
 QUERIES, ORACLES = {}, {}
 
@@ -75,6 +76,23 @@ def op8_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge_urls(table(spark, folder, "pages"), rules)
 
 
+@query()
+def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, folder, "documents"))
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    base = F.filter("spans", lambda s: s["kind"].isin(*secrets.BASE))
+    return found.select(
+        "doc_id", *[count(kind) for kind in secrets.BASE], F.sha2(listed(base), 256).alias("base_sha256"),
+        listed("spans").alias("spans"),
+    )
+
+
 def queries():
     return dict(QUERIES)
 
