@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epispark.llm import decontam, secrets, urls
+from epispark.llm import decontam, minhash, secrets, urls
 
 QUERIES, ORACLES = {}, {}
 
@@ -76,6 +76,25 @@ def op8_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge_urls(table(spark, folder, "pages"), rules)
 
 
+_NEAR = r"""
+    WITH RECURSIVE w AS (SELECT doc_id, coalesce(regexp_extract_all(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+    s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+              ELSE list_transform(range(1, len(w) - 2), lambda p: array_to_string(w[p:p + 3], ' ')) END) AS g FROM w),
+    n AS (SELECT doc_id, len(g)::BIGINT AS n FROM s),
+    u AS (SELECT doc_id, unnest(g) AS g FROM s),
+    c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM u x JOIN u y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+    e AS (SELECT a, b FROM c JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= 80 * (p.n + q.n - c)),
+    r(a, b) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+    SELECT doc_id, n AS n_shingles, min(b) AS component_id, min(b) = doc_id AS kept
+    FROM n JOIN r ON a = doc_id GROUP BY doc_id, n"""
+
+
+@query(_NEAR)
+def op6_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.link_near_duplicates(table(spark, folder, "documents"))
+
+
 @query()
 def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, folder, "documents"))
