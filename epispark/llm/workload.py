@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epispark.llm import decontam, minhash, secrets, urls
+from epispark.llm import decontam, minhash, pieces, secrets, urls
 
 QUERIES, ORACLES = {}, {}
 
@@ -50,6 +50,9 @@ def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return found.drop("n_near")
 
 
+#: The SentencePiece model that the queries use.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
 # The rules that page URLs are judged by.
 URL_RULES = [
     ("com", "/", "allow"),
@@ -76,6 +79,11 @@ def op8_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge_urls(table(spark, folder, "pages"), rules)
 
 
+@query()
+def op5_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.encode_texts(table(spark, folder, "documents").select("doc_id", "text"), PIECE_MODEL).drop("text")
+
+
 _NEAR = r"""
     WITH RECURSIVE w AS (SELECT doc_id, coalesce(regexp_extract_all(
             translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
