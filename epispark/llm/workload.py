@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epispark.llm import decontam, minhash, pieces, secrets, urls
+from epispark.llm import decontam, minhash, pieces, quality, secrets, urls
 
 QUERIES, ORACLES = {}, {}
 
@@ -103,6 +103,12 @@ def op6_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.link_near_duplicates(table(spark, folder, "documents"))
 
 
+@query()
+def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    return quality.score_quality(docs, labels, "source", "lang")
+
+
 @query()
 def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, folder, "documents"))
