@@ -67,10 +67,10 @@ def _postings(terms: bytes, anchors: bytes, reach: int):
                 kept = kept[_among(terms, hashes[kept])]
                 edges = pa.array(np.searchsorted(rows[kept], np.arange(part.num_rows + 1)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([
-                    part.column("doc_id"), pa.array(np.diff(starts)),
+                    part.column("doc_id"), part.column("text_hash"), pa.array(np.diff(starts)),
                     pa.ListArray.from_arrays(edges, pa.array((kept - starts[rows[kept]]).astype(np.int32))),
                     pa.ListArray.from_arrays(edges, pa.array(hashes[kept].view(np.int64))),
-                ], ["doc_id", "n_words", "places", "terms"])
+                ], ["doc_id", "text_hash", "n_words", "places", "terms"])
 
     return post
 
@@ -107,7 +107,8 @@ def find_contamination(
 
     Returns one row per row of ``docs``: its id, ``n_words``, ``n_hit`` (words in exact
     matches), ``n_items``, ``items_sha256`` (of their ids, sorted as strings and joined by
-    commas), ``contaminated`` and ``n_near`` (items with an exact or proximity match). Null
+    commas), ``contaminated``, ``n_near`` (items with an exact or proximity match) and
+    ``text_hash`` (xxhash64 of the text, to tell rows of one id apart). Null
     or empty texts have no words. Rows of the benchmark with one id are one item; a null id
     reads ``null``. Repeated rows are each judged, other columns of either table ignored.
     """
@@ -118,6 +119,7 @@ def find_contamination(
         numbered.mapInArrow(_item_words, "item long, item_id string, place int, size int, term long"), "items"
     )
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    hashed = texts.withColumn("text_hash", F.xxhash64("text"))
     terms = _spots(items)
     counted = (
         texts.select("text").mapInArrow(_term_counts(terms), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
@@ -135,9 +137,9 @@ def find_contamination(
     )
     kind = dict(texts.dtypes)["doc_id"]
     judged = saved(
-        texts.mapInArrow(
+        hashed.mapInArrow(
             _postings(terms, _spots(anchors), window - 1),
-            f"doc_id {kind}, n_words long, places array<int>, terms array<long>",
+            f"doc_id {kind}, text_hash long, n_words long, places array<int>, terms array<long>",
         ).withColumn("row", F.monotonically_increasing_id()),
         "judged",
     )
@@ -177,9 +179,9 @@ def find_contamination(
         )
     )
     none = F.lit(0).cast("long")
-    return judged.select("row", F.col("doc_id").alias(doc_id), "n_words").join(figures, "row", "left").select(
+    return judged.select("row", F.col("doc_id").alias(doc_id), "n_words", "text_hash").join(figures, "row", "left").select(
         doc_id, "n_words", F.coalesce("n_hit", none).alias("n_hit"),
         F.coalesce(F.size("items").cast("long"), none).alias("n_items"),
         F.sha2(F.coalesce(F.array_join(F.array_sort("items"), ","), F.lit("")), 256).alias("items_sha256"),
-        (F.coalesce("n_hit", none) > 0).alias("contaminated"), F.coalesce("n_near", none).alias("n_near"),
+        (F.coalesce("n_hit", none) > 0).alias("contaminated"), F.coalesce("n_near", none).alias("n_near"), "text_hash",
     )

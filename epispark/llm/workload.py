@@ -47,7 +47,7 @@ _DECONTAM_WORDS = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUV
     FROM d LEFT JOIN n USING (doc_id) LEFT JOIN f USING (doc_id)""")
 def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontam.find_contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
-    return found.drop("n_near")
+    return found.drop("n_near", "text_hash")
 
 
 #: The SentencePiece model that the queries use.
