@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epispark.llm import decontam, minhash, pieces, quality, secrets, urls
+from epispark.llm import decontam, minhash, pages, pieces, quality, secrets, urls
 
 QUERIES, ORACLES = {}, {}
 
@@ -26,6 +26,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query()
+def op1_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return pages.extract_text(table(spark, folder, "pages").select("page_id", "url", "html"))
+
+
 _DECONTAM_WORDS = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
