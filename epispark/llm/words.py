@@ -92,7 +92,16 @@ def _segments(offsets: np.ndarray, data: np.ndarray, inside: np.ndarray) -> Iter
 
 def hashed_words(offsets: np.ndarray, data: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each word, in text order: the row of its text, and its hash."""
-    rows, hashes = [], []
+    rows, _, (hashes,) = placed_words(offsets, data, inside)
+    return rows, hashes
+
+
+def placed_words(
+    offsets: np.ndarray, data: np.ndarray, inside: np.ndarray, prefixes: tuple[int, ...] = ()
+) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """For each word, in text order: the row of its text, the place of its first byte in
+    ``data``, its hash, and one for each of its first ``prefixes`` bytes (0 for a shorter word)."""
+    rows, places, hashes = [], [], [[] for _ in (0, *prefixes)]
     for lo, hi in _segments(offsets, data, inside):
         part = _LOWER[data[lo:hi]]
         held = inside[part]
@@ -111,12 +120,17 @@ def hashed_words(offsets: np.ndarray, data: np.ndarray, inside: np.ndarray) -> t
         ends = np.flatnonzero(held & ~after)
         up, down = _power_tables(len(part))
         sums = np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)])
-        first = np.where(starts > 0, sums[starts - 1], np.uint64(0))
-        hashes.append(mix((sums[ends] - first) * down[starts]))
+        first, scale = np.where(starts > 0, sums[starts - 1], np.uint64(0)), down[starts]
+        hashes[0].append(mix((sums[ends] - first) * scale))
+        for k, size in enumerate(prefixes, 1):
+            cut = np.minimum(starts + size - 1, ends)
+            start = mix((sums[cut] - first) * scale + np.uint64(size))
+            hashes[k].append(np.where(ends - starts >= size - 1, start, np.uint64(0)))
+        places.append(starts + lo)
         rows.append((np.searchsorted(offsets, starts + lo, side="right") - 1).astype(np.int32))
     if not rows:
-        return np.zeros(0, np.int32), np.zeros(0, np.uint64)
-    return np.concatenate(rows), np.concatenate(hashes)
+        return np.zeros(0, np.int32), np.zeros(0, np.int64), [np.zeros(0, np.uint64) for _ in hashes]
+    return np.concatenate(rows), np.concatenate(places), [np.concatenate(h) for h in hashes]
 
 
 def word_ranges(rows: np.ndarray, n: int) -> np.ndarray:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epispark.llm import decontam, minhash, pages, pieces, quality, secrets, urls
+from epispark.llm import decontam, minhash, pages, pieces, quality, secrets, toxicity, urls
 
 QUERIES, ORACLES = {}, {}
 
@@ -84,6 +84,21 @@ def op8_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge_urls(table(spark, folder, "pages"), rules)
 
 
+def fold(doc_id: str, folds: int):
+    """The crc32 of the id as text, modulo ``folds``; null for a null id."""
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds
+
+
+@query()
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    model = toxicity.learn_sentences(docs, labels, fold("doc_id", 3) != 1)
+    return toxicity.score_toxicity(docs, model).select(
+        "doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"), F.size("offending").alias("n_offending"),
+    )
+
+
 @query()
 def op5_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.encode_texts(table(spark, folder, "documents").select("doc_id", "text"), PIECE_MODEL).drop("text")
