@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def _starts(table: pa.Table, keys: tuple[str, ...]) -> np.ndarray:
@@ -46,3 +47,41 @@ def map_groups(
                 yield from out.to_batches()
 
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(stream, schema)
+
+
+def in_blocks(rows: DataFrame, keys: tuple[str, ...], size: int, row: str = "doc_id") -> DataFrame:
+    """``rows`` with a ``part`` for each pair of blocks of their ``keys``, and the ``side`` of the
+    pair that the row is on: any two rows of a key meet in one part, on two sides or as one
+    block with itself (all on side 0), and no part has more than a few times ``size`` rows."""
+    sizes = rows.groupBy(*keys).agg(F.ceil(F.count("*") / size).cast("int").alias("_blocks")).filter("_blocks > 1")
+    own = F.pmod(F.xxhash64(row), F.col("_blocks")).cast("int")
+    pairs = F.transform(
+        F.sequence(F.lit(0), F.col("_blocks") - 1),
+        lambda other: F.struct(
+            F.concat_ws("-", F.least(own, other), F.greatest(own, other)).alias("part"),
+            (own > other).cast("int").alias("side"),
+        ),
+    )
+    alone = F.array(F.struct(F.lit("").alias("part"), F.lit(0).alias("side")))
+    return rows.join(sizes, list(keys), "left").select(
+        *rows.columns, F.explode(F.coalesce(pairs, alone)).alias("_pair")
+    ).select(*rows.columns, "_pair.part", "_pair.side")
+
+
+def _roots(links: np.ndarray) -> np.ndarray:
+    """For a symmetric matrix of links, the first member reachable from each."""
+    label = np.arange(len(links))
+    while True:
+        low = np.where(links, label, len(label)).min(axis=1, initial=len(label))
+        low = np.minimum(low, label)
+        low = low[low]
+        if (low == label).all():
+            return label
+        label = low
+
+
+def star(ids: np.ndarray, links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each member that hangs together with one before it: its id, and the first one's."""
+    root = _roots(links)
+    held = root != np.arange(len(root))
+    return ids[held], ids[root[held]]

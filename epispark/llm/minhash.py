@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from epispark.llm.groups import map_groups
+from epispark.llm.groups import in_blocks, map_groups, star
 from epispark.llm.links import components
 from epispark.llm.store import saved
 from epispark.llm.words import SPACED, hashed_words, mix, shingles, slices, text_bytes
@@ -89,24 +89,6 @@ def _signed(size: int):
     return sign
 
 
-def _roots(links: np.ndarray) -> np.ndarray:
-    """For a symmetric matrix of links, the first member reachable from each."""
-    label = np.arange(len(links))
-    while True:
-        low = np.where(links, label, len(label)).min(axis=1, initial=len(label))
-        low = np.minimum(low, label)
-        low = low[low]
-        if (low == label).all():
-            return label
-        label = low
-
-
-def _star(ids: np.ndarray, links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    root = _roots(links)
-    held = root != np.arange(len(root))
-    return ids[held], ids[root[held]]
-
-
 def _agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """In how many places rows of signature bytes agree, eight places at a time."""
     equal = (a == b).view(np.uint64).sum(axis=-1, dtype=np.uint64)
@@ -133,7 +115,7 @@ def _alike(table: pa.Table, bounds: np.ndarray):
         own = slice(bounds[k], bounds[k + 1])
         links = np.array([_agreeing(marks[own], m) >= AGREEING for m in marks[own]])
         links &= 100 * np.minimum(n[own], n[own, None]) >= 80 * np.maximum(n[own], n[own, None])
-        stars.append(_star(ids[own], links))
+        stars.append(star(ids[own], links))
     if stars:
         a, b = (np.concatenate(x) for x in zip(*stars))
         low, high = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
@@ -146,7 +128,7 @@ def _similar(percent: int):
         every, sets = table.column("doc_id").to_numpy(), table.column("shingles").combine_chunks()
         flat, edges = sets.flatten().to_numpy(), np.concatenate([[0], np.cumsum(sets.value_lengths().to_numpy())])
         stars = [
-            _star(every[a:b], _linked(flat[edges[a] : edges[b]], np.diff(edges[a : b + 1]), percent))
+            star(every[a:b], _linked(flat[edges[a] : edges[b]], np.diff(edges[a : b + 1]), percent))
             for a, b in zip(bounds, bounds[1:])
         ]
         a, b = (np.concatenate(x) for x in zip(*stars))
@@ -171,20 +153,6 @@ def _linked(values: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
     return 100 * common >= percent * (n + n[:, None] - common)
 
 
-def _blocks(rows: DataFrame, key: str, *carried: str) -> DataFrame:
-    """``rows`` with a ``part`` for each pair of blocks of their ``key``, so that any two rows
-    of a key meet in one part and no part has more than a few times ``BLOCK`` rows."""
-    sizes = rows.groupBy(key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("blocks > 1")
-    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    pairs = F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1),
-        lambda other: F.concat_ws("-", F.least(own, other), F.greatest(own, other)),
-    )
-    return rows.join(sizes, key, "left").select(
-        key, "doc_id", *carried, F.explode(F.coalesce(pairs, F.array(F.lit("")))).alias("part")
-    )
-
-
 def link_near_duplicates(
     docs: DataFrame, shingle: int = 4, percent: int = 80, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -230,7 +198,7 @@ def link_near_duplicates(
     placed = banded.join(full, "band")
     buckets = saved(placed.join(members.select("doc_id", "n_shingles", "marks"), "doc_id"), "buckets")
     candidates = map_groups(
-        _blocks(buckets, "band", "n_shingles", "marks"), ("band", "part"), _alike, "a long, b long"
+        in_blocks(buckets, ("band",), BLOCK), ("band", "part"), _alike, "a long, b long"
     )
     clusters = saved(components(candidates), "clusters").withColumnsRenamed({"node": "doc_id", "component": "cluster"})
 
@@ -248,7 +216,7 @@ def link_near_duplicates(
         .filter("key is not null").dropDuplicates(["doc_id", "key"]).drop("key")
     )
     links = map_groups(
-        _blocks(clusters, "cluster").join(whole, "doc_id"), ("cluster", "part"), _similar(percent), "a long, b long"
+        in_blocks(clusters, ("cluster",), BLOCK).join(whole, "doc_id"), ("cluster", "part"), _similar(percent), "a long, b long"
     )
     return _grouped(signed, classes, components(links), doc_id)
 

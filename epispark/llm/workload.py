@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epispark.llm import decontam, minhash, pages, pieces, quality, secrets, toxicity, urls
+from epispark.llm import decontam, minhash, pages, pieces, quality, secrets, toxicity, urls, vectors
 
 QUERIES, ORACLES = {}, {}
 
@@ -123,6 +123,20 @@ def op6_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.link_near_duplicates(table(spark, folder, "documents"))
 
 
+@query("""
+    WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+    good AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND list_sum(list_transform(e, lambda x: x * x)) > 0),
+    e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id
+          WHERE list_cosine_similarity(a.e, b.e) >= 0.98::DOUBLE),
+    r(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+    n AS (SELECT a, count(*) AS n FROM e GROUP BY a),
+    c AS (SELECT a, min(b) AS c FROM r GROUP BY a)
+    SELECT vec_id, coalesce(n, 0) AS n_links, c AS component_id, c = vec_id AS kept
+    FROM v JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id""")
+def op7_vector_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return vectors.link_vectors(table(spark, folder, "embeddings"))
+
+
 @query()
 def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
