@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epispark.llm import decontam, minhash, pages, pieces, quality, secrets, toxicity, urls, vectors
+from epispark.llm import decontam, lm, minhash, pages, pieces, quality, secrets, toxicity, urls, vectors
 
 QUERIES, ORACLES = {}, {}
 
@@ -99,6 +99,11 @@ def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query()
+def op4_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.score_texts(table(spark, folder, "documents"), fold("doc_id", 5))
+
+
 @query()
 def op5_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.encode_texts(table(spark, folder, "documents").select("doc_id", "text"), PIECE_MODEL).drop("text")
