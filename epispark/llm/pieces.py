@@ -7,7 +7,6 @@ import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -129,6 +128,15 @@ def build_tokenizer(data: bytes) -> Tokenizer:
     return tokenizer
 
 
+def piece_bytes(data: bytes) -> tuple[list[bytes], int]:
+    """What each id stands for in a decoded text, and how many bytes to drop at its start."""
+    model = parse_model(data)
+    spelled = [
+        bytes([int(text[3:5], 16)]) if kind == BYTE else text.replace(SPACE, " ").encode() for text, _, kind in model.pieces
+    ]
+    return spelled, int(model.dummy_prefix)
+
+
 def _loaded(built: str, threads: int) -> Tokenizer:
     os.environ["RAYON_NUM_THREADS"], os.environ["TOKENIZERS_PARALLELISM"] = str(threads), "true"
     return Tokenizer.from_str(built)
@@ -141,12 +149,13 @@ def encode_texts(
 
     ``model`` is the path of a model file, read by the driver and sent along. A task encodes
     a few MB of texts at a time with ``threads`` threads. ``round_trip`` tells whether the
-    decoded ids are the text again, for every text; a text that holds the marker itself
-    comes back with spaces. A null text has null ids and tokens and no round trip; an empty
+    pieces of the ids, put together, are the text again, for every text; a text that holds
+    the marker itself comes back with spaces. A null text has null ids and tokens and no round trip; an empty
     text has no ids. Columns of ``docs`` named like a new one are replaced.
     """
     with open(model, "rb") as file:
-        built = docs.sparkSession.sparkContext.broadcast(build_tokenizer(file.read()).to_str())
+        data = file.read()
+    built = docs.sparkSession.sparkContext.broadcast((build_tokenizer(data).to_str(), *piece_bytes(data)))
     own = [c for c in docs.columns if c not in (ids, "n_tokens", "round_trip")]
     kept = docs.select(*own)
     schema = kept.select(
@@ -155,23 +164,21 @@ def encode_texts(
     ).schema
 
     def encode(batches):
-        tokenizer = _loaded(built.value, threads)
+        tokenizer = _loaded(built.value[0], threads)
+        _, spelled, extra = built.value
         for batch in batches:
             for part in slices(batch, text, 2 << 20):
                 column = part.column(text)
                 texts = pc.fill_null(column, "").to_pylist()
                 found = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
                 null = pc.is_null(column)
-                sizes = np.fromiter(map(len, found), np.int64, len(found))
-                edges = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-                flat = np.fromiter((i for x in found for i in x), np.int32, int(sizes.sum()))
                 new = {
-                    ids: pa.ListArray.from_arrays(edges, pa.array(flat), mask=null),
-                    "n_tokens": pc.if_else(null, None, pa.array(sizes)),
+                    ids: pa.array(found, pa.list_(pa.int32()), mask=null.to_numpy(zero_copy_only=False)),
+                    "n_tokens": pc.if_else(null, None, pa.array([len(x) for x in found], pa.int64())),
                 }
                 if check:
-                    back = tokenizer.decode_batch(found, skip_special_tokens=False)
-                    same = pa.array([a == b for a, b in zip(texts, back)])
+                    back = (b"".join([spelled[i] for i in x])[extra:] for x in found)
+                    same = pa.array([a.encode() == b for a, b in zip(texts, back)])
                     new["round_trip"] = pc.if_else(null, None, same)
                 yield pa.RecordBatch.from_arrays([*part.columns, *new.values()], [*part.schema.names, *new])
 

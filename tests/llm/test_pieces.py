@@ -18,7 +18,8 @@ def library():
 
 def test_parity_on_odd_texts():
     with open(PIECE_MODEL, "rb") as file:
-        tokenizer = pieces.build_tokenizer(file.read())
+        data = file.read()
+    tokenizer, (spelled, extra) = pieces.build_tokenizer(data), pieces.piece_bytes(data)
     rng = random.Random(1)
     bits = [" ", "  ", " " * 17, " " * 33, "a", "the", "Thing", pieces.SPACE, "é", "\n", "\t", "世", "🙂", "<s>", "<0x41>",
             "</s>", "x́", "\x00", "​", "0", "."]
@@ -28,6 +29,7 @@ def test_parity_on_odd_texts():
     assert found == library().encode(texts)
     back = tokenizer.decode_batch(found, skip_special_tokens=False)
     assert all(a == b for a, b in zip(texts, back) if pieces.SPACE not in a)
+    assert back == [b"".join(spelled[i] for i in x)[extra:].decode() for x in found]
 
 
 def test_documents_agree_with_the_library_and_come_back(spark):
