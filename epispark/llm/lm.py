@@ -23,6 +23,8 @@ END = np.uint64(0xE4D)
 #: How often a context was seen, as a power of two, chooses its mixture weights.
 LEVELS = 24
 _FINE = 4
+#: Bytes of text in a block.
+BLOCK = 8 << 20
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -58,7 +60,7 @@ def _blocks(batches):
     """Whole batches in blocks, each with a name that is the same whenever the task runs."""
     task = TaskContext.get().partitionId()
     for i, batch in enumerate(batches):
-        for j, part in enumerate(slices(batch, "_text")):
+        for j, part in enumerate(slices(batch, "_text", BLOCK)):
             offsets, data = text_bytes(part.column("_text"))
             yield f"{task}-{i}-{j}-{zlib.crc32(data[offsets[0] : offsets[-1]]):x}", part
 
