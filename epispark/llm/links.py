@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from epispark.llm.store import saved
 
 
+def _met(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """Edges with what ``least`` says of their ``u``. The join has a key of its own, so Spark
+    deals out both sides for it and can split those of a node with very many edges."""
+    key = F.struct("u").alias("_key")
+    return edges.select("u", "v", key).join(least.select("m", key), "_key")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node``, ``component``: for every node of an edge the smallest node reachable from it.
 
@@ -27,12 +34,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = (
-            both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            _met(both.filter("v > u"), low).select(F.col("v").alias("u"), F.col("m").alias("v"))
             .filter("u <> v").distinct()
         )
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
-            large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            _met(large, least).select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         )
         now = saved(small, "edges")
