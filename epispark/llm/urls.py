@@ -103,8 +103,9 @@ def judge_urls(
     )
     judged = (
         possible.join(rules, ["host", "path"]).groupBy("tail", "head").agg(F.max(covering).alias("best"))
-        .select("tail", "head", F.col("best.rule").alias("rule"), F.col("best.verdict").alias("verdict"))
+        .select(F.struct("tail", "head").alias("_key"), F.col("best.rule").alias("rule"), F.col("best.verdict").alias("verdict"))
     )
-    return seen.join(judged, ["tail", "head"], "left").select(
+    # A key of its own: both sides are dealt out for this join, and Spark can split a frequent host.
+    return seen.withColumn("_key", F.struct("tail", "head")).join(judged, "_key", "left").select(
         id_column, "host", "path", "rule", F.coalesce("verdict", F.lit(otherwise)).alias("verdict")
     )
