@@ -142,5 +142,6 @@ def checked_codes(
 
 
 def is_invalid_window(sequence: Column, window: int) -> Column:
-    """Wrong length, or a letter outside A, C, G, T, N."""
-    return (F.length(clean(sequence)) != window) | (count_outside(clean(sequence), "ACGTN") > 0)
+    """Missing, of a wrong length, or with a letter outside A, C, G, T, N."""
+    wrong = (F.length(clean(sequence)) != window) | (count_outside(clean(sequence), "ACGTN") > 0)
+    return sequence.isNull() | wrong

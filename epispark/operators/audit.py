@@ -45,22 +45,34 @@ def require_same_count(left: DataFrame, right: DataFrame, message: str) -> None:
 
 
 def alignment(left: DataFrame, right: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Rows of two feature sets compared by site.
+    """Sites of two feature sets compared, one row per site.
 
     Both have ``chrom, canonical_position, label``; ``left`` also has the stored
     ``node_index``. ``nodes`` maps a site to the node computed anew. Each site gets the
-    first reason that applies, or ``aligned``.
+    first reason that applies, or ``aligned``. Rows are counted per site before the sets
+    meet, so a repeated site fans out nowhere; a NULL label equals only a NULL label.
     """
     key = ["chrom", "canonical_position"]
-    a = left.select(*key, F.col("label").alias("_left"), F.col("node_index").alias("_stored"))
-    b = right.select(*key, F.col("label").alias("_right"))
-    c = nodes.select(*key, F.col("node_index").alias("_computed"))
+
+    def per_site(rows: DataFrame, name: str, *more: str) -> DataFrame:
+        label = F.coalesce(F.col("label").cast("int"), F.lit(-1))
+        return rows.groupBy(*key).agg(
+            F.count("*").alias(f"_{name}_rows"), F.min(label).alias(f"_{name}_low"), F.max(label).alias(f"_{name}_high"),
+            F.sum(label).alias(f"_{name}_sum"), *[F.min(c).alias(f"_{c}_low") for c in more],
+            *[F.max(c).alias(f"_{c}_high") for c in more],
+        )
+
+    a, b = per_site(left, "left", "node_index"), per_site(right, "right")
+    c = nodes.groupBy(*key).agg(F.min("node_index").alias("_computed"), F.max("node_index").alias("_computed_high"))
+    labels = [F.col(f"_left_{c}") == F.col(f"_right_{c}") for c in ("low", "high", "sum")]
+    stored = [F.col(x).eqNullSafe(F.col("_computed")) for x in ("_node_index_low", "_node_index_high", "_computed_high")]
     reason = (
-        F.when(F.col("_left").isNull(), "only in the second set")
-        .when(F.col("_right").isNull(), "only in the first set")
-        .when(F.col("_left") != F.col("_right"), "labels differ")
+        F.when(F.col("_left_rows").isNull(), "only in the second set")
+        .when(F.col("_right_rows").isNull(), "only in the first set")
+        .when(F.col("_left_rows") != F.col("_right_rows"), "row counts differ")
+        .when(~(labels[0] & labels[1] & labels[2]), "labels differ")
         .when(F.col("_computed").isNull(), "no node")
-        .when(~F.col("_stored").eqNullSafe(F.col("_computed")), "nodes differ")
+        .when(~(stored[0] & stored[1] & stored[2]), "nodes differ")
         .otherwise("aligned")
     )
     joined = a.join(b, key, "full").join(c, key, "left")

@@ -76,6 +76,21 @@ def near_contacts(contacts: DataFrame, max_bins: int) -> DataFrame:
     return contacts.filter(F.abs(F.col("bin_x") - F.col("bin_y")) <= max_bins)
 
 
+def contacts_inside(contacts: DataFrame, offsets: DataFrame, bin_width: int) -> DataFrame:
+    """``contacts`` on listed chromosomes; reading a bin outside its chromosome fails, since its
+    number would be that of a node of another one."""
+    lengths = F.broadcast(offsets.select("chrom", F.ceil(F.col("chrom_length") / bin_width).alias("_bins")))
+
+    def checked(column: str) -> Column:
+        value = F.col(column)
+        outside = F.raise_error(F.concat(F.lit("a contact lies outside "), "chrom")).cast("bigint")
+        return F.when((value >= 0) & (value < F.col("_bins")), value).otherwise(outside)
+
+    return contacts.join(lengths, "chrom").withColumns(
+        {c: checked(c) for c in ("bin_x", "bin_y")}
+    ).drop("_bins")
+
+
 def _mirror(pairs: DataFrame) -> DataFrame:
     """Both directions of every pair ``lo <= hi``; a diagonal pair stays single."""
     there = F.struct(F.col("lo").alias("src"), F.col("hi").alias("dst"))
@@ -140,18 +155,23 @@ def expected_by_distance(edges: DataFrame) -> DataFrame:
 
 
 def edge_features(
-    edges: DataFrame, nodes: DataFrame, bin_width: int, max_bins: int | None = None
+    edges: DataFrame, nodes: DataFrame, bin_width: int, max_bins: int
 ) -> DataFrame:
     """Four features per edge, plus one neutral self-loop per node.
 
-    The expectation has one row per distance. With edges capped at ``max_bins`` that is
-    at most ``max_bins + 1`` rows, which are broadcast; joining by the distance itself
-    would send all edges to a few hundred keys, the short distances the heaviest.
+    The expectation has one row per distance. No edge may be longer than ``max_bins``
+    (one that is makes the query fail), so these are at most ``max_bins + 1`` rows, which
+    are broadcast; joining by the distance itself would send all edges to a few hundred
+    keys, the short distances the heaviest.
     """
-    expected = expected_by_distance(edges).select("distance", "expected")
-    if max_bins is not None:
-        expected = F.broadcast(expected)
-    distance = F.abs(F.col("src") - F.col("dst"))
+    too_long = F.raise_error(F.lit(f"an edge is longer than {max_bins} bins")).cast("bigint")
+    span = F.abs(F.col("src") - F.col("dst"))
+    distance = F.when(span <= max_bins, span).otherwise(too_long)
+    expected = F.broadcast(
+        expected_by_distance(edges).select(
+            F.when(F.col("distance") <= max_bins, F.col("distance")).otherwise(too_long).alias("distance"), "expected"
+        )
+    )
     observed = (
         edges.withColumn("distance", distance)
         .join(expected, "distance")

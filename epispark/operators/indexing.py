@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from epispark.session import materialise
-
 
 def exclusive_running_sum(df: DataFrame, value: str, order_by: list[str], name: str) -> DataFrame:
     """Sum of the rows before, for a table known to be small (one row per task, chromosome ...)."""
@@ -14,40 +12,50 @@ def exclusive_running_sum(df: DataFrame, value: str, order_by: list[str], name:
     return df.withColumn(name, F.coalesce(F.sum(value).over(before), F.lit(0)).cast("bigint"))
 
 
+def position_blocks(width: int = 100_000) -> list[Column]:
+    """Chromosome and stretch of positions: blocks of rows in genome order."""
+    return [F.col("chrom"), F.floor(F.col("canonical_position") / F.lit(width))]
+
+
+def hash_blocks(key: str) -> list[Column]:
+    """Beginnings of a hash in hexadecimal: blocks of rows in the order of the hash."""
+    return [F.substring(key, 1, 2), F.substring(key, 1, 5)]
+
+
 def with_row_index(
-    df: DataFrame, order_by: list[Column | str], name: str = "row_index", group: str | None = None
+    df: DataFrame, order_by: list[str], blocks: list[Column], name: str = "row_index", group: str | None = None
 ) -> DataFrame:
     """0-based position of every row in the order ``order_by`` (which must be total).
 
     With ``group`` the positions start anew in each of a few large groups, such as the
-    splits. A window would move a whole group into one task. Here the table is
-    range-sorted, group first, so a group of any size is spread over many tasks; each
-    row takes its place inside its task, and one row per task and group gives the
-    offsets. That small table is bounded by tasks plus groups, since a group that spans
-    tasks is contiguous, and is broadcast.
-
-    The sorted rows are checkpointed in between: evaluated twice, the sort could cut its
-    ranges differently. The sort itself reads its input twice, to sample and to move it,
-    so hand it a stored table.
+    splits. ``blocks`` cut the order into stretches, the first coarser than the others: they
+    rise with ``order_by`` and are never null. Rows are counted per block, the counts added up
+    over the coarse blocks and inside each, and a row's place inside its own block comes on
+    top. So a window holds one block, or one row per block, never a group; rows are moved
+    once and nothing is stored.
     """
     keys = [group] if group else []
-    slot = F.monotonically_increasing_id()
-    ordered = materialise(df.sort(*keys, *order_by).withColumn("_slot", slot))
-    task = F.shiftright("_slot", 33)
-    runs = ordered.groupBy(*keys, task.alias("_task")).agg(
-        F.count("*").alias("_size"), F.min("_slot").alias("_first")
-    )
-    before = Window.partitionBy(*keys).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
-    offset = F.coalesce(F.sum("_size").over(before), F.lit(0)).cast("bigint")
-    offsets = runs.select(*keys, "_task", (offset - F.col("_first")).alias("_shift"))
+    names = [f"_block{i}" for i in range(len(blocks))]
+    placed = df.withColumns(dict(zip(names, blocks)))
+    counts = placed.groupBy(*keys, *names).agg(F.count("*").alias("_size"))
+    coarse = counts.groupBy(*keys, names[0]).agg(F.sum("_size").alias("_size"))
+    coarse = _running(coarse, keys, names[:1], "_coarse").drop("_size")
+    fine = _running(counts, [*keys, names[0]], names[1:] or names[:1], "_fine").drop("_size")
+    offsets = fine.join(coarse, [*keys, names[0]])
+    place = F.row_number().over(Window.partitionBy(*keys, *names).orderBy(*order_by))
     return (
-        ordered.withColumn("_task", task)
-        .join(F.broadcast(offsets), [*keys, "_task"])
-        .withColumn(name, F.col("_slot") + F.col("_shift"))
-        .drop("_task", "_shift", "_slot")
+        placed.withColumn("_place", place)
+        .join(offsets, [*keys, *names])
+        .select(*df.columns, (F.col("_coarse") + F.col("_fine") + F.col("_place") - 1).cast("bigint").alias(name))
     )
 
 
+def _running(counts: DataFrame, keys: list[str], order_by: list[str], name: str) -> DataFrame:
+    before = Window.partitionBy(*(keys or [F.lit(1)])).orderBy(*order_by)
+    total = F.sum("_size").over(before.rowsBetween(Window.unboundedPreceding, -1))
+    return counts.withColumn(name, F.coalesce(total, F.lit(0)))
+
+
 def even_sample_flag(sites: DataFrame, limit: int) -> DataFrame:
     """Add ``selected``: at most ``limit`` evenly spaced sites per bin, first and last included.
 

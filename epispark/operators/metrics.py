@@ -1,10 +1,14 @@
 """Evaluation of scores against binary labels.
 
-Inputs have ``label`` (0 or 1) and ``score``; all counts are integers until the last step.
+Inputs have ``label`` (0 or 1) and ``score``, the loss a ``logit``; anything else in them,
+NULL and NaN included, is an error. All counts are integers until the last step.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,15 +39,27 @@ def _softplus(x: Column) -> Column:
     return F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))
 
 
-def weighted_log_loss(rows: DataFrame, clamp: float = 1e-6) -> DataFrame:
+def checked(rows: DataFrame, value: str = "score") -> DataFrame:
+    """``rows`` as they are; reading a non-finite value or a label other than 0 and 1 fails."""
+    x = F.col(value).cast("double")
+    finite = x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    known = F.coalesce(F.col("label").isin(0, 1), F.lit(False))
+    wrong = F.raise_error(F.lit(f"a {value} is not finite, or a label neither 0 nor 1"))
+    return rows.withColumns({
+        value: F.when(finite & known, x).otherwise(wrong.cast("double")),
+        "label": F.when(finite & known, F.col("label").cast("int")).otherwise(wrong.cast("int")),
+    })
+
+
+def weighted_log_loss(rows: DataFrame) -> DataFrame:
     """Mean log loss on the logit, positives weighted by negatives per positive.
 
     The weight is itself a ratio of counts over the same rows, so both halves of the
-    loss are summed unweighted in the same pass and weighted at the end.
+    loss are summed unweighted in the same pass and weighted at the end. Nothing is cut
+    off: a logit of any finite size has its exact loss.
     """
-    p = F.least(F.greatest(F.col("score"), F.lit(clamp)), F.lit(1.0 - clamp))
-    logit = F.log(p / (1 - p))
-    sums = rows.agg(
+    logit = F.col("logit")
+    sums = checked(rows, "logit").agg(
         F.count("*").alias("n"),
         F.count_if(F.col("label") == 1).alias("pos"),
         F.count_if(F.col("label") == 0).alias("neg"),
@@ -68,7 +84,7 @@ def mcc(tp: Column, fp: Column, fn: Column, tn: Column) -> Column:
 def confusion_metrics(rows: DataFrame, threshold: float = START_THRESHOLD) -> DataFrame:
     """Confusion counts with balanced accuracy, F1 and MCC."""
     hit, true = F.col("score") >= threshold, F.col("label") == 1
-    counts = rows.agg(
+    counts = checked(rows).agg(
         F.count_if(hit & true).alias("tp"),
         F.count_if(hit & ~true).alias("fp"),
         F.count_if(~hit & true).alias("fn"),
@@ -90,31 +106,21 @@ def confusion_metrics(rows: DataFrame, threshold: float = START_THRESHOLD) -> Da
 
 def score_counts(rows: DataFrame) -> DataFrame:
     """Positives and negatives at every distinct score."""
-    return rows.groupBy("score").agg(
+    return checked(rows).groupBy("score").agg(
         F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg")
     )
 
 
-def cumulative_counts(rows: DataFrame, slices: int | None = None) -> DataFrame:
+def cumulative_counts(rows: DataFrame, slices: int = 1 << 16) -> DataFrame:
     """Distinct scores with the positives and negatives at that score or above.
 
-    A running sum over all scores is a one-task window. The scores are cut into
-    ``slices`` ranges of about equal size at their own quantiles; each range is summed
-    on its own and starts from the total of the ranges above. Equal scores are one row
-    before the cut, so no range can be heavy. The slices follow the session's number
-    of shuffle partitions; the quantiles are the only values that reach the driver.
+    A running sum over all scores would be a one-task window. The range from 0 to 1 is cut
+    into ``slices`` (with one more on either side); each slice is summed on its own, in a
+    stream, and starts from the total of the slices above. Both sums read one shuffle.
     """
-    spark = rows.sparkSession
-    counts = score_counts(rows)
-    if slices is None:
-        slices = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 10_000)
-    steps = [i / slices for i in range(1, slices)]
-    cuts = counts.approxQuantile("score", steps, 0.25 / slices) if steps else []
-    if cuts:
-        splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
-        sliced = Bucketizer(splits=splits, inputCol="score", outputCol="_slice").transform(counts)
-    else:
-        sliced = counts.withColumn("_slice", F.lit(0.0))
+    place = F.floor(F.col("score") * slices)
+    slice_ = F.least(F.greatest(place, F.lit(-1)), F.lit(slices)).cast("int")
+    sliced = score_counts(rows).withColumn("_slice", slice_).repartition("_slice")
     totals = sliced.groupBy("_slice").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
     totals = totals.withColumn("_order", -F.col("_slice"))
     totals = exclusive_running_sum(totals, "_p", ["_order"], "_pos_above")
@@ -125,6 +131,7 @@ def cumulative_counts(rows: DataFrame, slices: int | None = None) -> DataFrame:
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     above = totals.select("_slice", "_pos_above", "_neg_above")
+    # At most slices + 2 rows, whatever the data.
     return sliced.join(F.broadcast(above), "_slice").select(
         "score",
         "pos",
@@ -134,32 +141,34 @@ def cumulative_counts(rows: DataFrame, slices: int | None = None) -> DataFrame:
     )
 
 
-def average_precision(cumulative: DataFrame) -> DataFrame:
-    """Precision averaged over the recall steps; 0 without positives."""
-    precision = F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))
-    sums = cumulative.agg(
-        F.sum(F.col("pos") * precision).alias("area"), F.sum("pos").alias("positives")
-    )
-    return sums.select(
-        F.coalesce(F.try_divide(F.col("area"), F.col("positives")), F.lit(0.0)).alias(
-            "average_precision"
-        )
-    )
+def ranking_areas(cumulative: DataFrame) -> DataFrame:
+    """``average_precision`` and ``roc_auc`` in one pass.
 
-
-def roc_auc(cumulative: DataFrame) -> DataFrame:
-    """Area under the ROC curve, ties counted half; NULL with a single class."""
+    The first is the precision averaged over the recall steps, 0 without positives; the
+    second counts ties half and is NULL with a single class.
+    """
+    precision = F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))
     below = (F.col("cum_pos") - F.col("pos")).cast("double") + F.col("pos") / F.lit(2.0)
     sums = cumulative.agg(
-        F.sum(F.col("neg") * below).alias("area"),
+        F.sum(F.col("pos") * precision).alias("steps"),
+        F.sum(F.col("neg") * below).alias("pairs"),
         F.sum("pos").cast("double").alias("positives"),
         F.sum("neg").cast("double").alias("negatives"),
     )
     return sums.select(
-        F.try_divide(F.col("area"), F.col("positives") * F.col("negatives")).alias("roc_auc")
+        F.coalesce(F.try_divide("steps", "positives"), F.lit(0.0)).alias("average_precision"),
+        F.try_divide(F.col("pairs"), F.col("positives") * F.col("negatives")).alias("roc_auc"),
     )
 
 
+def average_precision(cumulative: DataFrame) -> DataFrame:
+    return ranking_areas(cumulative).select("average_precision")
+
+
+def roc_auc(cumulative: DataFrame) -> DataFrame:
+    return ranking_areas(cumulative).select("roc_auc")
+
+
 def threshold_curve(rows: DataFrame) -> DataFrame:
     """MCC at every threshold of the sweep and at 0.5.
 
@@ -168,7 +177,7 @@ def threshold_curve(rows: DataFrame) -> DataFrame:
     """
     levels = sorted({*SWEEP, START_THRESHOLD})
     splits = [float("-inf"), *levels, float("inf")]
-    sliced = Bucketizer(splits=splits, inputCol="score", outputCol="_slice").transform(rows)
+    sliced = Bucketizer(splits=splits, inputCol="score", outputCol="_slice").transform(checked(rows))
     counts = sliced.groupBy(F.col("_slice").cast("int").alias("_slice")).agg(
         F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg")
     )
@@ -201,47 +210,59 @@ def early_stopping(
     history: DataFrame,
     patience: int,
     min_delta: float,
-    max_epochs: int,
     value: str = "loss",
     higher_is_better: bool = False,
 ) -> DataFrame:
     """Best epoch of every run, and the epoch at which it stops for lack of progress.
 
-    A fold over the epochs of a run. An epoch at or past ``max_epochs`` is an error, so
-    the list folded is never longer than that. Patience keeps counting while the phase is ``frozen`` but does not stop
-    the run then. ``stop_epoch`` is NULL for a run that goes on to its end.
+    The epochs of a run are read in order, as a stream: a task holds one batch and the
+    state of one run, so a run may have any number of epochs. Patience keeps counting while
+    the phase is ``frozen`` but does not stop the run then. A value that is NULL or NaN is no
+    progress; a missing or repeated epoch number is an error. ``stop_epoch`` is NULL for a
+    run that goes on to its end.
     """
-    signed = -F.col(value) if higher_is_better else F.col(value)
-    epoch = F.when(F.col("epoch").between(0, max_epochs - 1), F.col("epoch")).otherwise(
-        F.raise_error(F.lit(f"epoch outside 0 to {max_epochs - 1}")).cast("int")
-    )
-    item = F.struct(epoch.alias("epoch"), "phase", signed.alias("loss"))
-    runs = history.groupBy("run_id").agg(F.array_sort(F.collect_list(item)).alias("epochs"))
-    start = F.struct(
-        F.lit(float("inf")).alias("best"),
-        F.lit(None).cast("int").alias("best_epoch"),
-        F.lit(0).alias("waited"),
-        F.lit(None).cast("int").alias("stop_epoch"),
-    )
-
-    def step(acc: Column, item: Column) -> Column:
-        running = acc["stop_epoch"].isNull()
-        improved = running & (item["loss"] < acc["best"] - F.lit(min_delta))
-        waited = F.when(improved, 0).when(running, acc["waited"] + 1).otherwise(acc["waited"])
-        stops = running & (item["phase"] != "frozen") & (waited >= patience)
-        return F.struct(
-            F.when(improved, item["loss"]).otherwise(acc["best"]).alias("best"),
-            F.when(improved, item["epoch"]).otherwise(acc["best_epoch"]).cast("int").alias("best_epoch"),
-            waited.alias("waited"),
-            F.when(stops, item["epoch"]).otherwise(acc["stop_epoch"]).cast("int").alias("stop_epoch"),
-        )
-
-    scanned = runs.withColumn("state", F.aggregate("epochs", start, step))
-    best = F.when(F.col("state.best_epoch").isNotNull(), F.col("state.best"))
-    return scanned.select(
-        "run_id",
-        F.size("epochs").alias("epoch_count"),
-        F.col("state.best_epoch").alias("best_epoch"),
-        (-best if higher_is_better else best).alias(f"best_{value}"),
-        F.col("state.stop_epoch").alias("stop_epoch"),
+    best_name, sign = f"best_{value}", -1.0 if higher_is_better else 1.0
+    run_type = dict(history.dtypes)["run_id"]
+    names = ["run_id", "epoch_count", "best_epoch", best_name, "stop_epoch"]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done, run, fresh = [], None, {"n": 0, "best": float("inf"), "at": None, "waited": 0, "stop": None, "last": None}
+        state = dict(fresh)
+
+        def close():
+            if state["n"]:
+                best = None if state["at"] is None else sign * state["best"]
+                done.append((run, state["n"], state["at"], best, state["stop"]))
+
+        def flushed(kind):
+            columns = list(zip(*done)) if done else [[]] * 5
+            done.clear()
+            types = (kind, pa.int32(), pa.int32(), pa.float64(), pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+
+        kind = None
+        for batch in batches:
+            kind = batch.schema.field("run_id").type
+            for key, epoch, phase, x in zip(*(batch.column(c).to_pylist() for c in ("run_id", "epoch", "phase", "_value"))):
+                if key != run or not state["n"]:
+                    close()
+                    run, state = key, dict(fresh)
+                if epoch is None or epoch == state["last"]:
+                    raise ValueError(f"run {run}: epoch {epoch} is missing or repeated")
+                state["last"], state["n"] = epoch, state["n"] + 1
+                if state["stop"] is None:
+                    if x is not None and sign * x < state["best"] - min_delta:
+                        state.update(best=sign * x, at=epoch, waited=0)
+                    else:
+                        state["waited"] += 1
+                        if phase != "frozen" and state["waited"] >= patience:
+                            state["stop"] = epoch
+            yield flushed(kind)
+        if kind is not None:
+            close()
+            yield flushed(kind)
+
+    runs = history.select("run_id", F.col("epoch").cast("int").alias("epoch"), "phase", F.col(value).cast("double").alias("_value"))
+    return runs.repartition("run_id").sortWithinPartitions("run_id", "epoch").mapInArrow(
+        scan, f"run_id {run_type}, epoch_count int, best_epoch int, {best_name} double, stop_epoch int"
     )

@@ -47,12 +47,14 @@ def softmax_mean(rows: DataFrame, key: str, score: Column, vector: Column) -> Da
     multiple of a fixed step and a rest: the exponentials of the rests cannot
     overflow and are summed per (key, multiple) with partial aggregation, and only
     those few sums are brought to the key's largest multiple. A key may hold any
-    share of the rows.
+    share of the rows. A NULL or -inf score is a masked row of weight 0; a key with no
+    other rows has a NULL vector.
     """
     step = float(EXPONENT_STEP)
     level = F.floor(score / F.lit(step))
+    weighs = F.coalesce(score > float("-inf"), F.lit(False))
     parts = (
-        rows.withColumn("_level", level)
+        rows.filter(weighs).withColumn("_level", level)
         .withColumn("_weight", F.exp(score - level * F.lit(step)))
         .groupBy(key, "_level")
         .agg(F.sum("_weight").alias("_weight"), mean_vector(vector, F.col("_weight")).alias("_mean"))
@@ -71,7 +73,9 @@ def softmax_mean(rows: DataFrame, key: str, score: Column, vector: Column) -> Da
         return F.zip_with(acc, part["_mean"], lambda a, m: a + m * share)
 
     summed = F.aggregate("_parts", F.array_repeat(F.lit(0.0), F.size(first)), add)
-    return few.select(key, F.when(F.size("_parts") == 1, first).otherwise(summed).alias("embedding"))
+    pooled = few.select(key, F.when(F.size("_parts") == 1, first).otherwise(summed).alias("embedding"))
+    bare = rows.groupBy(key).agg(F.max(weighs).alias("_any")).filter("not _any")
+    return pooled.unionByName(bare.select(key, F.lit(None).cast("array<double>").alias("embedding")))
 
 
 def softmax_pool(tokens: DataFrame, key: str = "seq_id", score: str = "score") -> DataFrame:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from epispark.functions import sequence as S
 from epispark.operators.calls import SITE_KEY
-from epispark.operators.indexing import with_row_index
+from epispark.operators.indexing import hash_blocks, position_blocks, with_row_index
 
 
 def encode_windows(windows: DataFrame) -> DataFrame:
@@ -21,20 +21,22 @@ def encode_windows(windows: DataFrame) -> DataFrame:
 
 def assign_shards(rows: DataFrame, shard_size: int) -> DataFrame:
     """Add ``shard_index``: rows of a split in genome order, ``shard_size`` to a shard."""
-    indexed = with_row_index(rows, list(SITE_KEY), group="split")
+    indexed = with_row_index(rows, list(SITE_KEY), position_blocks(), group="split")
     return indexed.withColumn("shard_index", F.floor(F.col("row_index") / F.lit(shard_size)))
 
 
-def shard_manifest(rows: DataFrame, codes: str, shard_size: int, name: str) -> DataFrame:
-    """One row per shard, with the totals of its split (three rows, broadcast)."""
+def shard_manifest(rows: DataFrame, codes: str, shard_size: int, name: str | None = None) -> DataFrame:
+    """One row per shard, with the totals of its split. ``file`` is the folder of the shard, or
+    the file ``name`` in it."""
     shards = rows.groupBy("split", "shard_index").agg(
         F.count("*").alias("row_count"), F.max(F.size(codes)).alias("codes_width")
     )
     totals = shards.groupBy("split").agg(
         F.sum("row_count").alias("total_rows"), F.count("*").alias("shard_count")
     )
-    file = F.format_string(f"split=%s/shard_index=%d/{name}", F.col("split"), F.col("shard_index"))
-    return shards.join(F.broadcast(totals), "split").select(
+    inside = f"/{name}" if name else ""
+    file = F.format_string(f"split=%s/shard_index=%d{inside}", F.col("split"), F.col("shard_index"))
+    return shards.join(totals, "split").select(
         "split",
         "shard_index",
         file.alias("file"),
@@ -75,16 +77,21 @@ def extraction_summary(manifest: DataFrame) -> DataFrame:
 
 
 def shard_offsets(manifest: DataFrame) -> DataFrame:
-    """Rows of the split before each shard.
+    """Rows of the split before each shard, whatever the shards hold.
 
-    Every shard but the last of a split is full, so the offset follows from the index
-    and no running sum over the shards is needed.
+    Added up over blocks of a thousand shards and inside each, so that no window holds
+    all shards of a split.
     """
-    return manifest.select(
-        "split",
-        "shard_index",
-        "row_count",
-        (F.col("shard_index") * F.col("shard_size")).alias("row_offset"),
+    blocked = manifest.select("split", "shard_index", "row_count", F.floor(F.col("shard_index") / 1000).alias("_block"))
+    before = Window.partitionBy("split").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    totals = blocked.groupBy("split", "_block").agg(F.sum("row_count").alias("_rows"))
+    starts = totals.select("split", "_block", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("split", "_block").orderBy("shard_index").rowsBetween(Window.unboundedPreceding, -1)
+    place = F.coalesce(F.sum("row_count").over(inside), F.lit(0))
+    return (
+        blocked.withColumn("_place", place)
+        .join(starts, ["split", "_block"])
+        .select("split", "shard_index", "row_count", (F.col("_start") + F.col("_place")).cast("bigint").alias("row_offset"))
     )
 
 
@@ -97,6 +104,14 @@ def compare_layouts(left: DataFrame, right: DataFrame) -> DataFrame:
     return a.join(b, key, "full").withColumn("agrees", agrees)
 
 
+def nest_manifest(manifest: DataFrame) -> DataFrame:
+    """One row per split, with its shards as a sorted list."""
+    shard = F.struct("shard_index", "file", "row_count", "codes_width", "dtype")
+    return manifest.groupBy("split", "shard_size", "total_rows", "shard_count").agg(
+        F.array_sort(F.collect_list(shard)).alias("shards")
+    )
+
+
 def explode_manifest(manifests: DataFrame) -> DataFrame:
     """Nested manifests to one row per shard."""
     return manifests.select(
@@ -119,17 +134,17 @@ def shard_order(manifest: DataFrame, seed: int, epoch: int, workers: int = 1) ->
     """Order in which the shards of a split are read in an epoch, dealt out to workers."""
     key = epoch_key([F.col("split"), F.col("shard_index")], seed, epoch)
     placed = with_row_index(
-        manifest.withColumn("_key", key), ["_key", "shard_index"], name="place", group="split"
+        manifest.withColumn("_key", key), ["_key", "shard_index"], hash_blocks("_key"), name="place", group="split"
     )
     worker = F.pmod(F.col("place"), F.lit(workers).cast("bigint"))
     return placed.drop("_key").withColumn("worker", worker)
 
 
 def pack_batches(
-    rows: DataFrame, order_by: list[Column | str], fields: list[str], batch_size: int, workers: int = 1
+    rows: DataFrame, order_by: list[str], blocks: list[Column], fields: list[str], batch_size: int, workers: int = 1
 ) -> DataFrame:
     """Rows in order, ``batch_size`` to a batch, each batch with the worker it goes to."""
-    indexed = with_row_index(rows, order_by)
+    indexed = with_row_index(rows, order_by, blocks)
     return (
         indexed.withColumn("batch_no", F.floor(F.col("row_index") / F.lit(batch_size)))
         .groupBy("batch_no")

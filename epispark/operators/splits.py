@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from epispark.params import SPLIT_FRACTIONS
@@ -16,61 +19,36 @@ def greedy_split(
     counts: DataFrame,
     group: str = "chrom",
     fractions: tuple[tuple[str, float], ...] = SPLIT_FRACTIONS,
-    max_groups: int = 10_000,
 ) -> DataFrame:
     """Give each chromosome, largest first, to the split that lacks most rows.
 
-    A fold over the list of chromosomes. There is one entry per chromosome kept
-    (23), not per site, so the list is short whatever the number of sites; more than
-    ``max_groups`` entries are an error.
+    Each choice depends on all before it, so the groups (not their rows) pass through one
+    task, sorted and one Arrow batch at a time; any number of them takes linear time.
     """
-    names = [name for name, _ in fractions]
-    total = F.aggregate("ordered", F.lit(0).cast("bigint"), lambda acc, x: acc + x["site_count"])
-    ordered = counts.agg(
-        F.array_sort(
-            F.collect_list(
-                F.struct(
-                    (-F.col("site_count")).alias("rank"),
-                    F.col(group).alias("name"),
-                    F.col("site_count"),
-                )
-            )
-        ).alias("ordered")
+    whole = Window.partitionBy(F.lit(1))
+    ordered = (
+        counts.select(group, "site_count", F.sum("site_count").over(whole).alias("_total"))
+        .repartition(1)
+        .sortWithinPartitions(F.desc("site_count"), group)
     )
 
-    def deficit(acc: Column, name: str, fraction: float) -> Column:
-        return F.col("total") * F.lit(fraction) - acc[name]
-
-    def step(acc: Column, item: Column) -> Column:
-        lacks = [deficit(acc, name, fraction) for name, fraction in fractions]
-        most = F.greatest(*lacks)
-        chosen = F.lit(names[-1])
-        for name, lack in reversed(list(zip(names, lacks))):
-            chosen = F.when(lack == most, F.lit(name)).otherwise(chosen)
-        counts_after = [
-            (acc[name] + F.when(chosen == name, item["site_count"]).otherwise(0)).alias(name)
-            for name in names
-        ]
-        given = F.struct(item["name"].alias(group), chosen.alias("split"))
-        return F.struct(*counts_after, F.array_append(acc["given"], given).alias("given"))
-
-    start = F.struct(
-        *[F.lit(0).cast("bigint").alias(name) for name in names],
-        F.array().cast(f"array<struct<{group}:string,split:string>>").alias("given"),
-    )
-    folded = F.aggregate("ordered", start, step, lambda acc: acc["given"])
-    size = F.size("ordered")
-    few = F.when(size <= max_groups, F.col("ordered")).otherwise(
-        F.raise_error(F.lit(f"more than {max_groups} groups to split")).cast(ordered.schema["ordered"].dataType)
-    )
-    return (
-        ordered.withColumn("ordered", few).withColumn("total", total).select(F.inline(folded))
-    )
+    def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = {name: 0 for name, _ in fractions}
+        for batch in batches:
+            chosen = []
+            totals = batch.column("_total").to_pylist()
+            for rows, total in zip(batch.column("site_count").to_pylist(), totals):
+                split = max(fractions, key=lambda part: total * part[1] - held[part[0]])[0]
+                held[split] += rows
+                chosen.append(split)
+            yield pa.RecordBatch.from_arrays([batch.column(group), pa.array(chosen, pa.string())], [group, "split"])
+
+    return ordered.mapInArrow(give, f"{group} {dict(counts.dtypes)[group]}, split string")
 
 
 def assign_splits(sites: DataFrame, split_map: DataFrame, group: str = "chrom") -> DataFrame:
-    """Add ``split``; the map has one row per chromosome, so it is broadcast."""
-    return sites.join(F.broadcast(split_map), group)
+    """Add ``split``; whether the map is small enough to broadcast is left to Spark."""
+    return sites.join(split_map, group)
 
 
 def split_sites(sites: DataFrame, group: str = "chrom") -> DataFrame:

@@ -39,7 +39,6 @@ class Params:
     decision_threshold: float = 0.5
     patience: int = 20
     min_delta: float = 1e-5
-    max_epochs: int = 200
     chroms: tuple[str, ...] = INCLUDED_CHROMS
     split_fractions: tuple[tuple[str, float], ...] = field(default=SPLIT_FRACTIONS)
 

@@ -13,7 +13,6 @@ from epispark.operators import genome as G
 from epispark.operators import quality as Q
 from epispark.operators import splits as X
 from epispark.params import Params
-from epispark.session import materialise
 from epispark.sources import tables
 
 
@@ -24,13 +23,19 @@ class Dataset:
     dropped: DataFrame
 
 
-def checked_pairs(calls: DataFrame, params: Params) -> DataFrame:
+def _stage(df: DataFrame, path: str) -> DataFrame:
+    """Written once beside the results, for steps that read it more than once."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def checked_pairs(calls: DataFrame, params: Params, path: str) -> DataFrame:
     """Counts of both replicates per site, after the two-strand guard.
 
     Written once: the guard and the consensus both read it, and it is as small as the
     sites, not the calls.
     """
-    pairs = materialise(C.pair_replicates(C.stranded_counts(calls, params.chroms)))
+    pairs = _stage(C.pair_replicates(C.stranded_counts(calls, params.chroms)), f"{path}/stages/pairs")
     fractions = pairs.agg(*[
         F.avg(
             F.when(F.col(f"strand_row_count_rep{rep}") > 0,
@@ -47,13 +52,15 @@ def checked_pairs(calls: DataFrame, params: Params) -> DataFrame:
 
 
 def build_dataset(calls: DataFrame, tiles: DataFrame, params: Params, path: str) -> Dataset:
-    """Write ``sites`` (partitioned by split and chromosome) and ``split_summary``."""
-    pairs = checked_pairs(calls, params)
+    """Write ``sites`` (partitioned by split and chromosome) and ``split_summary``; ``stages``
+    holds what was read more than once on the way."""
+    pairs = checked_pairs(calls, params, path)
     consensus = C.label_sites(C.concordant(C.in_both(pairs, params), params)).select(
         *C.SITE_KEY, "count_m", "count_u", "coverage", "replicate_ratio_difference", "label",
         "consensus_methylation_ratio",
     )
-    windows = materialise(G.site_windows(consensus, tiles, params.tile_width, params.window))
+    found = G.site_windows(consensus, tiles, params.tile_width, params.window)
+    windows = _stage(found, f"{path}/stages/windows")
     valid = Q.valid_windows(windows, params.window, params.max_unknown_fraction)
     split = X.split_sites(valid)
     tables.write_splits(split, f"{path}/sites")

@@ -24,7 +24,8 @@ class Shards:
 
 
 def build_shards(sites: DataFrame, params: Params, path: str) -> Shards:
-    """Write ``shards`` with both encodings, ``manifest`` and ``extraction_summary``.
+    """Write ``shards`` with both encodings, ``manifest`` (one object per split, its shards by
+    folder inside ``shards``) and ``extraction_summary``.
 
     Both encodings stay in one row, so they cannot fall out of step.
     """
@@ -33,8 +34,8 @@ def build_shards(sites: DataFrame, params: Params, path: str) -> Shards:
     coded = D.encode_windows(D.assign_shards(rows, params.shard_size)).drop("sequence", "row_index")
     tables.write_shards(coded, f"{path}/shards")
     written = sites.sparkSession.read.parquet(f"{path}/shards")
-    manifest = D.shard_manifest(written, "pair_codes", params.shard_size, "part")
-    tables.write_json(manifest, f"{path}/manifest")
+    manifest = D.shard_manifest(written, "pair_codes", params.shard_size)
+    tables.write_json(D.nest_manifest(manifest), f"{path}/manifest")
     summary = D.extraction_summary(manifest)
     tables.write_json(summary, f"{path}/extraction_summary")
     return Shards(written, manifest, summary)
@@ -67,13 +68,11 @@ def _as_rows(figures: DataFrame) -> DataFrame:
 
 
 def evaluate(predictions: DataFrame, params: Params) -> DataFrame:
-    """All figures of one set of predictions, one row each."""
-    cumulative = M.cumulative_counts(predictions)
+    """All figures of one set of predictions (``label, score, logit``), one row each."""
     whole = _as_rows(M.weighted_log_loss(predictions))
     for figures in (
         M.confusion_metrics(predictions, params.decision_threshold),
-        M.average_precision(cumulative),
-        M.roc_auc(cumulative),
+        M.ranking_areas(M.cumulative_counts(predictions)),
         M.best_threshold(predictions),
     ):
         whole = whole.unionByName(_as_rows(figures))

@@ -17,6 +17,7 @@ from epispark.operators import learn
 from epispark.operators import nodes as N
 from epispark.operators import quality as Q
 from epispark.params import Params
+from epispark.schemas import NODE_EMBEDDINGS
 from epispark.sources import tables
 
 
@@ -27,7 +28,7 @@ class Graph:
 
 
 def build_graph(sizes: DataFrame, contacts: DataFrame, params: Params, path: str) -> Graph:
-    """Write ``nodes`` and ``edges``.
+    """Write ``nodes``, ``edges`` and ``chroms_without_contacts``.
 
     ``sizes`` has ``raw_name, length``; ``contacts`` has ``chrom, bin_x, bin_y, count``,
     the chromosome in any of the usual spellings.
@@ -44,7 +45,10 @@ def build_graph(sizes: DataFrame, contacts: DataFrame, params: Params, path: str
     usable = H.near_contacts(H.finite_contacts(named_contacts), params.max_contact_bins)
     if usable.isEmpty():
         raise ValueError("no usable contact on any chromosome")
-    adjacency = H.symmetric_edges(usable, H.chrom_offsets(nodes), params.drop_diagonal)
+    tables.write_summary(H.chroms_without_contacts(nodes, usable), f"{path}/chroms_without_contacts")
+    offsets = H.chrom_offsets(nodes)
+    inside = H.contacts_inside(usable, offsets, params.bin_width)
+    adjacency = H.symmetric_edges(inside, offsets, params.drop_diagonal)
     kept = H.topk_union(adjacency, params.top_k)
     featured = H.edge_features(kept, nodes, params.bin_width, params.max_contact_bins)
     featured.write.mode("overwrite").parquet(f"{path}/edges")
@@ -82,27 +86,30 @@ def embed_nodes(
     name: str,
     load: Callable[[], learn.Model],
 ) -> DataFrame:
-    """Pool the embeddings of the sampled windows per node; finished chromosomes are skipped."""
+    """Pool the embeddings of the sampled windows per node.
+
+    Chromosomes are recorded as finished once written, also one without any window, and
+    skipped from then on.
+    """
     spark = nodes.sparkSession
     out = f"{path}/node_embeddings"
     chroms = nodes.select("chrom").distinct()
-    try:
-        done = spark.read.parquet(out).select("chrom").distinct()
-        chroms = N.pending_keys(chroms, done, ["chrom"])
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
+    finished = f"{path}/node_embeddings_finished"
+    done = tables.read_or_empty(spark, finished, chroms.schema)
+    chroms = N.pending_keys(chroms, done, ["chrom"])
     pending = source.join(F.broadcast(chroms), "chrom", "left_semi")
     windows = sample_windows(pending, nodes, params)
     embedded = learn.embed_windows(windows, name, load, params.embedding_width)
     tables.write_pending(N.pool_embeddings(embedded), out)
-    return spark.read.parquet(out)
+    chroms.write.mode("append").parquet(finished)
+    return tables.read_or_empty(spark, out, NODE_EMBEDDINGS)
 
 
 def build_node_features(nodes: DataFrame, pooled: DataFrame, params: Params, path: str) -> DataFrame:
-    """Write and return ``node_features``: one full vector per node."""
+    """Write ``node_coverage``; write and return ``node_features``: one full vector per node."""
     audit.require_empty(audit.duplicate_keys(pooled, N.BIN_KEY), "bins are embedded twice")
     covered = N.node_features(nodes, pooled, params.embedding_width)
+    tables.write_summary(N.node_coverage(covered), f"{path}/node_coverage")
     if params.extra_node_features:
         full = N.full_features(N.extra_features(covered, params.chroms))
     else:

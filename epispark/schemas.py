@@ -62,6 +62,24 @@ SHARD = T.StructType([
     T.StructField("dtype", T.StringType()),
 ])
 
+# Figures of one epoch on one split.
+_FIGURES = T.StructType([T.StructField(name, T.DoubleType()) for name in ("loss", "mcc", "roc_auc", "average_precision")])
+
+HISTORY = T.StructType([
+    T.StructField("run_id", T.StringType()),
+    T.StructField("epoch", T.IntegerType()),
+    T.StructField("phase", T.StringType()),
+    T.StructField("train", _FIGURES),
+    T.StructField("validation", _FIGURES),
+])
+
+NODE_EMBEDDINGS = T.StructType([
+    T.StructField("bin_start", T.LongType()),
+    T.StructField("sample_count", T.LongType()),
+    T.StructField("embedding", T.ArrayType(T.DoubleType())),
+    T.StructField("chrom", T.StringType()),
+])
+
 MANIFEST = T.StructType([
     T.StructField("split", T.StringType()),
     T.StructField("shard_size", T.LongType()),

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from epispark.schemas import MANIFEST
 
@@ -49,8 +50,10 @@ def hash_files(files: DataFrame) -> DataFrame:
 
 
 def read_manifests(spark: SparkSession, path: str) -> DataFrame:
-    """Nested manifests, one JSON object per file."""
-    return spark.read.schema(MANIFEST).option("multiLine", True).json(path)
+    """Nested manifests: files of one JSON object or several, on a line each or over many."""
+    text = spark.read.text(path, wholetext=True)
+    objects = F.concat(F.lit("["), F.regexp_replace(F.trim("value"), r"\}\s*\n\s*\{", "},{"), F.lit("]"))
+    return text.select(F.inline(F.from_json(objects, T.ArrayType(MANIFEST), {"mode": "FAILFAST"})))
 
 
 def parse_manifests(text: DataFrame, column: str = "manifest") -> DataFrame:

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from epispark.schemas import HISTORY
 
 
 def read_columns(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
@@ -52,6 +56,30 @@ def write_json(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
     rows.write.mode(mode).json(path)
 
 
+def write_history(epochs: DataFrame, path: str) -> None:
+    """Add epochs to a training history."""
+    epochs.select(*HISTORY.fieldNames()).write.mode("append").json(path)
+
+
+def read_history(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(HISTORY).json(path)
+
+
+def history_values(history: DataFrame, figure: str, split: str = "validation") -> DataFrame:
+    """``run_id, epoch, phase`` and one figure of a split under its own name."""
+    return history.select("run_id", "epoch", "phase", F.col(f"{split}.{figure}").alias(figure))
+
+
+def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A Parquet table that may not have been written yet, or has no row so far."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def write_pending(rows: DataFrame, path: str, partition: str = "chrom") -> None:
     """Replace only the partitions that ``rows`` has."""
     (

@@ -21,7 +21,6 @@ from epispark.operators import quality as Q
 from epispark.operators import shards as D
 from epispark.operators import splits as X
 from epispark.params import RRBS_HG19
-from epispark.session import materialise
 from epispark.sources import properties as P
 
 PARAMS = replace(
@@ -38,7 +37,6 @@ PARAMS = replace(
     batch_size=64,
     embedding_width=64,
     patience=5,
-    max_epochs=100,
 )
 
 CHROM_OF_SUPPLIER = (
@@ -46,7 +44,8 @@ CHROM_OF_SUPPLIER = (
     "ELSE CAST(1 + l_suppkey % 25 AS STRING) END)"
 )
 PAIR_CHROM_OF_SUPPLIER = (
-    "concat('chr', CASE l_suppkey % 23 WHEN 22 THEN 'X' ELSE CAST(1 + l_suppkey % 23 AS STRING) END)"
+    "concat('chr', CASE WHEN l_suppkey % 23 = 22 THEN 'X' WHEN l_suppkey % 23 IN (5, 17) THEN '1'"
+    " ELSE CAST(1 + l_suppkey % 23 AS STRING) END)"
 )
 RAW_NAME = (
     "CASE WHEN k < 10 THEN concat('chr', CAST(1 + k AS STRING)) WHEN k < 22 THEN CAST(1 + k AS STRING) "
@@ -136,16 +135,11 @@ class Tables:
     def valid(self) -> DataFrame:
         return Q.valid_windows(self.windows, PARAMS.window, PARAMS.max_unknown_fraction)
 
-    @cached_property
-    def stored(self) -> DataFrame:
-        """Valid windows written once; what follows reads them more than once."""
-        return materialise(self.valid)
-
     @cached_property
     def rows(self) -> DataFrame:
         """Valid windows with a label and the split of their contig group."""
         number = F.regexp_replace("chrom", "^ctg", "").try_cast("bigint")
-        labelled = self.stored.select(
+        labelled = self.valid.select(
             "chrom",
             "canonical_position",
             "sequence",
@@ -212,7 +206,8 @@ class Tables:
     @cached_property
     def edges(self) -> DataFrame:
         usable = H.near_contacts(H.finite_contacts(self.contacts), PARAMS.max_contact_bins)
-        return H.symmetric_edges(usable, H.chrom_offsets(self.nodes))
+        offsets = H.chrom_offsets(self.nodes)
+        return H.symmetric_edges(H.contacts_inside(usable, offsets, PARAMS.bin_width), offsets)
 
     @cached_property
     def kept_edges(self) -> DataFrame:
@@ -267,6 +262,7 @@ class Tables:
             "event_id AS row_id",
             f"CASE WHEN {IS_POSITIVE} THEN 1 ELSE 0 END AS label",
             f"((event_id * 7919) % 700 + CASE WHEN {IS_POSITIVE} THEN 300 ELSE 0 END) / 1000D AS score",
+            "CASE event_id % 50 WHEN 0 THEN 40D WHEN 1 THEN -40D ELSE (event_id * 7919 % 1000) / 100D - 5 END AS logit",
         )
 
     @cached_property
@@ -507,8 +503,9 @@ VIEWS: dict[str, str] = {
           FROM b_node_counts n JOIN b_offsets o USING (chrom) JOIN b_named_sizes s USING (chrom),
                unnest(range(0, 25)) AS u(k)) e""",
     "b_node_vectors": """
-        SELECT n.node_index, n.chrom, n.bin_start, p.dim, p.v
-        FROM b_nodes n JOIN b_pooled p USING (chrom, bin_start)""",
+        SELECT n.node_index, n.chrom, n.bin_start, n.dim, coalesce(p.v, 0) AS v
+        FROM (SELECT *, CAST(unnest(range(0, 64)) AS INTEGER) AS dim FROM b_nodes) n
+        LEFT JOIN b_pooled p USING (chrom, bin_start, dim)""",
     "b_full": """
         SELECT node_index, dim, v FROM b_node_vectors
         UNION ALL SELECT node_index, dim + 64, v FROM b_extra""",
@@ -524,7 +521,9 @@ VIEWS: dict[str, str] = {
     "b_predictions": f"""
         SELECT event_id AS row_id, CASE WHEN {IS_POSITIVE} THEN 1 ELSE 0 END AS label,
                CAST((event_id * 7919) % 700 + CASE WHEN {IS_POSITIVE} THEN 300 ELSE 0 END AS DOUBLE)
-                 / 1000.0::DOUBLE AS score
+                 / 1000.0::DOUBLE AS score,
+               CASE event_id % 50 WHEN 0 THEN 40::DOUBLE WHEN 1 THEN -40::DOUBLE
+                    ELSE (event_id * 7919 % 1000) / 100.0::DOUBLE - 5 END AS logit
         FROM events""",
     "b_scores": """
         SELECT score, count(*) FILTER (label = 1) AS pos, count(*) FILTER (label = 0) AS neg

@@ -76,7 +76,7 @@ def candidate_windows(t: Tables):
 
 
 @query("""SELECT chrom, canonical_position FROM b_checked
-          WHERE sequence IS NOT NULL AND regexp_matches(sequence, '[^ACGTN]')""")
+          WHERE sequence IS NULL OR regexp_matches(sequence, '[^ACGTN]')""")
 def invalid_windows(t: Tables):
     return Q.invalid_windows(t.windows, PARAMS.window).select(*_SITE)
 
@@ -256,9 +256,9 @@ _KEYED = "md5(concat_ws('|', chrom, canonical_position, '45'))"
                   row_number() OVER (ORDER BY {_KEYED}, chrom, canonical_position) - 1 AS row_index
            FROM b_labelled""")
 def epoch_shuffle(t: Tables):
-    rows = t.stored.select(*_SITE)
+    rows = t.valid.select(*_SITE)
     keyed = rows.withColumn("shuffle_key", D.epoch_key([F.col(c) for c in _SITE], seed=42, epoch=3))
-    return I.with_row_index(keyed, ["shuffle_key", *_SITE])
+    return I.with_row_index(keyed, ["shuffle_key", *_SITE], I.hash_blocks("shuffle_key"))
 
 
 @query("""
@@ -269,7 +269,9 @@ def epoch_shuffle(t: Tables):
     FROM r GROUP BY i // 64""")
 def pack_batches(t: Tables):
     rows = t.rows.select(*_SITE, "label")
-    packed = D.pack_batches(rows, _SITE, [*_SITE, "label"], PARAMS.batch_size, workers=4)
+    packed = D.pack_batches(
+        rows, list(_SITE), I.position_blocks(), [*_SITE, "label"], PARAMS.batch_size, workers=4
+    )
     text = F.transform(
         "samples",
         lambda s: F.format_string("%s:%d=%d", s["chrom"], s["canonical_position"], s["label"]),
@@ -282,10 +284,12 @@ def pack_batches(t: Tables):
           FROM b_labelled l JOIN b_contigs c ON l.chrom = c.chrom)
     SELECT chrom, canonical_position,
            CASE kind WHEN 1 THEN 'only in the second set' WHEN 2 THEN 'only in the first set'
-                     WHEN 3 THEN 'labels differ' WHEN 4 THEN 'nodes differ' ELSE 'aligned' END AS outcome
+                     WHEN 3 THEN 'labels differ' WHEN 4 THEN 'nodes differ' WHEN 5 THEN 'row counts differ'
+                     WHEN 7 THEN 'labels differ' ELSE 'aligned' END AS outcome
     FROM s""")
 def feature_alignment(t: Tables):
-    """Two feature sets with errors planted by contig: missing rows, labels and nodes that differ."""
+    """Two feature sets with errors planted by contig: rows missing or repeated, labels that are
+    NULL (on both sides, or one) or differ, nodes that differ."""
     bin_ = (F.col("canonical_position") - 1) - F.pmod(
         F.col("canonical_position") - 1, F.lit(PARAMS.bin_width)
     )
@@ -293,9 +297,10 @@ def feature_alignment(t: Tables):
     rows = t.rows.select(*_SITE, "label", kind.alias("kind"), bin_.alias("node_index"))
     first = rows.filter("kind <> 1").withColumn(
         "node_index", F.when(F.col("kind") == 4, F.col("node_index") + 1).otherwise(F.col("node_index"))
-    )
+    ).withColumn("label", F.when(~F.col("kind").isin(6, 7), F.col("label")))
+    first = first.unionByName(first.filter("kind = 5"))
     second = rows.filter("kind <> 2").withColumn(
-        "label", F.when(F.col("kind") == 3, 1 - F.col("label")).otherwise(F.col("label"))
+        "label", F.when(F.col("kind") == 3, 1 - F.col("label")).when(F.col("kind") != 6, F.col("label"))
     )
     bins = G.genome_bins(t.contig_lengths, PARAMS.bin_width).withColumn("node_index", F.col("bin_start"))
     nodes = N.join_nodes(rows.select(*_SITE), bins, PARAMS.bin_width)

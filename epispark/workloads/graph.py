@@ -93,10 +93,6 @@ def oe_edges(t: Tables):
 
 
 @query("""SELECT DISTINCT chrom FROM b_nodes WHERE chrom NOT IN
-          (SELECT chrom FROM b_contacts WHERE isfinite(count) AND count > 49 AND abs(bin_x - bin_y) >= 94)""")
+          (SELECT chrom FROM b_contacts WHERE isfinite(count))""")
 def empty_contact_chroms(t: Tables):
-    """Chromosomes without a strong contact between their ends."""
-    strong = H.finite_contacts(t.contacts).filter(
-        (F.col("count") > 49) & (F.abs(F.col("bin_x") - F.col("bin_y")) >= 94)
-    )
-    return H.chroms_without_contacts(t.nodes, strong)
+    return H.chroms_without_contacts(t.nodes, H.finite_contacts(t.contacts))

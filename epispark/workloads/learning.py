@@ -16,8 +16,7 @@ QUERIES, ORACLES = _registry.queries, _registry.oracles
 @query("""
     WITH c AS (SELECT count(*) AS n, count(*) FILTER (label = 1) AS pos, count(*) FILTER (label = 0) AS neg
                FROM b_predictions),
-    l AS (SELECT label, ln(p / (1 - p)) AS x
-          FROM (SELECT label, least(greatest(score, 1e-6::DOUBLE), 1 - 1e-6::DOUBLE) AS p FROM b_predictions) q),
+    l AS (SELECT label, logit AS x FROM b_predictions),
     s AS (SELECT sum(CASE WHEN label = 1 THEN greatest(-x, 0) + ln(1 + exp(-abs(x))) ELSE 0 END) AS ps,
                  sum(CASE WHEN label = 0 THEN greatest(x, 0) + ln(1 + exp(-abs(x))) ELSE 0 END) AS ns FROM l)
     SELECT n AS row_count, round(neg / pos, 6) AS pos_weight, round((neg / pos * ps + ns) / n, 6) AS loss
@@ -104,7 +103,7 @@ def threshold_sweep(t: Tables):
            max(stop_epoch) AS stop_epoch
     FROM w JOIN n USING (run_id) GROUP BY run_id, epoch_count""")
 def early_stopping_scan(t: Tables):
-    return M.early_stopping(t.history, PARAMS.patience, PARAMS.min_delta, PARAMS.max_epochs)
+    return M.early_stopping(t.history, PARAMS.patience, PARAMS.min_delta)
 
 
 @query()

@@ -15,8 +15,8 @@ QUERIES, ORACLES = _registry.queries, _registry.oracles
 
 @query("""SELECT chrom, bin_start, count(*) AS sample_count FROM b_wemb GROUP BY ALL""")
 def node_embeddings_scan(t: Tables):
-    """Per-chromosome tables in one, after checking that no bin is in two of them."""
-    parts = [t.pooled.filter(F.col("chrom") == c) for c in ("chr1", "chr2")]
+    """A table of one chromosome and one of all others in one, after checking that no bin is in two of them."""
+    parts = [t.pooled.filter(F.col("chrom") == "chr1"), t.pooled.filter(F.col("chrom") != "chr1")]
     whole = X.union_splits(*parts)
     again = audit.duplicate_keys(whole, ["chrom", "bin_start"])
     return audit.missing_keys(whole, again, ["chrom", "bin_start"]).select(
@@ -65,18 +65,15 @@ def node_coverage(t: Tables):
     return N.node_coverage(t.node_features)
 
 
-@query("""SELECT node_index, dim, round(v, 6) AS value FROM b_extra WHERE v <> 0 OR dim >= 23""")
+@query("""SELECT node_index, dim, round(v, 6) AS value FROM b_extra""")
 def node_extra_features(t: Tables):
     extra = N.extra_features(t.node_features, PARAMS.chroms)
-    values = long_form(extra, ["node_index"], "extra")
-    return values.filter((F.col("value") != 0) | (F.col("dim") >= len(PARAMS.chroms)))
+    return long_form(extra, ["node_index"], "extra")
 
 
-@query("""SELECT node_index, CAST(89 AS INTEGER) AS width, round(sum(v * (dim + 1)), 6) AS weighted_sum,
-                 round(sum(v * v), 6) AS square_sum
-          FROM b_full GROUP BY node_index""")
+@query("""SELECT node_index, dim, round(v, 6) AS value FROM b_full""")
 def node_full_features(t: Tables):
-    return t.full_features.select("node_index", *digest("features"))
+    return long_form(t.full_features, ["node_index"], "features")
 
 
 @query("""
@@ -86,11 +83,10 @@ def node_full_features(t: Tables):
     z AS (SELECT dst, sum(w) AS total FROM w GROUP BY dst),
     v AS (SELECT w.dst, f.dim, sum(w.w * f.v) / any_value(z.total) AS v
           FROM w JOIN b_full f ON w.src = f.node_index JOIN z ON w.dst = z.dst GROUP BY w.dst, f.dim)
-    SELECT dst, CAST(89 AS INTEGER) AS width, round(sum(v * (dim + 1)), 6) AS weighted_sum,
-           round(sum(v * v), 6) AS square_sum FROM v GROUP BY dst""")
+    SELECT dst, dim, round(v, 6) AS value FROM v""")
 def neighbour_aggregate(t: Tables):
     mixed = N.neighbour_aggregate(t.edge_features, t.full_features, "observed_expected")
-    return mixed.select("dst", *digest("embedding"))
+    return long_form(mixed, ["dst"], "embedding")
 
 
 @query("""SELECT vec_id, false AS finite FROM embeddings

@@ -216,13 +216,13 @@ def test_single_chromosome_leaves_empty_splits(spark):
 
 def test_row_index_follows_the_order(spark):
     rows = spark.range(1000).select(F.md5(F.col("id").cast("string")).alias("k")).repartition(7)
-    indexed = I.with_row_index(rows, ["k"]).collect()
+    indexed = I.with_row_index(rows, ["k"], I.hash_blocks("k")).collect()
     assert [r["row_index"] for r in sorted(indexed, key=lambda r: r["k"])] == list(range(1000))
 
 
 def test_group_index_restarts(spark):
     rows = spark.range(100).select((F.col("id") % 3).cast("string").alias("g"), "id")
-    found = values(I.with_row_index(rows, ["id"], group="g"), "g", "id", "row_index")
+    found = values(I.with_row_index(rows, ["id"], [F.floor(F.col("id") / 7)], group="g"), "g", "id", "row_index")
     assert all(index == id_ // 3 for _, id_, index in found)
 
 
@@ -295,11 +295,23 @@ def test_duplicates_sum_and_diagonal_counts_once(spark):
 def test_edge_features(spark):
     edges = spark.createDataFrame([(0, 2, 4.0), (1, 1, 2.0)], EDGES)
     nodes = spark.createDataFrame([(0,), (1,)], "node_index bigint")
-    found = values(H.edge_features(edges, nodes, 10), "src", "dst", "observed_expected", "is_self_loop", "log_distance")
+    found = values(H.edge_features(edges, nodes, 10, 2), "src", "dst", "observed_expected", "is_self_loop", "log_distance")
     assert [(a, b, oe, loop) for a, b, oe, loop, _ in found] == [
         (0, 0, 1.0, 1.0), (0, 2, 1.0, 0.0), (1, 1, 1.0, 0.0), (1, 1, 1.0, 1.0)
     ]
     assert found[1][4] == pytest.approx(3.044522, abs=1e-5)
+    with pytest.raises(Exception, match="longer than 1 bins"):
+        H.edge_features(edges, nodes, 10, 1).collect()
+
+
+def test_a_contact_outside_its_chromosome_is_an_error(spark):
+    offsets = spark.createDataFrame([("c", 0, 25), ("d", 3, 10)], "chrom string, node_offset bigint, chrom_length bigint")
+    rows = spark.createDataFrame([("c", 0, 2, 1.0), ("x", 9, 9, 1.0)], "chrom string, bin_x bigint, bin_y bigint, count double")
+    assert values(H.contacts_inside(rows, offsets, 10), "chrom", "bin_y") == [("c", 2)]
+    for bins in ((0, 3), (-1, 2)):
+        wrong = spark.createDataFrame([("c", *bins, 1.0)], rows.schema)
+        with pytest.raises(Exception, match="outside c"):
+            H.contacts_inside(wrong, offsets, 10).collect()
 
 
 def test_contacts_that_are_not_finite(spark):
@@ -377,12 +389,12 @@ def test_constant_prediction_has_no_correlation(spark):
     assert figures["mcc"] == 0.0
 
 
-@pytest.mark.parametrize("slices", [1, 2, 3, 50])
+@pytest.mark.parametrize("slices", [1, 3, 1 << 16])
 def test_cumulative_counts_do_not_depend_on_the_cut(spark, slices):
     import random
 
     rng = random.Random(slices)
-    rows = [(rng.randint(0, 1), rng.choice([0.0, 1e-12, 0.3, rng.random()])) for _ in range(400)]
+    rows = [(rng.randint(0, 1), rng.choice([0.0, 1e-12, 0.3, 1.0, -2.0, 5.5, rng.random()])) for _ in range(400)]
     found = {r["score"]: (r["cum_pos"], r["cum_neg"]) for r in
              M.cumulative_counts(predictions(spark, *zip(*rows)), slices).collect()}
     for score, (pos, neg) in found.items():
@@ -403,31 +415,78 @@ def history(spark, losses, frozen=0):
 
 
 def test_improvement_must_exceed_the_delta(spark):
-    found = M.early_stopping(history(spark, [1.0, 0.75, 0.8]), 5, 0.25, 10).first()
+    found = M.early_stopping(history(spark, [1.0, 0.75, 0.8]), 5, 0.25).first()
     assert found["best_epoch"] == 0
-    found = M.early_stopping(history(spark, [1.0, 0.7, 0.8]), 5, 0.25, 10).first()
+    found = M.early_stopping(history(spark, [1.0, 0.7, 0.8]), 5, 0.25).first()
     assert found["best_epoch"] == 1
 
 
 def test_patience_does_not_stop_a_frozen_run(spark):
-    found = M.early_stopping(history(spark, [1, 2, 2, 2, 2, 2], frozen=4), 2, 1e-5, 10).first()
+    found = M.early_stopping(history(spark, [1, 2, 2, 2, 2, 2], frozen=4), 2, 1e-5).first()
     assert (found["best_epoch"], found["stop_epoch"]) == (0, 4)
 
 
 def test_epochs_after_the_stop_do_not_count(spark):
-    found = M.early_stopping(history(spark, [1, 2, 2, 0.1]), 2, 1e-5, 10).first()
+    found = M.early_stopping(history(spark, [1, 2, 2, 0.1]), 2, 1e-5).first()
     assert (found["best_loss"], found["stop_epoch"], found["epoch_count"]) == (1.0, 2, 4)
 
 
 def test_higher_is_better(spark):
     rows = history(spark, [0.1, 0.4, 0.3]).withColumnRenamed("loss", "mcc")
-    found = M.early_stopping(rows, 5, 1e-5, 10, value="mcc", higher_is_better=True).first()
+    found = M.early_stopping(rows, 5, 1e-5, value="mcc", higher_is_better=True).first()
     assert (found["best_epoch"], found["best_mcc"]) == (1, 0.4)
 
 
-def test_too_many_epochs_are_an_error(spark):
-    with pytest.raises(Exception, match="epoch outside"):
-        M.early_stopping(history(spark, [1, 1, 1]), 2, 1e-5, 2).collect()
+def test_long_runs_and_repeated_epochs(spark):
+    found = M.early_stopping(history(spark, [1.0] * 25_000), 24_000, 1e-5).first()
+    assert (found["epoch_count"], found["best_epoch"], found["stop_epoch"]) == (25_000, 0, 24_000)
+    rows = history(spark, [1, 1, 1])
+    with pytest.raises(Exception, match="missing or repeated"):
+        M.early_stopping(rows.unionByName(rows.limit(1)), 2, 1e-5).collect()
+    odd = M.early_stopping(history(spark, [float("nan"), 3.0, float("nan")]), 5, 1e-5).first()
+    assert (odd["best_epoch"], odd["best_loss"]) == (1, 3.0)
+    assert M.early_stopping(rows.limit(0), 2, 1e-5).count() == 0
+
+
+def test_loss_of_confident_logits(spark):
+    rows = spark.createDataFrame([(0, 40.0), (1, -700.0), (1, 2.0), (0, -1e6)], "label int, logit double")
+    import math
+
+    small = math.log1p(math.exp(-2.0))
+    assert M.weighted_log_loss(rows).first()["loss"] == pytest.approx((40 + 700 + small) / 4, rel=1e-12)
+
+
+@pytest.mark.parametrize("label, score", [(1, None), (1, float("nan")), (0, float("inf")), (2, 0.5), (None, 0.5)])
+def test_figures_of_broken_rows_are_errors(spark, label, score):
+    rows = spark.createDataFrame([(1, 0.5, 0.5), (label, score, score)], "label int, score double, logit double")
+    for figures in (M.weighted_log_loss, M.confusion_metrics, M.best_threshold, lambda r: M.ranking_areas(M.cumulative_counts(r))):
+        with pytest.raises(Exception, match="not finite"):
+            figures(rows).collect()
+
+
+def test_many_groups_are_split_in_one_pass(spark):
+    rows = spark.range(20_000).select(F.concat(F.lit("g"), "id").alias("chrom"), (F.col("id") % 50 + 1).alias("site_count"))
+    split = X.greedy_split(rows)
+    sums = {r["split"]: r["n"] for r in split.join(rows, "chrom").groupBy("split").agg(F.sum("site_count").alias("n")).collect()}
+    assert split.count() == 20_000
+    assert sums["train"] / sum(sums.values()) == pytest.approx(0.8, abs=0.001)
+
+
+def test_masked_scores_have_no_weight(spark):
+    low = float("-inf")
+    rows = [("a", 1.0, [1.0]), ("a", low, [5.0]), ("a", None, [7.0]), ("b", low, [2.0])]
+    tokens = spark.createDataFrame(rows, "seq_id string, score double, embedding array<double>")
+    assert {r["seq_id"]: r["embedding"] for r in N.softmax_pool(tokens).collect()} == {"a": [1.0], "b": None}
+
+
+def test_alignment_of_repeated_and_unlabelled_sites(spark):
+    schema = "chrom string, canonical_position int, label int, node_index int"
+    left = spark.createDataFrame([("c", 1, 1, 0), ("c", 1, 1, 0), ("c", 2, None, 0), ("c", 3, None, 0), ("c", 4, 0, 0)], schema)
+    right = spark.createDataFrame([("c", 1, 1, 0), ("c", 2, 1, 0), ("c", 3, None, 0), ("c", 5, 0, 0)], schema)
+    nodes = spark.createDataFrame([("c", p, 0) for p in range(6)], "chrom string, canonical_position int, node_index int")
+    assert values(audit.alignment(left, right, nodes), "canonical_position", "outcome") == [
+        (1, "row counts differ"), (2, "labels differ"), (3, "aligned"), (4, "only in the first set"), (5, "only in the second set")
+    ]
 
 
 # -- shards and audits -------------------------------------------------------
@@ -444,6 +503,8 @@ def test_shards_are_full_but_the_last(spark):
         ("test", 0, 4, 3, 4, 1), ("train", 0, 10, 3, 21, 3), ("train", 1, 10, 3, 21, 3), ("train", 2, 1, 3, 21, 3)
     ]
     assert values(D.shard_offsets(manifest), "split", "row_offset") == [("test", 0), ("train", 0), ("train", 10), ("train", 20)]
+    short = spark.createDataFrame([("t", 0, 10), ("t", 1, 7), ("t", 2, 10), ("t", 2500, 1)], "split string, shard_index bigint, row_count bigint")
+    assert values(D.shard_offsets(short), "shard_index", "row_offset") == [(0, 0), (1, 10), (2, 17), (2500, 27)]
     other = manifest.filter("shard_index < 2").withColumn("row_count", F.col("row_count") + 1)
     assert D.compare_layouts(manifest, other).filter("NOT agrees").count() == 4
 

@@ -12,6 +12,7 @@ from epispark.operators import learn
 from epispark.operators import shards as D
 from epispark.params import RRBS_HG19, WGBS_GRCH38
 from epispark.plans import dataset, features, graph
+from epispark.sources import files
 
 CHROMS = ("chr1", "chr2", "chrX")
 SMALL = dict(window=21, tile_width=100, bin_width=100, max_contact_distance=1_000, top_k=3, shard_size=20,
@@ -91,6 +92,12 @@ def test_flows(spark, tmp_path, genome, calls, name):
     }
     features.check_alignment(shards.rows, shards.rows, linked, net.nodes, params)
     features.check_layout(shards.manifest, shards.manifest, params)
+    back = D.explode_manifest(files.read_manifests(spark, f"{path}/manifest")).select(shards.manifest.columns)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, shards.manifest.collect()))
+    for r in back.collect():
+        assert spark.read.parquet(f"{path}/shards/{r['file']}").count() == r["row_count"]
+    assert spark.read.option("header", True).csv(f"{path}/node_coverage").filter("chrom = 'all'").count() == 1
+    assert spark.read.option("header", True).csv(f"{path}/chroms_without_contacts").count() == 0
     table = [[float(code + j) for j in range(12)] for code in range(16)]
     sample = D.expand_samples(shards.rows, linked, table)
     assert sample.count() == made.sites.count()
@@ -105,10 +112,10 @@ def test_flows(spark, tmp_path, genome, calls, name):
         features.check_alignment(shards.rows, wrong, linked, net.nodes, params)
 
 
-def test_guard_on_strands(spark, calls):
+def test_guard_on_strands(spark, calls, tmp_path):
     one_strand = calls.filter("strand = '+'")
     with pytest.raises(ValueError, match="both strands"):
-        dataset.checked_pairs(one_strand, replace(WGBS_GRCH38, chroms=CHROMS))
+        dataset.checked_pairs(one_strand, replace(WGBS_GRCH38, chroms=CHROMS), str(tmp_path))
 
 
 def test_missing_chromosome_and_no_contacts(spark, tmp_path):
@@ -126,7 +133,8 @@ def test_evaluate(spark):
     rng = np.random.default_rng(3)
     labels = rng.integers(0, 2, 500)
     scores = np.round(np.clip(labels * 0.3 + rng.random(500) * 0.7, 0, 1), 2)
-    rows = spark.createDataFrame(list(zip(labels.tolist(), scores.tolist())), "label int, score double")
+    logits = (4 * scores - 2).tolist()
+    rows = spark.createDataFrame(list(zip(labels.tolist(), scores.tolist(), logits)), "label int, score double, logit double")
     found = {r["metric"]: r["value"] for r in features.evaluate(rows, PRESETS["whole genome"]).collect()}
     pos, neg = scores[labels == 1], scores[labels == 0]
     wins = (pos[:, None] > neg).sum() + 0.5 * (pos[:, None] == neg).sum()

@@ -135,6 +135,18 @@ def test_sinks(spark, tmp_path):
     assert spark.read.json(f"{tmp_path}/h").count() == 2
 
 
+def test_training_history(spark, tmp_path):
+    from epispark.operators.metrics import early_stopping
+    from epispark.schemas import HISTORY
+
+    for epoch, loss in enumerate((0.5, 0.4, 0.45)):
+        row = ("r", epoch, "unfrozen", (0.3, None, None, None), (loss, 0.1, None, None))
+        tables.write_history(spark.createDataFrame([row], HISTORY), f"{tmp_path}/h")
+    back = tables.read_history(spark, f"{tmp_path}/h")
+    best = early_stopping(tables.history_values(back, "loss"), 5, 1e-5).first()
+    assert (best["epoch_count"], best["best_epoch"], best["best_loss"]) == (3, 1, 0.4)
+
+
 def test_only_pending_partitions_are_replaced(spark, tmp_path):
     path = f"{tmp_path}/p"
     tables.write_pending(spark.createDataFrame([("a", 1), ("b", 1)], "chrom string, v int"), path)
