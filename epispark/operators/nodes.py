@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,15 +101,55 @@ def edge_softmax(edges: DataFrame, score: str) -> DataFrame:
     ).drop("_weight")
 
 
-def neighbour_aggregate(edges: DataFrame, features: DataFrame, score: str) -> DataFrame:
-    """Mean of the neighbours' vectors at every target, weighted by the edges' softmax."""
-    sources = features.select(F.col("node_index").alias("src"), F.col("features").alias("_vector"))
-    messages = edge_softmax(edges, score).select("src", "dst", "attention").join(sources, "src")
-    # A weight that underflows to zero adds nothing, and its row need not be moved.
-    return (
-        messages.filter(F.col("attention") > 0)
-        .groupBy("dst")
-        .agg(mean_vector(F.col("_vector"), F.col("attention")).alias("embedding"))
+def neighbour_aggregate(edges: DataFrame, features: DataFrame, score: str, max_bins: int) -> DataFrame:
+    """Mean of the neighbours' vectors at every target, weighted by the edges' softmax.
+
+    No edge is longer than ``max_bins`` (one that is fails the query). So the nodes are cut
+    into blocks wider than that, a vector goes to its own block and the two beside it, and
+    the edges to the block of their target: three copies of a vector instead of one per
+    edge. A block holds a bounded number of vectors and edges and is summed in one task.
+    """
+    width = max_bins + 1
+    span = F.abs(F.col("src") - F.col("dst"))
+    too_long = F.raise_error(F.lit(f"an edge is longer than {max_bins} bins")).cast("bigint")
+    home = F.floor(F.col("dst") / F.lit(width))
+    # A weight that underflows to zero adds nothing.
+    messages = (
+        edge_softmax(edges, score)
+        .filter(F.col("attention") > 0)
+        .select("src", "dst", "attention", F.when(span <= max_bins, home).otherwise(too_long).alias("block"))
+    )
+    own = F.floor(F.col("node_index") / F.lit(width))
+    vectors = features.filter(F.col("features").isNotNull()).select(
+        "node_index",
+        F.col("features").cast("array<double>").alias("vector"),
+        F.explode(F.array(own - 1, own, own + 1)).alias("block"),
+    )
+
+    def mix(edges: pa.Table, nodes: pa.Table) -> pa.Table:
+        order = np.argsort(nodes.column("node_index").to_numpy())
+        known = nodes.column("node_index").to_numpy()[order]
+        dst, src, share = (edges.column(c).to_numpy() for c in ("dst", "src", "attention"))
+        place = np.minimum(np.searchsorted(known, src), max(len(known) - 1, 0))
+        here = known[place] == src if len(known) else np.zeros(len(src), dtype=bool)
+        by_target = np.argsort(dst[here], kind="stable")
+        dst, place, share = dst[here][by_target], order[place[here][by_target]], share[here][by_target]
+        targets, starts = np.unique(dst, return_index=True)
+        found = []
+        if len(targets):
+            table = nodes.column("vector").combine_chunks().flatten().to_numpy().reshape(len(known), -1)
+            total = np.add.reduceat(share, starts)
+            for lo in range(0, len(targets), 64):
+                a = starts[lo]
+                b = starts[lo + 64] if lo + 64 < len(targets) else len(dst)
+                sums = np.add.reduceat(share[a:b, None] * table[place[a:b]], starts[lo : lo + 64] - a, axis=0)
+                found.extend(sums / total[lo : lo + 64, None])
+        return pa.table({
+            "dst": pa.array(targets, pa.int64()), "embedding": pa.array(list(found), pa.list_(pa.float64())),
+        })
+
+    return messages.groupBy("block").cogroup(vectors.groupBy("block")).applyInArrow(
+        mix, "dst bigint, embedding array<double>"
     )
 
 

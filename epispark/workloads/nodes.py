@@ -85,7 +85,7 @@ def node_full_features(t: Tables):
           FROM w JOIN b_full f ON w.src = f.node_index JOIN z ON w.dst = z.dst GROUP BY w.dst, f.dim)
     SELECT dst, dim, round(v, 6) AS value FROM v""")
 def neighbour_aggregate(t: Tables):
-    mixed = N.neighbour_aggregate(t.edge_features, t.full_features, "observed_expected")
+    mixed = N.neighbour_aggregate(t.edge_features, t.full_features, "observed_expected", PARAMS.max_contact_bins)
     return long_form(mixed, ["dst"], "embedding")
 
 

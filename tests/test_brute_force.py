@@ -62,7 +62,7 @@ def test_neighbour_mean(spark):
     scores = rng.normal(size=len(pairs)) * 300
     edges = spark.createDataFrame([(s, d, float(v)) for (s, d), v in zip(pairs, scores)], "src bigint, dst bigint, score double")
     features = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "node_index bigint, features array<double>")
-    found = {r["dst"]: r["embedding"] for r in N.neighbour_aggregate(edges, features, "score").collect()}
+    found = {r["dst"]: r["embedding"] for r in N.neighbour_aggregate(edges, features, "score", 50).collect()}
     for d in range(6):
         into = [(s, v) for (s, t), v in zip(pairs, scores) if t == d]
         e = np.exp(np.array([v for _, v in into]) - max(v for _, v in into))

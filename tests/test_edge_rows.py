@@ -472,6 +472,19 @@ def test_many_groups_are_split_in_one_pass(spark):
     assert sums["train"] / sum(sums.values()) == pytest.approx(0.8, abs=0.001)
 
 
+def test_a_hub_of_full_degree_and_wide_vectors(spark):
+    import numpy as np
+
+    cap, width = 40, 793
+    vectors = np.random.default_rng(0).random((2 * cap + 1, width))
+    features = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "node_index bigint, features array<double>")
+    edges = spark.createDataFrame([(i, cap, 0.0) for i in range(2 * cap + 1)] + [(0, 0, 1.0)], "src bigint, dst bigint, s double")
+    found = {r["dst"]: r["embedding"] for r in N.neighbour_aggregate(edges, features, "s", cap).collect()}
+    assert found.keys() == {0, cap} and np.allclose(found[cap], vectors.mean(axis=0)) and np.allclose(found[0], vectors[0])
+    with pytest.raises(Exception, match="longer than 39 bins"):
+        N.neighbour_aggregate(edges, features, "s", cap - 1).collect()
+
+
 def test_masked_scores_have_no_weight(spark):
     low = float("-inf")
     rows = [("a", 1.0, [1.0]), ("a", low, [5.0]), ("a", None, [7.0]), ("b", low, [2.0])]
