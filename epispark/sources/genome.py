@@ -15,6 +15,10 @@ def read_fasta_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(FASTA_INDEX).option("sep", "\t").csv(path)
 
 
+#: Most bytes of neighbouring tiles that one request reads.
+RUN_BYTES = 8 << 20
+
+
 def tile_ranges(index: DataFrame, tile_width: int, flank: int) -> DataFrame:
     """Byte range in the FASTA file of every tile with its flanks."""
     width = F.lit(tile_width).cast("bigint")
@@ -44,8 +48,9 @@ def read_fasta_tiles(
 ) -> DataFrame:
     """Tiles of a fixed-width FASTA file on a shared filesystem.
 
-    Every task opens the file once and reads only the bytes of its own tiles, so the
-    longest chromosome is spread over the cluster like any other.
+    Every task opens the file once and reads only the bytes of its own tiles, neighbouring
+    ones in one request of at most ``RUN_BYTES``, so the longest chromosome is spread over
+    the cluster like any other.
     """
     ranges = tile_ranges(index, tile_width, flank).repartitionByRange(partitions, "first_byte")
 
@@ -55,10 +60,18 @@ def read_fasta_tiles(
         system, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
         with system.open_input_file(inner) as handle:
             for batch in batches:
-                text = [
-                    handle.read_at(int(last - first + 1), int(first)).decode("ascii")
-                    for first, last in zip(batch["first_byte"], batch["last_byte"])
-                ]
+                batch = batch.sort_values("first_byte", ignore_index=True)
+                spans, text = list(zip(batch["first_byte"].tolist(), batch["last_byte"].tolist())), []
+                at = 0
+                while at < len(spans):
+                    begin, end = spans[at]
+                    stop = at + 1
+                    while stop < len(spans) and spans[stop][0] <= end + 1 and spans[stop][1] - begin < RUN_BYTES:
+                        end = max(end, spans[stop][1])
+                        stop += 1
+                    run = handle.read_at(end - begin + 1, begin)
+                    text += [run[a - begin : b - begin + 1].decode("ascii") for a, b in spans[at:stop]]
+                    at = stop
                 batch["seq"] = [t.replace("\n", "").replace("\r", "").upper() for t in text]
                 yield batch[TILES.fieldNames()]
 
