@@ -79,7 +79,7 @@ def kmer_model(width: int = 64, k: int = 3) -> Callable[[], Model]:
 
 
 def fit_weighted_classifier(
-    rows: DataFrame, l1: float = 0.0, l2: float = 1e-4, max_iter: int = 50
+    rows: DataFrame, l1: float = 0.0, l2: float = 1e-4, max_iter: int = 50, tol: float = 1e-6
 ) -> LogisticRegressionModel:
     """Logistic regression on ``features``, positives weighted by negatives per positive.
 
@@ -102,6 +102,7 @@ def fit_weighted_classifier(
         regParam=total,
         elasticNetParam=l1 / total if total else 0.0,
         maxIter=max_iter,
+        tol=tol,
     )
     return fitted.fit(data)
 

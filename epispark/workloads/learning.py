@@ -116,6 +116,44 @@ def weighted_classifier(t: Tables):
     return learn.score(model, rows).select("vec_id", "label", F.round("score", 6).alias("score"))
 
 
+def _newton(steps: int, penalty: float) -> str:
+    """Weighted, penalised logistic regression on two features by Newton's method, step by step."""
+    parts = [f"""
+    WITH d AS (SELECT vec_id, CAST(label < 3 AS INTEGER) AS y, CAST(embedding[1] AS DOUBLE) AS x1,
+                      CAST(embedding[2] AS DOUBLE) AS x2 FROM embeddings),
+    c AS (SELECT CAST(count(*) FILTER (y = 0) AS DOUBLE) / count(*) FILTER (y = 1) AS pw FROM d),
+    w AS (SELECT d.*, CASE WHEN y = 1 THEN pw ELSE 1 END AS w FROM d, c),
+    m AS (SELECT sum(w) AS sw,
+                 {penalty!r}::DOUBLE * (sum(w * x1 * x1) - sum(w * x1) ** 2 / sum(w)) / (sum(w) - sum(w * w) / sum(w)) AS v1,
+                 {penalty!r}::DOUBLE * (sum(w * x2 * x2) - sum(w * x2) ** 2 / sum(w)) / (sum(w) - sum(w * w) / sum(w)) AS v2
+          FROM w),
+    s0 AS (SELECT 0::DOUBLE AS b0, 0::DOUBLE AS b1, 0::DOUBLE AS b2)"""]
+    for k in range(1, steps + 1):
+        parts.append(f"""
+    p{k} AS (SELECT *, p * (1 - p) * w / sw AS q, w * (y - p) / sw AS e FROM (
+               SELECT *, 1 / (1 + exp(-(b0 + b1 * x1 + b2 * x2))) AS p FROM w, m, s{k - 1}) z),
+    g{k} AS (SELECT any_value(b0) AS b0, any_value(b1) AS b1, any_value(b2) AS b2, sum(e) AS g0,
+               sum(e * x1) - any_value(v1 * b1) AS g1, sum(e * x2) - any_value(v2 * b2) AS g2,
+               sum(q) AS a, sum(q * x1) AS b, sum(q * x2) AS c, sum(q * x1 * x1) + any_value(v1) AS d,
+               sum(q * x1 * x2) AS e, sum(q * x2 * x2) + any_value(v2) AS f FROM p{k}),
+    s{k} AS (SELECT b0 + ((d * f - e * e) * g0 + (c * e - b * f) * g1 + (b * e - c * d) * g2) / t AS b0,
+               b1 + ((c * e - b * f) * g0 + (a * f - c * c) * g1 + (b * c - a * e) * g2) / t AS b1,
+               b2 + ((b * e - c * d) * g0 + (b * c - a * e) * g1 + (a * d - b * b) * g2) / t AS b2
+             FROM (SELECT *, a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d) AS t FROM g{k}) z)""")
+    return ",".join(parts) + f"""
+    SELECT vec_id, y AS label, round(1 / (1 + exp(-(b0 + b1 * x1 + b2 * x2))), 4) AS score FROM d, s{steps}"""
+
+
+@query(_newton(steps=12, penalty=1e-4))
+def weighted_classifier_fit(t: Tables):
+    """Scores of a model fitted on two features, where SQL can take the same steps."""
+    rows = t.table("embeddings").select(
+        "vec_id", F.slice("embedding", 1, 2).alias("features"), (F.col("label") < 3).cast("int").alias("label")
+    )
+    model = learn.fit_weighted_classifier(rows, max_iter=200, tol=1e-12)
+    return learn.score(model, rows).select("vec_id", "label", F.round("score", 4).alias("score"))
+
+
 @query("""
     WITH k AS (
       SELECT chrom, canonical_position,
