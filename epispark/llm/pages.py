@@ -63,8 +63,9 @@ def _apart(tag: str, attributes: list[tuple[str, str | None]]) -> bool:
 class _Page(HTMLParser):
     """The elements of a page in order of their start, and its pieces of text by block."""
 
-    def __init__(self):
+    def __init__(self, named: bool = True):
         super().__init__(convert_charrefs=True)
+        self.named, self.articles = named, 0
         self.tags, self.parents, self.gone, self.linked = ["html"], [-1], [False], [False]
         self.open = [0]
         self.block = 0
@@ -93,7 +94,9 @@ class _Page(HTMLParser):
             self.handle_data(" ")
             return
         at = self.open[-1]
-        inside = self.gone[at] or tag in NO_TEXT or _apart(tag, attrs)
+        apart = self.named and _apart(tag, attrs)
+        self.articles += tag in ("article", "main") and not apart
+        inside = self.gone[at] or tag in NO_TEXT or apart
         if tag == "header" and not inside:
             inside = not any(self.tags[k] in ("article", "main") for k in self.open)
         self.tags.append(tag)
@@ -155,12 +158,16 @@ def main_text(html: str) -> str:
     the elements around that one 1/2, 1/4, 1/6 and 1/8. Scores are discounted by the
     element's share of link text. The best element, or the article or main element around
     it, is kept, and beside it those with a fifth of its score and long plain paragraphs;
-    lists and divisions in it that are two thirds link text are not.
+    lists and divisions in it that are two thirds link text are not. If what is left out by
+    its name held an article and nothing else is left, names are not looked at.
     """
-    page = _Page()
-    page.feed(html)
-    page.close()
-    blocks = _blocks(page)
+    for named in (True, False):
+        page = _Page(named)
+        page.feed(html)
+        page.close()
+        blocks = _blocks(page)
+        if blocks or not page.articles:
+            break
     if not blocks:
         return ""
     tags, parents = page.tags, page.parents

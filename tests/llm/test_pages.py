@@ -39,6 +39,12 @@ def test_siblings_of_the_best_container():
     assert main_text(apart).split("\n\n") == [LONG] * 9
 
 
+def test_an_article_inside_what_is_named_after_a_sidebar():
+    page = f"<body><nav>menu</nav><div class='wrap has-sidebar'><article><p>{LONG}</p></article></div></body>"
+    assert main_text(page) == LONG
+    assert main_text(f"<body><div class='sidebar'><p>{LONG}</p></div></body>") == ""
+
+
 def test_odd_input():
     assert main_text("plain text &eacute;\n only") == "plain text é only"
     assert main_text("<p>a&nbsp; b &#x41;&unknown; &amp") == "a b A&unknown; &"
