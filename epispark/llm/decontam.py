@@ -153,12 +153,14 @@ def find_contamination(
     worded = items.groupBy("item", "item_id", "size").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("place", "term"))), lambda x: x["term"]).alias("words")
     )
+    key = F.struct("item")  # of its own, so that Spark can split an item that many documents hold
     around = F.sequence(
         F.greatest(F.col("anchor") - (window - 1), F.lit(0), -F.col("shift")),
         F.least(F.col("anchor") + (window - 1), F.col("size") - 1),
     )
     wanted = (
-        aligned.join(worded, "item").select("item", "item_id", "size", "row", "shift", "words", F.explode(around).alias("place"))
+        aligned.withColumn("_key", key).join(worded.withColumn("_key", key).drop("item"), "_key")
+        .select("item", "item_id", "size", "row", "shift", "words", F.explode(around).alias("place"))
         .select("item", "item_id", "size", "row", "shift", "place", F.get("words", F.col("place")).alias("term"),
                 (F.col("shift") + F.col("place")).alias("at"))
         .distinct()

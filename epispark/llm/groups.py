@@ -63,7 +63,8 @@ def in_blocks(rows: DataFrame, keys: tuple[str, ...], size: int, row: str = "doc
         ),
     )
     alone = F.array(F.struct(F.lit("").alias("part"), F.lit(0).alias("side")))
-    return rows.join(sizes, list(keys), "left").select(
+    key = F.struct(*keys).alias("_key")  # of its own, so that Spark can split a frequent one
+    return rows.select("*", key).join(sizes.select("_blocks", key), "_key", "left").select(
         *rows.columns, F.explode(F.coalesce(pairs, alone)).alias("_pair")
     ).select(*rows.columns, "_pair.part", "_pair.side")
 

@@ -194,8 +194,9 @@ def link_near_duplicates(
     classes = saved(first, "classes")
     members = signed.join(classes.withColumnRenamed("key", "own"), "doc_id").filter("key = own").drop("own")
     banded = members.select("doc_id", F.explode("bands").alias("band"))
-    full = banded.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
-    placed = banded.join(full, "band")
+    key = F.struct("band").alias("_key")  # of its own, so that Spark can split a frequent band
+    full = banded.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select(key)
+    placed = banded.select("*", key).join(full, "_key", "left_semi").drop("_key")
     buckets = saved(placed.join(members.select("doc_id", "n_shingles", "marks"), "doc_id"), "buckets")
     candidates = map_groups(
         in_blocks(buckets, ("band",), BLOCK), ("band", "part"), _alike, "a long, b long"
