@@ -7,6 +7,7 @@ and answers. So a key costs one entry per block, however frequent it is.
 
 from __future__ import annotations
 
+import struct
 import zlib
 
 import numpy as np
@@ -24,23 +25,37 @@ END = np.uint64(0xE4D)
 LEVELS = 24
 _FINE = 4
 #: Bytes of text in a block.
-BLOCK = 8 << 20
+BLOCK = 6 << 20
+#: Low bits left out of a key: a word has 64 bits, a pair of words 56.
+FREE = (0, 8)
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Whole numbers as planes of bytes, as many as the largest needs."""
+    """Whole numbers as compressed planes of bytes, as many as the largest needs."""
     values = np.ascontiguousarray(values, dtype="<u8")
     width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
-    return bytes([width]) + np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return struct.pack("<BQ", width, len(values)) + pa.compress(planes.tobytes(), "zstd", asbytes=True)
 
 
 def unpack(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(raw, np.uint8, offset=1).reshape(raw[0], -1)
-    out = np.zeros((planes.shape[1], 8), dtype=np.uint8)
-    out[:, : raw[0]] = planes.T
+    width, n = struct.unpack_from("<BQ", raw)
+    planes = np.frombuffer(pa.decompress(raw[9:], width * n, "zstd"), np.uint8).reshape(width, n)
+    out = np.zeros((n, 8), dtype=np.uint8)
+    out[:, :width] = planes.T
     return out.reshape(-1).view("<u8")
 
 
+def pack_sorted(keys: np.ndarray, free: int = 0) -> bytes:
+    """Rising keys: the first one, and the steps to the next ones; their ``free`` low bits are 0."""
+    return keys[:1].astype("<u8").tobytes() + pack(np.diff(keys) >> np.uint64(free))
+
+
+def unpack_sorted(raw: bytes, free: int = 0) -> np.ndarray:
+    first = np.frombuffer(raw, "<u8", count=1)
+    return np.cumsum(np.concatenate([first, unpack(raw[8:]) << np.uint64(free)]), dtype=np.uint64)
+
+
 def _tokens(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words with one end after each text, and how many each text has."""
     rows, hashes = hashed_words(*text_bytes(part.column("_text")), SPACED)
@@ -53,7 +68,7 @@ def _tokens(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 def _pairs(tokens: np.ndarray) -> np.ndarray:
     """A key for each token with the one before it; before a text stands an end."""
     before = np.concatenate([[END], tokens[:-1]])
-    return mix(before * np.uint64(0xD6E8FEB86659FD93) + tokens)
+    return mix(before * np.uint64(0xD6E8FEB86659FD93) + tokens) >> np.uint64(FREE[1]) << np.uint64(FREE[1])
 
 
 def _blocks(batches):
@@ -87,7 +102,7 @@ def _ask(ranges: int):
                 held = np.bincount(where, weights=fold == 0, minlength=len(keys))
                 edges = _bounds(keys, ranges)
                 out += [
-                    (r, block, kind, pack(np.diff(keys[a:b], prepend=np.uint64(0))), pack(n[a:b]), pack(held[a:b]))
+                    (r, block, kind, pack_sorted(keys[a:b], FREE[kind]), pack(n[a:b]), pack(held[a:b]))
                     for r, (a, b) in enumerate(zip(edges, edges[1:])) if b > a
                 ]
             columns = list(zip(*out))
@@ -102,8 +117,8 @@ _ANSWERED = ["block", "kind", "range", "a", "b"]
 
 
 def _answer(table: pa.Table, bounds: np.ndarray):
-    """To each block the counts over all training texts, and over those not held out; and one
-    row without a block: tokens, tokens not held out and distinct words of the range."""
+    """To each block the counts over all training texts, and over those held out; and one row
+    without a block: tokens, tokens held out and distinct words of the range."""
     for a, b in zip(bounds, bounds[1:]):
         rows = table.slice(a, b - a).to_pylist()
         number = rows[0]["range"]
@@ -112,19 +127,19 @@ def _answer(table: pa.Table, bounds: np.ndarray):
             asked = [r for r in rows if r["kind"] == kind]
             if not asked:
                 continue
-            parts = [np.cumsum(unpack(r["keys"]), dtype=np.uint64) for r in asked]
+            parts = [unpack_sorted(r["keys"], FREE[kind]) for r in asked]
             keys, where = np.unique(np.concatenate(parts), return_inverse=True)
             n, held = (
                 np.bincount(where, weights=np.concatenate([unpack(r[c]) for r in asked]), minlength=len(keys)).astype(np.int64)
                 for c in ("n", "held")
             )
             if not kind:
-                total = np.array([n.sum(), (n - held).sum(), (n > 0).sum()])
+                total = np.array([n.sum(), held.sum(), (n > 0).sum()])
                 out.append(("", 0, number, pack(total), pack(total)))
             edges = np.cumsum([0, *map(len, parts)])
             for r, lo, hi in zip(asked, edges, edges[1:]):
                 own = where[lo:hi]
-                out.append((r["block"], kind, number, pack(n[own]), pack((n - held)[own])))
+                out.append((r["block"], kind, number, pack(n[own]), pack(held[own])))
         columns = list(zip(*out))
         yield pa.table(
             [pa.array(columns[0]), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32()), *map(pa.array, columns[3:])],
@@ -139,7 +154,7 @@ def _hold(batches):
         ids = part.column("doc_id")
         yield pa.RecordBatch.from_arrays([
             pa.array([block]), pa.array([2], pa.int32()), pa.array([0], pa.int32()),
-            pa.array([pack(np.diff(keys, prepend=np.uint64(0)))]), pa.array([pack(where)]),
+            pa.array([pack_sorted(keys)]), pa.array([pack(where)]),
             pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
             pa.array([pack(part.column("_fold").to_numpy())]), pa.array([pack(sizes)]),
         ], [*_ANSWERED, "ids", "folds", "sizes"])
@@ -175,7 +190,7 @@ def _join(table: pa.Table, bounds: np.ndarray):
             texts = [r for r in rows if r["kind"] == 2]
             if len(texts) != 1:
                 raise RuntimeError("a block changed between two readings: the documents are not read in a stable order")
-            keys, where = np.cumsum(unpack(texts[0]["a"]), dtype=np.uint64), unpack(texts[0]["b"]).astype(np.int64)
+            keys, where = unpack_sorted(texts[0]["a"]), unpack(texts[0]["b"]).astype(np.int64)
             tokens = keys[where]
             distinct, pairs = np.unique(_pairs(tokens), return_inverse=True)
 
@@ -185,11 +200,12 @@ def _join(table: pa.Table, bounds: np.ndarray):
                     raise RuntimeError("a block changed between two readings: the documents are not read in a stable order")
                 return found
 
-            word, rest = (counts(0, p, len(keys))[where] for p in "ab")
-            pair, pair_rest = (counts(1, p, len(distinct))[pairs] for p in "ab")
+            word, word_held = (counts(0, p, len(keys))[where] for p in "ab")
+            pair, pair_held = (counts(1, p, len(distinct))[pairs] for p in "ab")
+            rest = word - word_held
             held = np.repeat(unpack(texts[0]["folds"]), unpack(texts[0]["sizes"]).astype(np.int64)) == 0
             before = np.concatenate([rest[-1:], rest[:-1]])
-            cells = _cells(pair_rest[held], before[held], rest[held])
+            cells = _cells((pair - pair_held)[held], before[held], rest[held])
             row = {
                 "ids": texts[0]["ids"], "folds": texts[0]["folds"], "sizes": texts[0]["sizes"], "word": pack(word),
                 "pair": pack(pair), "cells": [dict(zip(cells, x)) for x in zip(*(v.tolist() for v in cells.values()))],
@@ -257,7 +273,7 @@ def score_texts(docs: DataFrame, fold: Column, doc_id: str = "doc_id", text: str
     ``fold`` is a whole number from 0 per row: 1 is never learned from, 0 is what the mixture
     weights are learned on, the others are counted for that; the model then counts all but
     1. A null fold is taken as 2. Tokens are words (A-Z lower-cased, split at ASCII white
-    space) and one end per text; a word is known by a 64-bit hash.
+    space) and one end per text; a word is known by a 64-bit hash, a pair by one of 56 bits.
 
     P(w | h) = a c(h, w) / c(h) + b c(w) / N + c / (V + 1), with weights (a, b, c) for each
     power of two of c(h). They are learned by expectation-maximisation on held-out tokens,
@@ -291,13 +307,13 @@ def score_texts(docs: DataFrame, fold: Column, doc_id: str = "doc_id", text: str
         "counted",
     )
     total = joined.filter("block = ''").select("word").first()
-    tokens, rest, distinct = (int(x) for x in unpack(total[0])) if total else (0, 0, 0)
+    tokens, held, distinct = (int(x) for x in unpack(total[0])) if total else (0, 0, 0)
     cells = (
         joined.select(F.explode("cells").alias("c")).groupBy("c.cell")
         .agg(F.sum("c.n").alias("n"), F.sum("c.share").alias("share"), F.sum("c.word").alias("word")).toArrow()
     )
     cell, n, share, word = (cells.column(c).to_numpy() for c in ("cell", "n", "share", "word"))
-    weights = learn_weights(cell // (128 * 256), n, share / np.maximum(n, 1), word / np.maximum(n, 1) / max(rest, 1), 1 / (distinct + 1))
+    weights = learn_weights(cell // (128 * 256), n, share / np.maximum(n, 1), word / np.maximum(n, 1) / max(tokens - held, 1), 1 / (distinct + 1))
     if not tokens:
         weights = np.tile([0.0, 0.0, 1.0], (LEVELS, 1))
     return joined.filter("block <> ''").select("ids", "folds", "sizes", "word", "pair").mapInArrow(

@@ -117,3 +117,5 @@ def test_corner_cases(spark):
 def test_packing():
     for x in ([], [0], [255, 0], [256, 1 << 40], [(1 << 64) - 1]):
         assert lm.unpack(lm.pack(np.array(x, np.uint64))).tolist() == x
+        if x:
+            assert lm.unpack_sorted(lm.pack_sorted(np.sort(np.array(x, np.uint64)))).tolist() == sorted(x)
