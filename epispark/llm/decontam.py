@@ -90,9 +90,10 @@ def find_contamination(
     Words are runs of a-z, 0-9 and characters beyond ASCII, A-Z lower-cased; an item of
     fewer than ``window`` words counts as one window if it has any.
 
-    1. All documents are counted for the benchmark's terms. The rarest term of every window
-       becomes its anchor; a window with more than ``window - near`` terms that no document
-       has is out already.
+    1. All documents are counted for the benchmark's terms. The ``window - near + 1`` rarest
+       places of every window become its anchors: a near match lacks ``window - near`` places
+       at most, so it has one of them. Places whose term no document has are the rarest and
+       need no anchor; a window with more than ``window - near`` of them is out already.
     2. The index: postings (term, document, place) of the benchmark's terms, written to the
        shared folder. A posting farther than a window from every anchor term can be part of
        no match and is left out.
@@ -107,8 +108,11 @@ def find_contamination(
 
     Returns one row per row of ``docs``: its id, ``n_words``, ``n_hit`` (words in exact
     matches), ``n_items``, ``items_sha256`` (of their ids, sorted as strings and joined by
-    commas), ``contaminated``, ``n_near`` (items with an exact or proximity match) and
-    ``text_hash`` (xxhash64 of the text, to tell rows of one id apart). Null
+    commas), ``contaminated``, ``n_near`` (items with an exact or proximity match),
+    ``text_hash`` (xxhash64 of the text, to tell rows of one id apart) and ``matches``, sorted:
+    of every alignment the runs of words under overlapping matches, as ``item_id``, ``start``
+    and ``end`` (words of the document, the end exclusive), ``item_start``, ``n_equal`` (places
+    that match) and ``exact`` (whether an exact match is among them). Null
     or empty texts have no words. Rows of the benchmark with one id are one item; a null id
     reads ``null``. Repeated rows are each judged, other columns of either table ignored.
     """
@@ -126,13 +130,15 @@ def find_contamination(
         .join(items.select("term").distinct(), "term", "left_semi")
     )
     ahead = Window.partitionBy("item").orderBy("place").rowsBetween(0, window - 1)
-    first = F.min(F.when(F.col("n") > 0, F.struct("n", "place", "term"))).over(ahead)
     missing = F.count_if(F.col("n").isNull()).over(ahead)
+    rarest = F.array_sort(F.collect_list(F.when(F.col("n") > 0, F.struct("n", "place", "term"))).over(ahead))
+    needed = F.when(F.col("size") >= window, window - near + 1 - F.col("missing")).otherwise(1)
     anchors = saved(
-        items.join(counted, "term", "left").withColumns({"rarest": first, "missing": missing})
+        items.join(counted, "term", "left").withColumns({"rarest": rarest, "missing": missing})
         .filter((F.col("place") == 0) | (F.col("place") <= F.col("size") - window))
         .filter((F.col("missing") == 0) | (F.col("missing") <= window - near) & (F.col("size") >= window))
-        .select("item", F.col("rarest.place").alias("anchor"), F.col("rarest.term").alias("term")).distinct(),
+        .select("item", F.explode(F.slice("rarest", F.lit(1), needed.cast("int"))).alias("rare"))
+        .select("item", F.col("rare.place").alias("anchor"), F.col("rare.term").alias("term")).distinct(),
         "anchors",
     )
     kind = dict(texts.dtypes)["doc_id"]
@@ -172,18 +178,29 @@ def find_contamination(
         "close": F.count("*").over(along.rangeBetween(0, window - 1)),
     }).withColumn("long", F.count("*").over(Window.partitionBy("row", "item", "shift", "run")))
     exact = F.col("long") >= F.least("size", F.lit(window))
-    figures = (
-        runs.filter(exact | ((F.col("close") >= near) & (F.col("size") >= window)))
-        .groupBy("row").agg(
-            F.count_distinct(F.when(exact, F.col("at"))).alias("n_hit"),
-            F.collect_set(F.when(exact, F.col("item_id"))).alias("items"),
-            F.count_distinct("item_id").alias("n_near"),
+    begins = exact | ((F.col("close") >= near) & (F.col("size") >= window))
+    till = F.max(F.when(begins, F.col("place"))).over(along.rowsBetween(Window.unboundedPreceding, 0)) + window
+    fresh = (F.col("till") > F.col("place")) & F.coalesce(F.lag("till").over(along) <= F.col("place"), F.lit(True))
+    matches = (
+        runs.withColumns({"exact": exact, "till": till}).withColumn("fresh", fresh)
+        .filter(F.col("till") > F.col("place")).withColumn("match", F.count_if("fresh").over(along))
+        .groupBy("row", "item", "item_id", "shift", "match").agg(
+            F.min("at").alias("start"), (F.max("at") + 1).alias("end"), F.min("place").alias("item_start"),
+            F.count("*").alias("n_equal"), F.max("exact").alias("exact"),
+            F.collect_list(F.when(F.col("exact"), F.col("at"))).alias("hits"),
         )
     )
+    figures = matches.groupBy("row").agg(
+        F.size(F.array_distinct(F.flatten(F.collect_list("hits")))).cast("long").alias("n_hit"),
+        F.collect_set(F.when(F.col("exact"), F.col("item_id"))).alias("items"),
+        F.count_distinct("item_id").alias("n_near"),
+        F.array_sort(F.collect_set(F.struct("item_id", "start", "end", "item_start", "n_equal", "exact"))).alias("matches"),
+    )
     none = F.lit(0).cast("long")
     return judged.select("row", F.col("doc_id").alias(doc_id), "n_words", "text_hash").join(figures, "row", "left").select(
         doc_id, "n_words", F.coalesce("n_hit", none).alias("n_hit"),
         F.coalesce(F.size("items").cast("long"), none).alias("n_items"),
         F.sha2(F.coalesce(F.array_join(F.array_sort("items"), ","), F.lit("")), 256).alias("items_sha256"),
         (F.coalesce("n_hit", none) > 0).alias("contaminated"), F.coalesce("n_near", none).alias("n_near"), "text_hash",
+        F.coalesce("matches", F.array().cast(figures.schema["matches"].dataType)).alias("matches"),
     )

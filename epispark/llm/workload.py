@@ -52,7 +52,14 @@ _DECONTAM_WORDS = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUV
     FROM d LEFT JOIN n USING (doc_id) LEFT JOIN f USING (doc_id)""")
 def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontam.find_contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
-    return found.drop("n_near", "text_hash")
+    return found.drop("n_near", "text_hash", "matches")
+
+
+@query()
+def op2_proximity_matches(spark: SparkSession, folder: str) -> DataFrame:
+    """What the SQL of ``op2_decontamination`` has no column for."""
+    found = decontam.find_contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select("doc_id", "contaminated", "n_near", "matches")
 
 
 #: The SentencePiece model that the queries use.

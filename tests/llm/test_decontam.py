@@ -74,3 +74,43 @@ def test_a_near_match_is_no_contamination(spark):
     b = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
     row = find_contamination(d, b).first()
     assert (row.n_hit, row.contaminated, row.n_near) == (0, False, 1)
+
+
+def near_items(text, items):
+    """Items with at least 8 equal words in 10 in a row, or a short one as a whole, at any alignment."""
+    w, out = words(text), set()
+    for item_id, item in items:
+        v = words(item)
+        for shift in range(-len(v), len(w)):
+            same = [0 <= shift + i < len(w) and w[shift + i] == x for i, x in enumerate(v)]
+            if v and max(sum(same[i : i + 10]) for i in range(max(1, len(v) - 9))) >= (8 if len(v) >= 10 else len(v)):
+                out.add(item_id)
+    return out
+
+
+def test_a_near_match_that_lacks_the_rarest_term(spark):
+    ten = "one two three four five six seven eight nine ten".split()
+    docs = [(1, " ".join(["zero", *ten[:4], "other", *ten[5:]])), (2, "five"), (3, " ".join(ten * 3)), (4, " ".join(ten))]
+    docs += [(5, " ".join(ten[:4] + ten[5:9] * 2))]
+    long = [f"v{i}" for i in range(7)] + ["rare"] + [f"v{i}" for i in range(8, 15)]
+    docs += [(6, " ".join(w if w != "rare" else "x" for w in long)), (7, "rare and rare"), (8, " ".join(long[:7] + long[8:]))]
+    items = [(1, " ".join(ten)), (2, " ".join(long))]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: r for r in find_contamination(d, b).collect()}
+    assert {k: r.n_near for k, r in got.items()} == {k: len(near_items(t, items)) for k, t in docs}
+    assert [tuple(m) for m in got[1].matches] == [("1", 1, 11, 0, 9, False)]
+    assert [tuple(m) for m in got[3].matches] == [("1", k, k + 10, 0, 10, True) for k in (0, 10, 20)]
+    assert [tuple(m) for m in got[6].matches] == [("2", 0, 15, 0, 14, False)] and got[2].matches == []
+
+
+def test_near_matches_of_random_texts(spark):
+    rng = random.Random(8)
+    text = lambda n: [rng.choice(["the", "of", *(f"w{i}" for i in range(40))]) for _ in range(n)]
+    items = [(i, " ".join(text(rng.choice([4, 10, 13, 40])))) for i in range(15)]
+    docs = []
+    for i in range(80):
+        piece = [w if rng.random() > 0.15 else rng.choice(text(3)) for w in rng.choice(items)[1].split()]
+        docs.append((i, " ".join(text(rng.randrange(15)) + piece + text(rng.randrange(15)))))
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: {int(m.item_id) for m in r.matches} for r in find_contamination(d, b).collect()}
+    assert got == {k: near_items(t, items) for k, t in docs}
