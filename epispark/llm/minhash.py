@@ -190,16 +190,21 @@ def link_near_duplicates(
         ),
         "signed",
     )
-    first = signed.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id")).filter("doc_id is not null")
-    classes = saved(first, "classes")
-    members = signed.join(classes.withColumnRenamed("key", "own"), "doc_id").filter("key = own").drop("own")
-    banded = members.select("doc_id", F.explode("bands").alias("band"))
+    # One row for each set, however often its text is repeated; equal sets are signed alike.
+    members = saved(
+        signed.filter("key is not null and doc_id is not null").groupBy("key").agg(
+            F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n_shingles", "bands", "marks")]
+        ),
+        "members",
+    )
+    classes = members.select("key", "doc_id")
+    banded = members.select("key", F.explode("bands").alias("band"))
     key = F.struct("band").alias("_key")  # of its own, so that Spark can split a frequent band
     full = banded.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select(key)
     placed = banded.select("*", key).join(full, "_key", "left_semi").drop("_key")
-    buckets = saved(placed.join(members.select("doc_id", "n_shingles", "marks"), "doc_id"), "buckets")
+    buckets = saved(placed.join(members.select("key", "doc_id", "n_shingles", "marks"), "key"), "buckets")
     candidates = map_groups(
-        in_blocks(buckets, ("band",), BLOCK), ("band", "part"), _alike, "a long, b long"
+        in_blocks(buckets, ("band",), BLOCK, "key").drop("key"), ("band", "part"), _alike, "a long, b long"
     )
     clusters = saved(components(candidates), "clusters").withColumnsRenamed({"node": "doc_id", "component": "cluster"})
 

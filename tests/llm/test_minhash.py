@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from epispark.llm import minhash
+from epispark.llm.groups import in_blocks
 from epispark.llm.links import components
 
 
@@ -85,3 +86,13 @@ def test_components_of_paths_stars_and_loops(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {n: min(nodes[:101]) for n in nodes[:101]} | {n: min(nodes[110:200]) for n in nodes[110:200]}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_thousands_of_rows_with_one_id(spark, monkeypatch):
+    sizes = []
+    monkeypatch.setattr(minhash, "in_blocks", lambda rows, *a: sizes.append(rows.count()) or in_blocks(rows, *a))
+    base = [f"w{i}" for i in range(60)]
+    docs = [(7, " ".join(base))] * 4000 + [(3, " ".join([*base, "more"]))] + [(9, " ".join([*base, f"v{i}"])) for i in range(30)]
+    got = found(spark, docs)
+    assert {(d, c, k) for d, _, c, k in got if d != 9} == {(7, 3, False), (3, 3, True)} and len(got) == len(docs)
+    assert all(c == 3 for _, _, c, _ in got) and sizes[0] <= 40 * 32
