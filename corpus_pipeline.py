@@ -1,7 +1,7 @@
 """A corpus made ready for training: five stages over ``documents``, each on what the last one kept.
 
 1. ``quality`` drops documents that the classifier and their site speak against.
-2. ``near_duplicates`` keeps the document with the smallest id of every group of copies.
+2. ``near_duplicates`` keeps the document with the smallest id of every group of copies, one row of it.
 3. ``decontamination`` drops documents that hold ten words in a row of a benchmark item.
 4. ``secrets`` replaces secrets in texts by a mark; ``n_chars`` follows.
 5. ``pieces`` adds the ids of a SentencePiece model.
@@ -26,9 +26,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five words a shingle, similarity 0.8. An id goes if none of its rows is its group's first."""
-    found = minhash.link_near_duplicates(docs, shingle=5).groupBy("doc_id").agg(F.max("kept").alias("kept"))
-    return docs.join(found.filter("not kept").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    """Five words a shingle, similarity 0.8. One row of each group stays, repeated ones and copies included."""
+    return minhash.first_of_groups(docs, shingle=5)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -227,6 +227,25 @@ def link_near_duplicates(
     return _grouped(signed, classes, components(links), doc_id)
 
 
+def first_of_groups(
+    docs: DataFrame, shingle: int = 4, percent: int = 80, doc_id: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates (see ``link_near_duplicates``).
+
+    Every row is judged by its own text, whatever other rows have its id: of a group the row
+    with the smallest id stays, one without an id only if none has one, and of rows with
+    equal ids any one. Rows with a null or empty text all stay.
+    """
+    rows = saved(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = link_near_duplicates(rows, shingle, percent, "_row", text).select("_row", "component_id")
+    order = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), "_row")
+    firsts = (
+        found.join(rows.select("_row", doc_id), "_row").groupBy("component_id").agg(F.min(order).alias("first"))
+        .select(F.col("first._row").alias("_row"))
+    )
+    return rows.join(firsts, "_row", "left_semi").select(*docs.columns)
+
+
 def _grouped(signed: DataFrame, classes: DataFrame, found: DataFrame, doc_id: str) -> DataFrame:
     named = saved(
         classes.join(found, classes.doc_id == found.node, "left")

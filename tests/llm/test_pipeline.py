@@ -82,3 +82,21 @@ def test_empty_and_odd_documents(spark, tmp_path):
         for _, stage in chain.STAGES:
             now = stage(spark, now, str(tmp_path))
         assert now.count() == (0, 3)[k]
+
+
+def test_one_row_of_each_group_stays(spark):
+    schema = spark.read.parquet(f"{FOLDER}/documents.parquet").schema
+    text = {k: " ".join(f"{k}{i}" for i in range(30)) for k in "abcde"}
+    given = [
+        (1, text["a"]), (1, text["a"]), (1, text["a"]),  # repeated rows
+        (2, text["b"]), (2, text["a"]),  # a text of its own, and a copy of another document
+        (None, text["c"]), (None, text["c"]),  # copies without an id
+        (None, text["d"]), (4, text["d"] + " more"), (5, text["d"]),
+        (6, text["e"] + " more"), (None, text["e"]), (7, None), (7, None), (None, ""),
+    ]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in given], schema)
+    made = chain.near_duplicate_stage(spark, docs, FOLDER)
+    assert made.columns == docs.columns
+    expected = [(1, text["a"]), (2, text["b"]), (None, text["c"]), (4, text["d"] + " more"), (6, text["e"] + " more"),
+                (7, None), (7, None), (None, "")]
+    assert sorted(((r.doc_id, r.text) for r in made.collect()), key=repr) == sorted(expected, key=repr)
