@@ -30,6 +30,18 @@ class Rule:
 
 # The kinds of secrets and their forms, in the order they are listed.
 _ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]"""
+# A private key goes on to the END line of its BEGIN line, whatever stands between (quotes, escaped
+# line ends); without one to the end of its base64 lines, with the headers before them.
+_EOL = r"(?:\r?\n|\r|\\r\\n|\\n)"
+_LINE = rf"""[\t >]*[A-Za-z0-9+/]+={{0,2}}(?=[\t ]*(?:{_EOL}|["',]|\Z))"""
+_LINES = rf"{_LINE}(?:[\t ]*{_EOL}{_LINE})*+"
+_HEADERS = rf"(?:[\t >]*[A-Za-z][A-Za-z0-9-]*:[^\r\n]*{_EOL})*(?:[\t >]*{_EOL})*"
+_PRIVATE = (
+    r"-----BEGIN ([A-Z ]*)PRIVATE KEY-----"
+    r"(?:(?:[^-]+|-(?!----(?:BEGIN|END) ))*+-----END \1PRIVATE KEY-----"
+    rf"|[\t ]*{_EOL}{_HEADERS}{_LINES}"
+    r"|(?:[\t ]+[A-Za-z0-9+/]{20,}={0,2})++)?"
+)
 RULES = (
     Rule("assign", _ASSIGN + "+)", _ASSIGN + "{8})", 2, 8),
     Rule("access", r"AKIA[A-Z0-9]+", r"AKIA[A-Z0-9]{12}", 0, 16),
@@ -38,7 +50,7 @@ RULES = (
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{20,}", r"xox[abprs]-"),
     Rule("live", r"[rs]k_live_[A-Za-z0-9]{16,}", r"[rs]k_live_"),
     Rule("signed", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", r"eyJ[A-Za-z0-9_-]"),
-    Rule("private", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", r"-----BEGIN "),
+    Rule("private", _PRIVATE, r"-----BEGIN "),
 )
 BASE = ("assign", "access", "hex")
 
