@@ -37,6 +37,16 @@ APART = frozenset(
     "rss search share sharing shoutbox sidebar signup skip social sponsor sponsored subscribe subscription tagcloud tags "
     "toolbar tooltip widget widgets".split()
 )
+#: Those of them that an element around an article hardly has by chance.
+SURE = frozenset(
+    "ad ads adsense advert advertisement advertising adverts alertdialog breadcrumb breadcrumbs comment comments commentlist "
+    "complementary consent contentinfo cookie cookies dialog discussion disqus footer gdpr login menu modal nav navbar "
+    "navigation newsletter pager pagination popup replies respond sidebar signup tagcloud toolbar tooltip".split()
+)
+#: Beside one of these a word tells of the page's state or layout: has-sidebar, comments-open, overflow-hidden.
+STATE = frozenset("closed disabled enabled has is no non not off on open overflow with without".split())
+#: What points inside an element count for that is named as apart but stays, if its name is sure or not.
+DISCOUNT = {True: 0.05, False: 0.5}
 #: Words that tell the same unless one of ARTICLE stands beside them.
 MAYBE_APART = frozenset("bar bottom byline header legal meta outbrain side top topbar".split())
 ARTICLE = frozenset("article body content entry main page post story text".split())
@@ -47,25 +57,33 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
 
-def _apart(tag: str, attributes: list[tuple[str, str | None]]) -> bool:
-    if not attributes or tag in ("html", "body"):
-        return False
-    said = []
+def _hidden(attributes: list[tuple[str, str | None]]) -> bool:
+    return any(
+        name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _HIDDEN.search(value or "")
+        for name, value in attributes
+    )
+
+
+def _apart(attributes: list[tuple[str, str | None]]) -> bool | None:
+    """Whether a class, id or role surely tells what is no part of the article; none if it doesn't tell that."""
+    words = set()
     for name, value in attributes:
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _HIDDEN.search(value or ""):
-            return True
         if name in ("class", "id", "role") and value:
-            said.append(value)
-    words = set(_WORDS.findall(_CAMEL.sub(" ", " ".join(said)).lower()))
-    return bool(words & APART) or bool(words & MAYBE_APART) and not words & ARTICLE
+            for said in value.split():
+                parts = set(_WORDS.findall(_CAMEL.sub(" ", said).lower()))
+                if not parts & STATE and ":" not in said:
+                    words |= parts
+    if words & APART or words & MAYBE_APART and not words & ARTICLE:
+        return bool(words & SURE)
+    return None
 
 
 class _Page(HTMLParser):
     """The elements of a page in order of their start, and its pieces of text by block."""
 
-    def __init__(self, named: bool = True):
+    def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.named, self.articles = named, 0
+        self.named: dict[int, bool] = {}
         self.tags, self.parents, self.gone, self.linked = ["html"], [-1], [False], [False]
         self.open = [0]
         self.block = 0
@@ -94,11 +112,12 @@ class _Page(HTMLParser):
             self.handle_data(" ")
             return
         at = self.open[-1]
-        apart = self.named and _apart(tag, attrs)
-        self.articles += tag in ("article", "main") and not apart
-        inside = self.gone[at] or tag in NO_TEXT or apart
+        told = attrs and tag not in ("html", "body")
+        inside = self.gone[at] or tag in NO_TEXT or bool(told and _hidden(attrs))
         if tag == "header" and not inside:
             inside = not any(self.tags[k] in ("article", "main") for k in self.open)
+        if told and not inside and (apart := _apart(attrs)) is not None:
+            self.named[len(self.tags)] = apart
         self.tags.append(tag)
         self.parents.append(at)
         self.gone.append(inside)
@@ -158,25 +177,48 @@ def main_text(html: str) -> str:
     the elements around that one 1/2, 1/4, 1/6 and 1/8. Scores are discounted by the
     element's share of link text. The best element, or the article or main element around
     it, is kept, and beside it those with a fifth of its score and long plain paragraphs;
-    lists and divisions in it that are two thirds link text are not. If what is left out by
-    its name held an article and nothing else is left, names are not looked at.
+    lists and divisions in it that are two thirds link text are not, unless an article or
+    main element is around them.
+
+    An element whose name says that it is apart is left out, unless it is or holds an article
+    or main element, or most of the page's points (all of them, if the name is not sure).
+    Then points inside it count for less, and it is left out only if it does not hold the
+    best element, nor an article or main element.
     """
-    for named in (True, False):
-        page = _Page(named)
-        page.feed(html)
-        page.close()
-        blocks = _blocks(page)
-        if blocks or not page.articles:
-            break
+    page = _Page()
+    page.feed(html)
+    page.close()
+    tags, parents, named = page.tags, page.parents, page.named
+    blocks = _blocks(page)
+    worth = [
+        (1 + text.count(",") + text.count("、") + text.count("，") + min(len(text) / 100, 3.0)) * (1 - share)
+        for _, text, share in blocks
+    ]
+    weight = [1.0] * len(tags)
+    holds = [t in ("article", "main") and not gone for t, gone in zip(tags, page.gone)]
+    if named:
+        below = [0.0] * len(tags)
+        for (at, _, _), value in zip(blocks, worth):
+            below[at] += value
+        for k in range(len(tags) - 1, 0, -1):
+            below[parents[k]] += below[k]
+            holds[parents[k]] |= holds[k]
+        for k in range(1, len(tags)):
+            weight[k] = weight[parents[k]]
+            if k in named and weight[k]:
+                most, every = 2 * below[k] > below[0], below[k] >= below[0] - 1e-6
+                stays = holds[k] or most and not (named[k] and every)
+                around = holds[k] and (most or tags[k] not in ("article", "main"))
+                weight[k] = min(weight[k], DISCOUNT[named[k] and not around]) if stays else 0.0
+        blocks, worth = [b for b in blocks if weight[b[0]]], [v for b, v in zip(blocks, worth) if weight[b[0]]]
     if not blocks:
         return ""
-    tags, parents = page.tags, page.parents
     points = [0.0] * len(tags)
     size, links = [0] * len(tags), [0.0] * len(tags)
-    for at, text, share in blocks:
+    for (at, text, share), value in zip(blocks, worth):
         size[at] += len(text)
         links[at] += share * len(text)
-        value = (1 + text.count(",") + text.count("、") + text.count("，") + min(len(text) / 100, 3.0)) * (1 - share)
+        value *= weight[at]
         holder, part = (parents[at] if tags[at] in PARAGRAPHS else at), 1.0
         for level in range(5):
             if holder < 0:
@@ -187,7 +229,8 @@ def main_text(html: str) -> str:
         size[parents[k]] += size[k]
         links[parents[k]] += links[k]
     score = [
-        (p + BONUS.get(t, 0.0)) * (1 - x / n) if p else float("-inf") for p, t, n, x in zip(points, tags, size, links)
+        (p + BONUS.get(t, 0.0) * (w if t in ("article", "main") else 1)) * (1 - x / n) if p else float("-inf")
+        for p, t, n, x, w in zip(points, tags, size, links, weight)
     ]
     best = max(range(len(tags)), key=lambda k: (score[k], -k))
     for name in ("article", "main"):
@@ -197,16 +240,22 @@ def main_text(html: str) -> str:
         if around >= 0:
             best = around
             break
+    apart, around = set(named), best
+    while around >= 0:
+        apart.discard(around)
+        around = parents[around]
+    apart -= {k for k in apart if holds[k]}
     kept, least = {best}, max(5.0, 0.2 * score[best])
     for k in range(1, len(tags)):
         if parents[k] == parents[best] and size[k]:
             plain = links[k] < 0.25 * size[k]
             if score[k] >= least or tags[k] == "p" and plain and size[k] > 80:
                 kept.add(k)
-    inside = [False] * len(tags)
+    inside, article = [False] * len(tags), [False] * len(tags)
     for k in range(len(tags)):
-        menu = tags[k] in ("div", "ul", "ol", "section", "table") and links[k] > 0.66 * size[k]
-        inside[k] = k in kept or parents[k] >= 0 and inside[parents[k]] and not menu
+        article[k] = tags[k] in ("article", "main") or parents[k] >= 0 and article[parents[k]]
+        menu = tags[k] in ("div", "ul", "ol", "section", "table") and links[k] > 0.66 * size[k] and not article[k]
+        inside[k] = k not in apart and (k in kept or parents[k] >= 0 and inside[parents[k]] and not menu)
     return "\n\n".join(text for at, text, _ in blocks if inside[at])
 
 

@@ -79,3 +79,28 @@ def test_columns_and_nulls(spark):
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in out.collect()) == [
         (0, LONG, len(LONG)), (1, "", 0), (1, "", 0), (3, "", 0)]
     assert extract_text(pages.limit(0)).count() == 0
+
+
+def test_names_do_not_take_the_article_away():
+    foot = "<p>(c) 2024</p>"
+    for name in ("wrap has-sidebar", "wrap sidebar-left", "widget", "post comments-open", "related", "tags"):
+        assert main_text(f"<div class='{name}'><article><p>{LONG}</p></article></div>{foot}") == LONG, name
+        assert main_text(f"<article class='{name}'><p>{LONG}</p></article><div>{foot}</div>").split("\n\n")[0] == LONG, name
+        assert main_text(f"<div class='{name}'><p>{LONG}</p><p>{LONG}</p></div>{foot}").split("\n\n")[:2] == [LONG] * 2, name
+    for name in ("content no-sidebar", "post comments-open", "content has-sidebar", "overflow-hidden", "md:hidden", "widget"):
+        assert main_text(f"<div class='{name}'><p>{LONG}</p></div>") == LONG, name
+
+
+def test_names_still_leave_out_what_is_beside_the_article():
+    thread = "".join(f"<li class='comment'><p>{LONG} {k}</p></li>" for k in range(8))
+    page = f"<body><div class='wrap'><div class='content'><p>{LONG}</p><p>{LONG}</p></div><ol class='comments'>{thread}</ol></div></body>"
+    assert main_text(page) == f"{LONG}\n\n{LONG}"
+    page = f"<body><div class='content'><p>{LONG}</p></div><div class='sidebar'><p>{LONG} bar</p></div></body>"
+    assert main_text(page) == LONG
+
+
+def test_a_list_of_sources_in_the_article_stays():
+    sources = "<ul><li><a href=1>One source</a></li><li><a href=2>Another source</a></li></ul>"
+    for tag in ("article", "main"):
+        assert main_text(f"<{tag}><p>{LONG}</p>{sources}</{tag}>").split("\n\n") == [LONG, "One source", "Another source"]
+    assert main_text(f"<body><div><p>{LONG}</p>{sources}</div></body>") == LONG
