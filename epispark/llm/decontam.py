@@ -8,24 +8,40 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from epispark.llm.store import saved
-from epispark.llm.words import ALPHANUMERIC, hashed_words, slices, text_bytes, word_ranges
+from epispark.llm.words import ALPHANUMERIC, hashed_words, mix, slices, text_bytes, word_ranges
 
 #: Bits of the table of terms that each task gets; its size never grows.
 TERM_BITS = 1 << 22
 
 
-def _item_words(batches):
-    for batch in batches:
-        for part in slices(batch, "text"):
-            offsets, data = text_bytes(part.column("text"))
-            rows, hashes = hashed_words(offsets, data, ALPHANUMERIC)
-            starts = word_ranges(rows, part.num_rows)
-            counts = np.diff(starts)
-            yield pa.RecordBatch.from_arrays([
-                part.column("item").take(pa.array(rows)), part.column("item_id").take(pa.array(rows)),
-                pa.array((np.arange(len(rows)) - starts[rows]).astype(np.int32)),
-                pa.array(counts[rows].astype(np.int32)), pa.array(hashes.view(np.int64)),
-            ], ["item", "item_id", "place", "size", "term"])
+def _grams(hashes: np.ndarray, length: int) -> np.ndarray:
+    """A hash of the ``length`` words from each place on; what reaches beyond the end is none."""
+    out = mix(hashes + np.uint64(length))
+    for k in range(1, length):
+        out[:-k] = mix(out[:-k] * np.uint64(0xD6E8FEB86659FD93) + hashes[k:])
+    return out
+
+
+def _item_words(run: int):
+    """The words of every item, and the runs of ``run`` words (a shorter item is one) by their first."""
+
+    def cut(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                offsets, data = text_bytes(part.column("text"))
+                rows, hashes = hashed_words(offsets, data, ALPHANUMERIC)
+                starts = word_ranges(rows, part.num_rows)
+                sizes, place = np.diff(starts)[rows], np.arange(len(rows)) - starts[rows]
+                grams, length = np.zeros(len(rows), dtype=np.uint64), np.minimum(sizes, run)
+                for n in range(1, run + 1):
+                    grams[length == n] = _grams(hashes, n)[length == n]
+                yield pa.RecordBatch.from_arrays([
+                    part.column("item").take(pa.array(rows)), part.column("item_id").take(pa.array(rows)),
+                    pa.array(place.astype(np.int32)), pa.array(sizes.astype(np.int32)), pa.array(hashes.view(np.int64)),
+                    pa.array(grams.view(np.int64), mask=place + length > sizes), pa.array(length.astype(np.int32)),
+                ], ["item", "item_id", "place", "size", "term", "gram", "length"])
+
+    return cut
 
 
 def _spots(terms: DataFrame) -> bytes:
@@ -53,17 +69,26 @@ def _term_counts(packed: bytes):
     return count
 
 
-def _postings(terms: bytes, anchors: bytes, reach: int):
+def _around(at: np.ndarray, before: int, behind: int, rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Which places are so near to one ``at`` in the same text."""
+    steps = np.zeros(len(rows) + 1, dtype=np.int32)
+    np.add.at(steps, np.maximum(at - before, starts[rows[at]]), 1)
+    np.add.at(steps, np.minimum(at + behind + 1, starts[rows[at] + 1]), -1)
+    return np.cumsum(steps[:-1]) > 0
+
+
+def _postings(terms: bytes, anchors: bytes, grams: dict[int, bytes], window: int):
     def post(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 rows, hashes = hashed_words(*text_bytes(part.column("text")), ALPHANUMERIC)
                 starts = word_ranges(rows, part.num_rows)
-                at = np.flatnonzero(_among(anchors, hashes))
-                steps = np.zeros(len(rows) + 1, dtype=np.int32)
-                np.add.at(steps, np.maximum(at - reach, starts[rows[at]]), 1)
-                np.add.at(steps, np.minimum(at + reach + 1, starts[rows[at] + 1]), -1)
-                kept = np.flatnonzero(np.cumsum(steps[:-1]) > 0)
+                near = np.zeros(len(rows), dtype=bool)
+                for n, spots in grams.items():
+                    at = np.flatnonzero(_among(spots, _grams(hashes, n)))
+                    near |= _around(at[at + n <= starts[rows[at] + 1]], window - n, window - 1, rows, starts)
+                at = np.flatnonzero(near & _among(anchors, hashes))
+                kept = np.flatnonzero(near & _around(at, window - 1, window - 1, rows, starts))
                 kept = kept[_among(terms, hashes[kept])]
                 edges = pa.array(np.searchsorted(rows[kept], np.arange(part.num_rows + 1)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([
@@ -95,15 +120,17 @@ def find_contamination(
        at most, so it has one of them. Places whose term no document has are the rarest and
        need no anchor; a window with more than ``window - near`` of them is out already.
     2. The index: postings (term, document, place) of the benchmark's terms, written to the
-       shared folder. A posting farther than a window from every anchor term can be part of
-       no match and is left out.
+       shared folder. A match has at least ``near`` equal places in ``window`` with at most
+       ``window - near`` others between them, so somewhere it has near / (window - near + 1)
+       equal words in a row, rounded up. A posting farther than a window from every such run
+       of a benchmark item, or from every anchor term, can be part of no match and is left out.
     3. Anchors meet their postings: each hit aligns an item with a document. The other terms
        of the windows around the anchor are looked up at their offsets from it.
     4. Runs along one alignment of at least ``window`` matching places are exact matches; if
        ``near`` of ``window`` consecutive places match, around an anchor, that is a
        proximity match.
 
-    A term is a 64-bit hash of a word; tasks hold two tables of fixed size that say which
+    A term is a 64-bit hash of a word; tasks hold tables of fixed size that say which
     terms to post, and the joins on terms then remove what only seemed to be one.
 
     Returns one row per row of ``docs``: its id, ``n_words``, ``n_hit`` (words in exact
@@ -119,9 +146,17 @@ def find_contamination(
     numbered = benchmark.select(
         F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("item_id"), F.col(item_text).alias("text")
     ).withColumn("item", F.monotonically_increasing_id())
+    run = max(1, -(-near // (window - near + 1)))
     items = saved(
-        numbered.mapInArrow(_item_words, "item long, item_id string, place int, size int, term long"), "items"
+        numbered.mapInArrow(
+            _item_words(run), "item long, item_id string, place int, size int, term long, gram long, length int"
+        ),
+        "items",
     )
+    grams = {
+        n: _spots(items.filter(F.col("gram").isNotNull() & (F.col("length") == n)).select(F.col("gram").alias("term")))
+        for n in sorted(r.length for r in items.select("length").distinct().collect())
+    }
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     hashed = texts.withColumn("text_hash", F.xxhash64("text"))
     terms = _spots(items)
@@ -134,7 +169,7 @@ def find_contamination(
     rarest = F.array_sort(F.collect_list(F.when(F.col("n") > 0, F.struct("n", "place", "term"))).over(ahead))
     needed = F.when(F.col("size") >= window, window - near + 1 - F.col("missing")).otherwise(1)
     anchors = saved(
-        items.join(counted, "term", "left").withColumns({"rarest": rarest, "missing": missing})
+        items.drop("gram", "length").join(counted, "term", "left").withColumns({"rarest": rarest, "missing": missing})
         .filter((F.col("place") == 0) | (F.col("place") <= F.col("size") - window))
         .filter((F.col("missing") == 0) | (F.col("missing") <= window - near) & (F.col("size") >= window))
         .select("item", F.explode(F.slice("rarest", F.lit(1), needed.cast("int"))).alias("rare"))
@@ -144,7 +179,7 @@ def find_contamination(
     kind = dict(texts.dtypes)["doc_id"]
     judged = saved(
         hashed.mapInArrow(
-            _postings(terms, _spots(anchors), window - 1),
+            _postings(terms, _spots(anchors), grams, window),
             f"doc_id {kind}, text_hash long, n_words long, places array<int>, terms array<long>",
         ).withColumn("row", F.monotonically_increasing_id()),
         "judged",
