@@ -149,7 +149,7 @@ def encode_texts(
 
     ``model`` is the path of a model file, read by the driver and sent along. A task encodes
     a few MB of texts at a time with ``threads`` threads. ``round_trip`` tells whether the
-    pieces of the ids, put together, are the text again, for every text; a text that holds
+    decoded ids, and the pieces put together, are the text again, for every text; a text that holds
     the marker itself comes back with spaces. A null text has null ids and tokens and no round trip; an empty
     text has no ids. Columns of ``docs`` named like a new one are replaced.
     """
@@ -177,8 +177,9 @@ def encode_texts(
                     "n_tokens": pc.if_else(null, None, pa.array([len(x) for x in found], pa.int64())),
                 }
                 if check:
-                    back = (b"".join([spelled[i] for i in x])[extra:] for x in found)
-                    same = pa.array([a.encode() == b for a, b in zip(texts, back)])
+                    back = tokenizer.decode_batch(found, skip_special_tokens=False)
+                    joined = (b"".join([spelled[i] for i in x])[extra:] for x in found)
+                    same = pa.array([a == b and a.encode() == c for a, b, c in zip(texts, back, joined)])
                     new["round_trip"] = pc.if_else(null, None, same)
                 yield pa.RecordBatch.from_arrays([*part.columns, *new.values()], [*part.schema.names, *new])
 

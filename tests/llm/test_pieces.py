@@ -4,7 +4,7 @@ import random
 import struct
 
 import sentencepiece
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, decoders
 
 from epispark.llm import pieces
 from epispark.llm.workload import PIECE_MODEL
@@ -78,3 +78,16 @@ def test_a_unigram_model_keeps_its_scores():
     texts = ["ab", "a b", "  a   bab ", "ba", ""]
     assert [e.ids for e in tokenizer.encode_batch(texts)] == own.encode(texts)
     assert isinstance(tokenizer, Tokenizer)
+
+
+def test_the_round_trip_asks_the_decoder(spark, monkeypatch):
+    whole = pieces.build_tokenizer
+
+    def wrong(data):
+        built = whole(data)
+        built.decoder = decoders.Fuse()
+        return built
+
+    monkeypatch.setattr(pieces, "build_tokenizer", wrong)
+    docs = spark.createDataFrame([("two words",)], "text string")
+    assert [r.round_trip for r in pieces.encode_texts(docs, PIECE_MODEL).collect()] == [False]
