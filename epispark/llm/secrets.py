@@ -43,7 +43,7 @@ _PRIVATE = (
     r"|(?:[\t ]+[A-Za-z0-9+/]{20,}={0,2})++)?"
 )
 RULES = (
-    Rule("assign", _ASSIGN + "+)", _ASSIGN + "{8})", 2, 8),
+    Rule("assign", _ASSIGN.replace("(?i:", "(?ai:") + "+)", _ASSIGN + "{8})", 2, 8),
     Rule("access", r"AKIA[A-Z0-9]+", r"AKIA[A-Z0-9]{12}", 0, 16),
     Rule("hex", r"[0-9a-f]+", r"[0-9a-f]{32}", 0, 32),
     Rule("repo", r"gh[opsu]_[A-Za-z0-9]{36,}", r"gh[opsu]_"),

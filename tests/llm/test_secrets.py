@@ -6,7 +6,7 @@ import re
 
 from epispark.llm import workload
 from epispark.llm.automaton import compile_patterns
-from epispark.llm.secrets import BASE, RULES, find_secrets, redact_secrets
+from epispark.llm.secrets import BASE, RULES, _scanner, _spans, find_secrets, redact_secrets
 
 
 def brute(text, kinds=BASE):
@@ -99,3 +99,10 @@ def test_no_part_of_a_private_key_stays(spark):
     assert [got[i] for i in range(len(given))] == list(given.values())
     assert [s for r in find_secrets(docs.limit(1)).collect() for s in r.spans if s.kind == "private"] == [
         ("private", 2, len(next(iter(given))) - 2)]
+
+
+def test_letters_beyond_ascii_are_no_letters_of_a_rule():
+    rules = (RULES[0],)
+    other = "to\u212aen=abcdefgh \u017fecret=abcdefgh"
+    for text in (other, other + " token=abcdefgh"):
+        assert [a for _, a, _ in _spans(text.encode(), *_scanner(rules), rules)] == [len(other) + 1] * (text != other)
