@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epispark.llm import decontam, lm, minhash, pages, pieces, quality, secrets, toxicity, urls, vectors
+from epispark.llm import decontam, lm, merkle, minhash, pages, pieces, quality, secrets, toxicity, urls, vectors
 
 QUERIES, ORACLES = {}, {}
 
@@ -172,6 +172,56 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# The CRC-32 of a decimal id, bit by bit, for SQL that has no function for it.
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length({0}::VARCHAR) + 1), lambda i: ascii(substr({0}::VARCHAR, i, 1))::BIGINT)),
+        lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)::BIGINT[]), lambda x, i: xor(x >> 1, CASE WHEN x % 2 = 1 THEN 3988292384::BIGINT ELSE 0 END))), 4294967295::BIGINT)"""
+
+
+def _field_sql(value: str) -> str:
+    return f"coalesce(strlen({value}::VARCHAR) || ':' || {value}::VARCHAR, '-')"
+
+
+def _leaf_sql(text: str) -> str:
+    return "sha256(" + " || ".join(map(_field_sql, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+
+
+_LOWER_SQL = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: Levels of nodes up to the subroots (grp >= 0) and from there to the root (grp = -1), runs joined on the way.
+_MERKLE = f"""
+    WITH RECURSIVE d AS (SELECT doc_id, source, {_leaf_sql('text')} AS leaf,
+        CASE WHEN {_CRC32.format('doc_id')} % 5 = 0 THEN {_leaf_sql(_LOWER_SQL)} ELSE {_leaf_sql('text')} END AS now FROM documents),
+    g AS (SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS grp FROM (SELECT DISTINCT source FROM d)),
+    l0 AS (SELECT doc_id, leaf, now, grp, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+                  count(*) OVER (PARTITION BY grp) AS n FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+    low(lv, grp, pos, n, h) AS (SELECT 0, grp, pos, n, leaf FROM l0 UNION ALL
+        SELECT lv + 1, grp, pos // 16, (max(n) + 15) // 16, sha256(string_agg(h, '' ORDER BY pos)) FROM low WHERE n > 1 GROUP BY lv, grp, pos // 16),
+    sub AS (SELECT grp, h FROM low WHERE n = 1),
+    high(lv, pos, n, h) AS (SELECT 0, grp, (SELECT count(*) FROM g), h FROM sub UNION ALL
+        SELECT lv + 1, pos // 16, (max(n) + 15) // 16, sha256(string_agg(h, '' ORDER BY pos)) FROM high WHERE n > 1 GROUP BY lv, pos // 16),
+    nodes AS (SELECT lv, grp, pos, n, h FROM low UNION ALL SELECT lv, -1, pos, n, h FROM high),
+    sides AS (SELECT a.lv, a.grp, a.pos, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (WHERE b.pos < a.pos), '') AS l,
+                     coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (WHERE b.pos > a.pos), '') AS r
+              FROM nodes a JOIN nodes b ON a.lv = b.lv AND a.grp = b.grp AND a.pos // 16 = b.pos // 16 WHERE a.n > 1 GROUP BY ALL),
+    walk(doc_id, leaf, k, g, lv, own, pos, cur, proof) AS (SELECT doc_id, leaf, pos, grp, 0, grp, pos, now, '' FROM l0 UNION ALL
+        SELECT w.doc_id, w.leaf, w.k, w.g, CASE WHEN s.l IS NULL THEN 0 ELSE w.lv + 1 END, CASE WHEN s.l IS NULL THEN -1 ELSE w.own END,
+               CASE WHEN s.l IS NULL THEN w.own ELSE w.pos // 16 END, CASE WHEN s.l IS NULL THEN w.cur ELSE sha256(s.l || w.cur || s.r) END,
+               w.proof || coalesce(s.l || s.r, '')
+        FROM walk w LEFT JOIN sides s ON s.lv = w.lv AND s.grp = w.own AND s.pos = w.pos WHERE s.l IS NOT NULL OR w.own >= 0),
+    ends AS (SELECT DISTINCT ON (g, k) * FROM walk ORDER BY g, k, own ASC, lv DESC)
+    SELECT doc_id, leaf, sub.h AS subroot, root.h AS root, sha256(proof) AS proof_sha256, cur AS folded_root, cur = root.h AS verified
+    FROM ends JOIN sub ON sub.grp = g CROSS JOIN (SELECT h FROM high WHERE n = 1) root"""
+
+
+@query(_MERKLE)
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    made = merkle.merkle_manifest(table(spark, folder, "documents"), {"text": lower}, fold("doc_id", 5) == 0)
+    return made.select(
+        "doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", "verified"
+    )
+
+
 def queries():
     return dict(QUERIES)
 
