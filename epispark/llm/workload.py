@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epispark.llm import decontam, lm, merkle, minhash, pages, pieces, quality, secrets, toxicity, urls, vectors
+from epispark.llm import decontam, lm, merkle, minhash, packing, pages, pieces, quality, search, secrets, toxicity, urls, vectors
 
 QUERIES, ORACLES = {}, {}
 
@@ -172,6 +173,26 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query()
+def op11_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.with_checksum(packing.pack_documents(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+
+
+@query(f"""
+    WITH d AS (SELECT doc_id, unnest({_DECONTAM_WORDS}) AS t FROM documents),
+    n AS (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id),
+    c AS (SELECT count(*) AS docs, sum(n)::BIGINT AS words FROM n),
+    q AS (SELECT DISTINCT item_id, t FROM (SELECT item_id, unnest({_DECONTAM_WORDS}) AS t FROM benchmark) x),
+    p AS (SELECT doc_id, t, count(*) AS tf FROM d SEMI JOIN q USING (t) GROUP BY doc_id, t),
+    w AS (SELECT t, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, c GROUP BY t, docs),
+    s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // words))))::BIGINT AS score
+          FROM q JOIN p USING (t) JOIN w USING (t) JOIN n USING (doc_id), c GROUP BY item_id, doc_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM s WHERE score > 0)
+    SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10""")
+def op12_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return search.rank_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 # The CRC-32 of a decimal id, bit by bit, for SQL that has no function for it.
 _CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length({0}::VARCHAR) + 1), lambda i: ascii(substr({0}::VARCHAR, i, 1))::BIGINT)),
         lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)::BIGINT[]), lambda x, i: xor(x >> 1, CASE WHEN x % 2 = 1 THEN 3988292384::BIGINT ELSE 0 END))), 4294967295::BIGINT)"""
