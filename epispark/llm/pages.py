@@ -85,19 +85,29 @@ class _Page(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.named: dict[int, bool] = {}
         self.tags, self.parents, self.gone, self.linked = ["html"], [-1], [False], [False]
+        self.holders = [0]  # the innermost block element
         self.open = [0]
+        # Where open elements are, by tag, and containers: an end tag is looked up, not searched for.
+        self.depths: dict[str, list[int]] = {}
+        self.scopes = [0]
         self.block = 0
         self.pieces: list[tuple[int, int, str]] = []
 
+    def _depth(self, tag: str) -> int:
+        return self.depths[tag][-1] if self.depths.get(tag) else 0
+
+    def _cut(self, depth: int) -> None:
+        while len(self.open) > depth:
+            tag = self.tags[self.open.pop()]
+            self.depths[tag].pop()
+            if tag in SCOPES:
+                self.scopes.pop()
+
     def _shut(self, tags: tuple[str, ...]) -> None:
         """Close the innermost open element of ``tags``, unless a container lies in between."""
-        for depth in range(len(self.open) - 1, 0, -1):
-            tag = self.tags[self.open[depth]]
-            if tag in tags:
-                del self.open[depth:]
-                return
-            if tag in SCOPES:
-                return
+        depth = max(map(self._depth, tags))
+        if depth and depth >= self.scopes[-1]:
+            self._cut(depth)
 
     def handle_starttag(self, tag, attrs):
         if tag in ("html", "body") and tag in (self.tags[k] for k in self.open[:3]):
@@ -115,9 +125,13 @@ class _Page(HTMLParser):
         told = attrs and tag not in ("html", "body")
         inside = self.gone[at] or tag in NO_TEXT or bool(told and _hidden(attrs))
         if tag == "header" and not inside:
-            inside = not any(self.tags[k] in ("article", "main") for k in self.open)
+            inside = not (self._depth("article") or self._depth("main"))
         if told and not inside and (apart := _apart(attrs)) is not None:
             self.named[len(self.tags)] = apart
+        self.depths.setdefault(tag, []).append(len(self.open))
+        if tag in SCOPES:
+            self.scopes.append(len(self.open))
+        self.holders.append(len(self.tags) if tag in BLOCKS else self.holders[at])
         self.tags.append(tag)
         self.parents.append(at)
         self.gone.append(inside)
@@ -130,13 +144,9 @@ class _Page(HTMLParser):
     def handle_endtag(self, tag):
         if tag in BLOCKS:
             self.block += 1
-        for depth in range(len(self.open) - 1, 0, -1):
-            found = self.tags[self.open[depth]]
-            if found == tag:
-                del self.open[depth:]
-                return
-            if found in SCOPES and tag not in BLOCKS:
-                return
+        depth = self._depth(tag)
+        if depth and (tag in BLOCKS or depth >= self.scopes[-1]):
+            self._cut(depth)
 
     def handle_data(self, data):
         at = self.open[-1]
@@ -153,9 +163,7 @@ def _blocks(page: _Page) -> list[tuple[int, str, float]]:
         if text:
             total = sum(len(data) for _, data in runs)
             links = sum(len(data) for at, data in runs if page.linked[at])
-            at = next(at for at, data in runs if data.strip())
-            while page.tags[at] not in BLOCKS:
-                at = page.parents[at]
+            at = page.holders[next(at for at, data in runs if data.strip())]
             out.append((at, text, links / total))
 
     for at, block, data in page.pieces:
@@ -268,13 +276,13 @@ def extract_text(pages: DataFrame, html: str = "html", text: str = "text") -> Da
     like a new one are replaced.
     """
     others = [c for c in pages.columns if c not in (html, text, "n_chars")]
-    kept = pages.select(*others, F.col(html).alias("_html"))
+    kept = pages.select(*others, F.col(html))  # last, found by its place
     schema = pages.select(*others, F.lit("").alias(text), F.lit(0).cast("long").alias("n_chars")).schema
 
     def extract(batches):
         for batch in batches:
-            for part in slices(batch, "_html"):
-                texts = [main_text(x) if x else "" for x in part.column("_html").to_pylist()]
+            for part in slices(batch, html):
+                texts = [main_text(x) if x else "" for x in part.column(html).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[:-1], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                     [*part.schema.names[:-1], text, "n_chars"])

@@ -2,6 +2,9 @@
 
 import html
 import re
+import time
+
+import pytest
 
 from epispark.llm import workload
 from epispark.llm.pages import extract_text, main_text
@@ -104,3 +107,18 @@ def test_a_list_of_sources_in_the_article_stays():
     for tag in ("article", "main"):
         assert main_text(f"<{tag}><p>{LONG}</p>{sources}</{tag}>").split("\n\n") == [LONG, "One source", "Another source"]
     assert main_text(f"<body><div><p>{LONG}</p>{sources}</div></body>") == LONG
+
+
+@pytest.mark.parametrize("html", [
+    "<div>" * 50_000 + "</section>" * 50_000, "<b>" * 50_000 + "x</div>" * 50_000, "<b><td>" + "<i>" * 80_000 + "</b>" * 80_000,
+    "<header>" * 100_000, "<li><div>" + "<b>" * 50_000 + "<li></b>" * 30_000,
+])
+def test_unbalanced_markup_takes_time_in_proportion(html):
+    started = time.process_time()
+    main_text(html)
+    assert time.process_time() - started < 4  # minutes, if every end tag were searched for
+
+
+def test_a_column_named_like_an_inner_one(spark):
+    pages = spark.createDataFrame([(1, "<p>a</p>", "kept", "x")], "page_id long, html string, _html string, text string")
+    assert [tuple(r) for r in extract_text(pages).collect()] == [(1, "kept", "a", 1)]
