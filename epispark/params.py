@@ -32,6 +32,10 @@ class Params:
     max_contact_distance: int = 5_000_000
     top_k: int = 32
     drop_diagonal: bool = False
+    #: Rounds in which raw contact counts are balanced; 0 takes them as normalised already.
+    balance_steps: int = 0
+    balance_tolerance: float = 1e-3
+    min_balance_partners: int = 1
     shard_size: int = 50_000
     batch_size: int = 1_024
     embedding_width: int = 768

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from epispark.functions.coordinates import normalize_chrom
 from epispark.operators import audit
+from epispark.operators import balance as B
 from epispark.operators import genome as G
 from epispark.operators import graph as H
 from epispark.operators import indexing as I
@@ -31,7 +32,8 @@ def build_graph(sizes: DataFrame, contacts: DataFrame, params: Params, path: str
     """Write ``nodes``, ``edges`` and ``chroms_without_contacts``.
 
     ``sizes`` has ``raw_name, length``; ``contacts`` has ``chrom, bin_x, bin_y, count``,
-    the chromosome in any of the usual spellings.
+    the chromosome in any of the usual spellings. Raw counts are balanced over whole
+    chromosomes, before the distance cap, if ``balance_steps`` asks for it.
     """
     spark = sizes.sparkSession
     named = H.normalize_chrom_sizes(sizes, params.chroms)
@@ -42,6 +44,11 @@ def build_graph(sizes: DataFrame, contacts: DataFrame, params: Params, path: str
     audit.require_empty(audit.duplicate_keys(nodes, N.BIN_KEY), "bins are listed twice")
 
     named_contacts = contacts.withColumn("chrom", normalize_chrom(F.col("chrom")))
+    if params.balance_steps:
+        listed = named_contacts.filter(F.col("chrom").isin(*params.chroms))
+        named_contacts = B.balance_contacts(
+            listed, params.balance_steps, params.balance_tolerance, params.min_balance_partners
+        )
     usable = H.near_contacts(H.finite_contacts(named_contacts), params.max_contact_bins)
     if usable.isEmpty():
         raise ValueError("no usable contact on any chromosome")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from epispark.functions.coordinates import normalize_chrom as normalized
 from epispark.operators import graph as H
+from epispark.operators.balance import balance_contacts
 from epispark.workloads.bindings import PARAMS, Tables
 from epispark.workloads.registry import Registry
 
@@ -96,3 +97,38 @@ def oe_edges(t: Tables):
           (SELECT chrom FROM b_contacts WHERE isfinite(count))""")
 def empty_contact_chroms(t: Tables):
     return H.chroms_without_contacts(t.nodes, H.finite_contacts(t.contacts))
+
+
+BALANCE_STEPS, BALANCE_TOLERANCE = 10, 0.02
+
+
+def _balanced(steps: int, tolerance: float) -> str:
+    """The rounds of the balancing, one after the other; a settled chromosome stays as it is."""
+    parts = ["""
+    WITH m AS (SELECT chrom, a AS bin, b AS other, sum(count) AS w FROM (
+                 SELECT chrom, bin_x AS a, bin_y AS b, count FROM b_contacts WHERE isfinite(count) AND count > 0
+                 UNION ALL SELECT chrom, bin_y, bin_x, count FROM b_contacts
+                 WHERE isfinite(count) AND count > 0 AND bin_x <> bin_y) u GROUP BY ALL),
+    x0 AS (SELECT DISTINCT chrom, bin, 1.0::DOUBLE AS bias FROM m)"""]
+    for k in range(steps + 1):
+        parts.append(f"""
+    r{k} AS MATERIALIZED (SELECT x.chrom, x.bin, any_value(x.bias) AS bias, any_value(x.bias) * sum(m.w * o.bias) AS r
+             FROM x{k} x JOIN m ON m.chrom = x.chrom AND m.bin = x.bin JOIN x{k} o ON o.chrom = m.chrom AND o.bin = m.other
+             GROUP BY x.chrom, x.bin)""")
+        if k < steps:
+            parts.append(f"""
+    x{k + 1} AS MATERIALIZED (SELECT chrom, bin, CASE WHEN max(abs(r - 1)) OVER (PARTITION BY chrom) > {tolerance!r}::DOUBLE
+                              THEN bias / sqrt(r) ELSE bias END AS bias FROM r{k})""")
+    return ",".join(parts) + f""",
+    f AS (SELECT chrom, bin, bias FROM r{steps} WHERE abs(r - 1) <= {tolerance!r}::DOUBLE),
+    p AS (SELECT c.*, c.count * x.bias * y.bias AS v FROM b_contacts c
+          LEFT JOIN f x ON x.chrom = c.chrom AND x.bin = c.bin_x LEFT JOIN f y ON y.chrom = c.chrom AND y.bin = c.bin_y),
+    s AS (SELECT chrom, sum(count) / sum(v) AS scale FROM p WHERE isfinite(v) GROUP BY chrom)
+    SELECT chrom, bin_x, bin_y, CASE WHEN v IS NULL OR isnan(v) THEN 'NaN'::DOUBLE ELSE round(v * scale, 5) END AS count
+    FROM p LEFT JOIN s USING (chrom)"""
+
+
+@query(_balanced(BALANCE_STEPS, BALANCE_TOLERANCE))
+def balanced_contacts(t: Tables):
+    made = balance_contacts(t.contacts, BALANCE_STEPS, BALANCE_TOLERANCE)
+    return made.select("chrom", "bin_x", "bin_y", F.round("count", 5).alias("count"))
