@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from epispark.llm.pieces import _loaded
+from epispark.llm.bytepairs import encoder
 from epispark.llm.store import saved
 from epispark.llm.words import slices
 
@@ -22,6 +22,8 @@ from epispark.llm.words import slices
 TIERS = (2048, 1024, 512, 256, 128)
 #: Tokens that a task holds before it packs them, about.
 HELD = 1 << 22
+#: Tasks and tiers whose counts are sent whole to every task; beyond it pieces are shuffled.
+MOST_SENT = 1 << 18
 #: Characters of a text that are encoded at once, at least, if it can be cut.
 CHUNK = 1 << 20
 #: A space between two words: byte-level tokens never reach across its left edge.
@@ -115,11 +117,9 @@ def _parts(text: str) -> Iterator[str]:
     yield text[lo:]
 
 
-def _encoded(tokenizer: Tokenizer, texts: list[str], end: int) -> Iterator[np.ndarray]:
-    parts = [[*_parts(t)] for t in texts]
-    found = iter(tokenizer.encode_batch_fast([p for own in parts for p in own], add_special_tokens=False))
-    for own in parts:
-        yield np.concatenate([*[np.array(next(found).ids, np.int32) for _ in own], np.array([end], np.int32)])
+def _encoded(encode: Callable[[str], list[int]], text: str, end: int) -> np.ndarray:
+    parts = [np.array(encode(part), np.int32) for part in _parts(text)]
+    return np.concatenate([*parts, np.array([end], np.int32)])
 
 
 def pack_documents(
@@ -130,7 +130,6 @@ def pack_documents(
     doc_id: str = "doc_id",
     text: str = "text",
     step_tokens: int = 1 << 17,
-    threads: int = 2,
 ) -> DataFrame:
     """Pieces of sequences: ``doc_id``, ``start``, ``length``, ``doc_tokens``, ``sequence_id``, ``offset``,
     ``window`` (the sequence's context size), ``step`` and ``ids``.
@@ -161,7 +160,7 @@ def pack_documents(
     names = schema.names
 
     def pack(batches):
-        model, part = _loaded(built.value, threads), TaskContext.get().partitionId()
+        encode, part = encoder(built.value), TaskContext.get().partitionId()
         stock, held, tokens = Stock(), {}, 0
         rows, ids, made, numbers = [], [], 0, dict.fromkeys(tiers, 0)
         kind = None
@@ -201,7 +200,8 @@ def pack_documents(
             for slice_ in slices(batch, "text", 2 << 20):
                 kind = slice_.column("doc_id").type
                 texts = pc.fill_null(slice_.column("text"), "").to_pylist()
-                for name, own in zip(slice_.column("doc_id").to_pylist(), _encoded(model, texts, end)):
+                for name, content in zip(slice_.column("doc_id").to_pylist(), texts):
+                    own = _encoded(encode, content, end)
                     held[number] = name, own
                     whole = len(own) // tiers[0] * tiers[0]
                     for start in range(0, whole, tiers[0]):
@@ -219,12 +219,13 @@ def pack_documents(
     pieces = saved(kept.mapInArrow(pack, schema), "packed")
     counts = pieces.filter("offset = 0").groupBy("window", "part").agg(F.count("*").alias("n"))
     tier = Window.partitionBy("window")
-    shares = counts.select(
-        "window", "part", (F.sum("n").over(tier.orderBy("part")) - F.col("n")).alias("before"), F.sum("n").over(tier).alias("all"),
-    )
-    total = counts.agg(F.sum(F.col("window") * F.col("n"))).first()[0] or 0
-    steps = max(1, -(-total // step_tokens))
-    return pieces.join(shares, ["window", "part"]).select(
+    shares = saved(counts.select(
+        "window", "part", (F.sum("n").over(tier.orderBy("part")) - F.col("n")).alias("before"), F.sum("n").over(tier).alias("all"), "n",
+    ), "shares")
+    total, rows = shares.agg(F.sum(F.col("window") * F.col("n")), F.count("*")).first()
+    steps = max(1, -(-(total or 0) // step_tokens))
+    # a row per task and tier; while they are few, the pieces need not be moved
+    return pieces.join(F.broadcast(shares) if rows <= MOST_SENT else shares, ["window", "part"]).select(
         F.col("doc_id").alias(doc_id), "start", "length", "doc_tokens", "sequence_id", "offset", "window",
         F.expr(f"(before + number) * {steps} div all").alias("step"), "ids",
     )

@@ -1,5 +1,6 @@
 """Packing: every id in exactly one place, sequences full, steps balanced."""
 
+import json
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -9,7 +10,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from epispark.llm import packing, workload
+from epispark.llm import bytepairs, packing, workload
 
 FOLDER = "/root/testdata/sf0.001"
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -84,10 +85,24 @@ def test_long_texts_are_cut_where_tokens_end(monkeypatch):
     rng = random.Random(5)
     texts = ["".join(rng.choice(["word", " ", "  ", "\n", "7", "'s", "!", "é", "日本", " a", "<|endoftext|>"]) for _ in range(400)) for _ in range(40)]
     texts += ["x" * 500, " " * 500, ""]
-    assert [list(x) for x in packing._encoded(Tokenizer.from_file(PATH), texts, 1)] == encoded(texts)
+    encode = bytepairs.encoder(Tokenizer.from_file(PATH).to_str())
+    assert [list(packing._encoded(encode, t, 1)) for t in texts] == encoded(texts)
     assert any(len([*packing._parts(t)]) > 2 for t in texts)
 
 
+def test_ids_are_those_of_the_library():
+    """Every code point beside letters, digits, spaces and quotes, and a tokenizer that is no plain byte-level one."""
+    library = Tokenizer.from_file(PATH)
+    assert len(bytepairs.merge_ranks(json.loads(library.to_str()))) == 50_256
+    encode = bytepairs.encoder(library.to_str())
+    points = [chr(c) for c in range(1, 0x110000, 7) if not 0xD800 <= c < 0xE000] + [chr(c) for c in range(1, 0x3000)]
+    texts = [f"a{c}1{c} {c}{c}'{c}" for c in points] + ["", " ", "<|endoftext|>", "x<|endoftext|> y<|endoftext|>", "'S 's\n\n  x"]
+    assert [encode(t) for t in texts] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    other = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    assert bytepairs.merge_ranks(json.loads(other.to_str())) is None
+    assert bytepairs.encoder(other.to_str())("Some  words") == other.encode("Some  words", add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_sequences_by_chance(seed):
     rng = random.Random(seed)
