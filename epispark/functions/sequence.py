@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -115,6 +118,34 @@ def property_matrix(codes: Column, properties: Sequence[Sequence[float] | None])
     return let(codes, lambda known: F.array(*[row(known, j) for j in range(width)]))
 
 
+def expand_codes(codes: Column, properties: Sequence[Sequence[float] | None]) -> Column:
+    """``property_matrix`` of a stored column of pair codes, by an Arrow function.
+
+    All codes of a batch are looked up at once in the flat values of the list column; no code
+    becomes an object of its own. ``codes`` must be a column of a table: Spark hands no array
+    expression with lambdas on to such a function.
+    """
+    width = next(len(of_code) for of_code in properties if of_code is not None)
+    known = np.array([[0.0] * width if of_code is None else of_code for of_code in properties], np.float32)
+    table = np.vstack([known, np.zeros((1, width), np.float32)])
+
+    @F.arrow_udf("array<array<float>>")
+    def expand(batch: pa.Array) -> pa.Array:
+        flat = batch.flatten().to_numpy(zero_copy_only=False)
+        sizes = pc.fill_null(pc.list_value_length(batch), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        index = np.where((flat >= 0) & (flat < len(known)), flat, len(known)).astype(np.int64)
+        rows = np.repeat(sizes, width)  # lengths of the property rows
+        ends = np.cumsum(rows)
+        first = np.repeat(np.cumsum(sizes) - sizes, width)
+        place = np.arange(len(index) * width) - np.repeat(ends - rows - first, rows)
+        values = table[index[place], np.repeat(np.tile(np.arange(width), len(sizes)), rows)]
+        inner = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(values))
+        outer = pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * width)
+        return pa.ListArray.from_arrays(outer, inner, mask=pc.is_null(batch))
+
+    return expand(codes)
+
+
 def checked_codes(
     sequence: Column,
     window: int,

@@ -13,12 +13,17 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from epispark.operators.indexing import exclusive_running_sum
+from epispark.sources.staging import staged
 
 # The sweep tries 0.5 and then 0.05, 0.06 ... 0.95.
 SWEEP = tuple(0.05 + i * 0.01 for i in range(91))
 START_THRESHOLD = 0.5
 
+#: Distinct scores that one task sums up in order, at most.
+MOST_IN_SLICE = 1 << 18
+#: Rows of a table that is sent whole to every task, at most.
+MOST_SENT = 1 << 16
+
 
 def class_counts(rows: DataFrame) -> DataFrame:
     return rows.agg(
@@ -58,19 +63,32 @@ def weighted_log_loss(rows: DataFrame) -> DataFrame:
     loss are summed unweighted in the same pass and weighted at the end. Nothing is cut
     off: a logit of any finite size has its exact loss.
     """
-    logit = F.col("logit")
-    sums = checked(rows, "logit").agg(
-        F.count("*").alias("n"),
-        F.count_if(F.col("label") == 1).alias("pos"),
-        F.count_if(F.col("label") == 0).alias("neg"),
-        F.sum(F.when(F.col("label") == 1, _softplus(-logit)).otherwise(0.0)).alias("pos_loss"),
-        F.sum(F.when(F.col("label") == 0, _softplus(logit)).otherwise(0.0)).alias("neg_loss"),
-    )
+    return _loss(checked(rows, "logit").agg(*_class_sums(), *_loss_sums()))
+
+
+def _class_sums() -> list[Column]:
+    return [F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg")]
+
+
+def _loss_sums() -> list[Column]:
+    positive, logit = F.col("label") == 1, F.col("logit")
+    return [
+        F.sum(F.when(positive, _softplus(-logit)).otherwise(0.0)).alias("pos_loss"),
+        F.sum(F.when(~positive, _softplus(logit)).otherwise(0.0)).alias("neg_loss"),
+    ]
+
+
+def loss_of_scores(scores: DataFrame) -> DataFrame:
+    """``weighted_log_loss`` from ``score_losses``."""
+    return _loss(scores.agg(*[F.sum(c).alias(c) for c in ("pos", "neg", "pos_loss", "neg_loss")]))
+
+
+def _loss(sums: DataFrame) -> DataFrame:
     weight = F.try_divide(F.col("neg"), F.col("pos"))
     return sums.select(
-        F.col("n").alias("row_count"),
+        (F.col("pos") + F.col("neg")).alias("row_count"),
         weight.alias("pos_weight"),
-        ((weight * F.col("pos_loss") + F.col("neg_loss")) / F.col("n")).alias("loss"),
+        F.try_divide(weight * F.col("pos_loss") + F.col("neg_loss"), F.col("pos") + F.col("neg")).alias("loss"),
     )
 
 
@@ -90,6 +108,23 @@ def confusion_metrics(rows: DataFrame, threshold: float = START_THRESHOLD) -> Da
         F.count_if(~hit & true).alias("fn"),
         F.count_if(~hit & ~true).alias("tn"),
     )
+    return _confusion(counts)
+
+
+def confusion_of_scores(scores: DataFrame, threshold: float = START_THRESHOLD) -> DataFrame:
+    """``confusion_metrics`` from ``score_counts``."""
+    hit = F.col("score") >= threshold
+
+    def total(where: Column, column: str) -> Column:
+        return F.coalesce(F.sum(F.when(where, F.col(column))), F.lit(0))
+
+    return _confusion(scores.agg(
+        total(hit, "pos").alias("tp"), total(hit, "neg").alias("fp"),
+        total(~hit, "pos").alias("fn"), total(~hit, "neg").alias("tn"),
+    ))
+
+
+def _confusion(counts: DataFrame) -> DataFrame:
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
     recalls = F.array_compact(F.array(F.try_divide(tp, tp + fn), F.try_divide(tn, tn + fp)))
     total = F.aggregate(recalls, F.lit(0.0), lambda acc, x: acc + x)
@@ -106,33 +141,55 @@ def confusion_metrics(rows: DataFrame, threshold: float = START_THRESHOLD) -> Da
 
 def score_counts(rows: DataFrame) -> DataFrame:
     """Positives and negatives at every distinct score."""
-    return checked(rows).groupBy("score").agg(
-        F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg")
-    )
+    return checked(rows).groupBy("score").agg(*_class_sums())
 
 
-def cumulative_counts(rows: DataFrame, slices: int = 1 << 16) -> DataFrame:
-    """Distinct scores with the positives and negatives at that score or above.
+def score_losses(rows: DataFrame) -> DataFrame:
+    """``score_counts`` with the sums that the log loss is made of: all that an evaluation needs of the rows."""
+    return checked(checked(rows, "logit")).groupBy("score").agg(*_class_sums(), *_loss_sums())
 
-    A running sum over all scores would be a one-task window. The range from 0 to 1 is cut
-    into ``slices`` (with one more on either side); each slice is summed on its own, in a
-    stream, and starts from the total of the slices above. Both sums read one shuffle.
+
+def adaptive_slices(scores: DataFrame, most: int = MOST_IN_SLICE) -> DataFrame:
+    """Distinct scores with the ``slice`` that each is in: slices rise with the score and hold at
+    most ``most`` scores, whatever their distribution.
+
+    The cuts are quantiles of a sketch, twice as many as there must be. Their ranks are off by
+    an eighth of ``most`` at most, and scores are distinct, so no slice has over three quarters of it.
+    """
+    count = scores.count()
+    cuts: list[float] = []
+    if count > most:
+        parts = -(-2 * count // most)
+        cuts = sorted(set(scores.approxQuantile("score", [i / parts for i in range(1, parts)], 1 / (4 * parts))))
+    if not cuts:
+        return scores.withColumn("slice", F.lit(0))
+    splits = [float("-inf"), *cuts, float("inf")]
+    sliced = Bucketizer(splits=splits, inputCol="score", outputCol="slice").transform(scores)
+    return sliced.withColumn("slice", F.col("slice").cast("int"))
+
+
+def _sent(table: DataFrame, count: int) -> DataFrame:
+    return F.broadcast(table) if count <= MOST_SENT else table
+
+
+def running_counts(scores: DataFrame, most: int = MOST_IN_SLICE) -> DataFrame:
+    """Distinct scores (a written table) with the positives and negatives at that score or above.
+
+    A running sum over all scores would be a one-task window: each slice of scores is summed
+    on its own, in a stream, and starts from the total of the slices above, which are one
+    row each.
     """
-    place = F.floor(F.col("score") * slices)
-    slice_ = F.least(F.greatest(place, F.lit(-1)), F.lit(slices)).cast("int")
-    sliced = score_counts(rows).withColumn("_slice", slice_).repartition("_slice")
-    totals = sliced.groupBy("_slice").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
-    totals = totals.withColumn("_order", -F.col("_slice"))
-    totals = exclusive_running_sum(totals, "_p", ["_order"], "_pos_above")
-    totals = exclusive_running_sum(totals, "_n", ["_order"], "_neg_above")
+    sliced = adaptive_slices(scores, most)
+    totals = staged(sliced.groupBy("slice").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n")), "slices")
+    above = Window.orderBy(F.desc("slice")).rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("slice", *[
+        F.coalesce(F.sum(c).over(above), F.lit(0)).alias(name) for c, name in (("_p", "_pos_above"), ("_n", "_neg_above"))
+    ])
     inside = (
-        Window.partitionBy("_slice")
-        .orderBy(F.desc("score"))
+        Window.partitionBy("slice").orderBy(F.desc("score"))
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    above = totals.select("_slice", "_pos_above", "_neg_above")
-    # At most slices + 2 rows, whatever the data.
-    return sliced.join(F.broadcast(above), "_slice").select(
+    return sliced.join(_sent(starts, totals.count()), "slice").select(
         "score",
         "pos",
         "neg",
@@ -141,6 +198,11 @@ def cumulative_counts(rows: DataFrame, slices: int = 1 << 16) -> DataFrame:
     )
 
 
+def cumulative_counts(rows: DataFrame, most: int = MOST_IN_SLICE) -> DataFrame:
+    """``running_counts`` of the distinct scores of ``rows``, which are read once."""
+    return running_counts(staged(score_counts(rows), "scores"), most)
+
+
 def ranking_areas(cumulative: DataFrame) -> DataFrame:
     """``average_precision`` and ``roc_auc`` in one pass.
 
@@ -175,17 +237,22 @@ def threshold_curve(rows: DataFrame) -> DataFrame:
     Every row goes to the highest threshold it passes, so one aggregation yields at
     most one row per threshold, and sums over those replace a pass per threshold.
     """
+    return curve_of_scores(checked(rows).select(
+        "score", (F.col("label") == 1).cast("long").alias("pos"), (F.col("label") == 0).cast("long").alias("neg")
+    ))
+
+
+def curve_of_scores(scores: DataFrame) -> DataFrame:
+    """``threshold_curve`` from ``score_counts``."""
     levels = sorted({*SWEEP, START_THRESHOLD})
     splits = [float("-inf"), *levels, float("inf")]
-    sliced = Bucketizer(splits=splits, inputCol="score", outputCol="_slice").transform(checked(rows))
-    counts = sliced.groupBy(F.col("_slice").cast("int").alias("_slice")).agg(
-        F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg")
-    )
+    sliced = Bucketizer(splits=splits, inputCol="score", outputCol="_slice").transform(scores)
+    counts = sliced.groupBy(F.col("_slice").cast("int").alias("_slice")).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     grid = F.array(*[
         F.struct(F.lit(i).alias("_slice"), F.lit(t).alias("threshold"))
         for i, t in enumerate([None, *levels])
     ])
-    every = rows.sparkSession.range(1).select(F.inline(grid))
+    every = scores.sparkSession.range(1).select(F.inline(grid))
     filled = every.join(counts, "_slice", "left").na.fill(0, ["pos", "neg"])
     whole = Window.partitionBy(F.lit(1))
     passed = whole.orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -199,9 +266,13 @@ def threshold_curve(rows: DataFrame) -> DataFrame:
 
 def best_threshold(rows: DataFrame) -> DataFrame:
     """The lowest threshold with the highest MCC, but 0.5 if none is better than 0.5."""
+    return best_of_curve(threshold_curve(rows))
+
+
+def best_of_curve(curve: DataFrame) -> DataFrame:
     preferred = F.when(F.col("threshold") == START_THRESHOLD, 1).otherwise(0)
     order = F.struct("mcc", preferred, -F.col("threshold"))
-    return threshold_curve(rows).agg(
+    return curve.agg(
         F.max_by("threshold", order).alias("best_threshold"), F.max("mcc").alias("best_mcc")
     )
 

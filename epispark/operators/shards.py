@@ -65,7 +65,7 @@ def expand_samples(
         "node_index",
         "label",
         S.one_hot(F.col("base_codes")).alias("one_hot"),
-        S.property_matrix(F.col("pair_codes"), properties).alias("properties"),
+        S.expand_codes(F.col("pair_codes"), properties).alias("properties"),
     )
 
 

@@ -14,6 +14,7 @@ from epispark.operators import quality as Q
 from epispark.operators import shards as D
 from epispark.params import Params
 from epispark.sources import tables
+from epispark.sources.staging import staged
 
 
 @dataclass(frozen=True)
@@ -68,12 +69,17 @@ def _as_rows(figures: DataFrame) -> DataFrame:
 
 
 def evaluate(predictions: DataFrame, params: Params) -> DataFrame:
-    """All figures of one set of predictions (``label, score, logit``), one row each."""
-    whole = _as_rows(M.weighted_log_loss(predictions))
+    """All figures of one set of predictions (``label, score, logit``), one row each.
+
+    The predictions are read once: their counts and losses per distinct score are written and
+    hold all that the figures need.
+    """
+    scores = staged(M.score_losses(predictions), "evaluated")
+    whole = _as_rows(M.loss_of_scores(scores))
     for figures in (
-        M.confusion_metrics(predictions, params.decision_threshold),
-        M.ranking_areas(M.cumulative_counts(predictions)),
-        M.best_threshold(predictions),
+        M.confusion_of_scores(scores, params.decision_threshold),
+        M.ranking_areas(M.running_counts(scores)),
+        M.best_of_curve(M.curve_of_scores(scores)),
     ):
         whole = whole.unionByName(_as_rows(figures))
     return whole

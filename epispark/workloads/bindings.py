@@ -22,6 +22,7 @@ from epispark.operators import shards as D
 from epispark.operators import splits as X
 from epispark.params import RRBS_HG19
 from epispark.sources import properties as P
+from epispark.sources.staging import staged
 
 PARAMS = replace(
     RRBS_HG19,
@@ -150,7 +151,8 @@ class Tables:
 
     @cached_property
     def sharded(self) -> DataFrame:
-        return D.assign_shards(self.rows.drop("grp"), PARAMS.shard_size)
+        """From written rows: numbering reads them twice."""
+        return D.assign_shards(staged(self.rows.drop("grp"), "rows"), PARAMS.shard_size)
 
     @cached_property
     def raw_properties(self) -> DataFrame:
@@ -429,10 +431,11 @@ VIEWS: dict[str, str] = {
                CASE WHEN a.code = 4 OR b.code = 4 THEN 255 ELSE a.code * 4 + b.code END AS code
         FROM b_base_codes a JOIN b_base_codes b
           ON a.chrom = b.chrom AND a.canonical_position = b.canonical_position AND b.i = a.i + 1""",
-    "b_matrix_sums": """
-        SELECT c.chrom, c.canonical_position, p.j AS property_no, round(sum(p.v * (c.i + 1)), 6) AS weighted_sum
-        FROM (SELECT c.chrom, c.canonical_position, c.i, c.code FROM b_pair_codes c) c
-        JOIN b_props p ON p.code = c.code GROUP BY ALL""",
+    "b_matrix": """
+        SELECT c.chrom, c.canonical_position, k.j AS property_no,
+               string_agg(CAST(CAST(round(coalesce(p.v, 0) * 100) AS INTEGER) AS VARCHAR), ',' ORDER BY c.i) AS hundredths
+        FROM b_pair_codes c CROSS JOIN (SELECT CAST(unnest(range(0, 12)) AS INTEGER) AS j) k
+        LEFT JOIN b_props p ON p.code = c.code AND p.j = k.j GROUP BY ALL""",
     "b_bins": """
         SELECT chrom, bin_start, least(bin_start + 100, length) AS bin_end FROM (
           SELECT concat('ctg', doc_id) AS chrom, length(seq) AS length,

@@ -8,6 +8,7 @@ from epispark.functions import sequence as S
 from epispark.operators import audit, genome as G, indexing as I, nodes as N, quality as Q
 from epispark.operators import shards as D
 from epispark.sources import files, properties as P
+from epispark.sources.staging import staged
 from epispark.workloads.bindings import PARAMS, Tables
 from epispark.workloads.registry import Registry
 
@@ -150,29 +151,29 @@ def one_hot(t: Tables):
     return rows.select(*_SITE, "base", F.array_join(F.col("row").cast("array<int>"), "").alias("bits"))
 
 
-def _matrix_sums(rows):
-    indexed = F.transform("row", lambda x, i: x * (i + 1.0))
-    total = F.aggregate(indexed, F.lit(0.0), lambda acc, x: acc + x)
-    return rows.select(*_SITE, "property_no", F.round(total, 6).alias("weighted_sum"))
+def _elements(rows):
+    """Every element of each row of a matrix, in hundredths."""
+    whole = F.transform("row", lambda x: F.rint(x * 100).cast("int").cast("string"))
+    return rows.select(*_SITE, "property_no", F.array_join(whole, ",").alias("hundredths"))
 
 
 def _properties(t: Tables):
     return P.as_literal(P.last_per_dinucleotide(P.check_properties(t.raw_properties)))
 
 
-@query("SELECT * FROM b_matrix_sums")
+@query("SELECT * FROM b_matrix")
 def property_matrix(t: Tables):
     properties = _properties(t)
     codes = S.checked_codes(F.col("sequence"), PARAMS.window, properties, "error")
     matrix = S.property_matrix(codes, properties)
-    return _matrix_sums(t.valid.select(*_SITE, F.posexplode(matrix).alias("property_no", "row")))
+    return _elements(t.valid.select(*_SITE, F.posexplode(matrix).alias("property_no", "row")))
 
 
-@query("SELECT * FROM b_matrix_sums")
+@query("SELECT * FROM b_matrix")
 def expand_property_matrix(t: Tables):
-    stored = D.encode_windows(t.rows).drop("sequence")
-    matrix = S.property_matrix(F.col("pair_codes"), _properties(t))
-    return _matrix_sums(stored.select(*_SITE, F.posexplode(matrix).alias("property_no", "row")))
+    stored = staged(D.encode_windows(t.rows).select(*_SITE, "pair_codes"), "codes")
+    matrix = S.expand_codes(F.col("pair_codes"), _properties(t))
+    return _elements(stored.select(*_SITE, F.posexplode(matrix).alias("property_no", "row")))
 
 
 @query("SELECT row_number, dinucleotide, problem FROM b_raw_properties")

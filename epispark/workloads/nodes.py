@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from epispark.operators import audit, nodes as N, splits as X
+from epispark.sources.staging import staged
 from epispark.workloads.bindings import PARAMS, Tables, digest, long_form
 from epispark.workloads.registry import Registry
 
@@ -85,7 +86,9 @@ def node_full_features(t: Tables):
           FROM w JOIN b_full f ON w.src = f.node_index JOIN z ON w.dst = z.dst GROUP BY w.dst, f.dim)
     SELECT dst, dim, round(v, 6) AS value FROM v""")
 def neighbour_aggregate(t: Tables):
-    mixed = N.neighbour_aggregate(t.edge_features, t.full_features, "observed_expected", PARAMS.max_contact_bins)
+    edges = staged(t.edge_features.select("src", "dst", "observed_expected"), "edges")
+    features = staged(t.full_features.select("node_index", "features"), "features")
+    mixed = N.neighbour_aggregate(edges, features, "observed_expected", PARAMS.max_contact_bins)
     return long_form(mixed, ["dst"], "embedding")
 
 
