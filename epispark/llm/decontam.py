@@ -4,14 +4,22 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from epispark.llm.groups import map_groups
 from epispark.llm.store import saved
 from epispark.llm.words import ALPHANUMERIC, hashed_words, mix, slices, text_bytes, word_ranges
 
 #: Bits of the table of terms that each task gets; its size never grows.
 TERM_BITS = 1 << 22
+#: Places of a document whose alignments are verified together, at least.
+STRETCH = 4096
+#: Words of items that tasks get at once to verify alignments, about.
+PASS_WORDS = 1 << 20
+#: Places of alignments that are looked up at once, about.
+LOOKUPS = 1 << 20
 
 
 def _grams(hashes: np.ndarray, length: int) -> np.ndarray:
@@ -100,6 +108,111 @@ def _postings(terms: bytes, anchors: bytes, grams: dict[int, bytes], window: int
     return post
 
 
+def _stretches(reach: int):
+    """Postings of a document by stretch: those that an alignment which begins there can meet."""
+
+    def cut(batches):
+        for batch in batches:
+            for row, places, terms in zip(*(batch.column(c) for c in ("row", "places", "terms"))):
+                at, held = places.values.to_numpy(), terms.values.to_numpy()
+                first, last = (int(at[0]) - reach) // STRETCH, int(at[-1]) // STRETCH
+                lo = np.searchsorted(at, np.arange(first, last + 1) * STRETCH)
+                hi = np.searchsorted(at, np.arange(first + 1, last + 2) * STRETCH + reach)
+                used = np.flatnonzero(hi > lo)
+                edges = np.concatenate([[0], np.cumsum(hi[used] - lo[used])]).astype(np.int32)
+                taken = np.concatenate([np.arange(lo[k], hi[k]) for k in used])
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(len(used), row.as_py())), pa.array(used + first),
+                    pa.ListArray.from_arrays(edges, pa.array(at[taken])), pa.ListArray.from_arrays(edges, pa.array(held[taken])),
+                ], ["row", "stretch", "places", "terms"])
+
+    return cut
+
+
+_MATCH = "row long, item long, start int, end int, item_start int, n_equal long, exact boolean, hits array<int>"
+
+
+def _verified(words: dict[int, np.ndarray], window: int, near: int):
+    """Matches along each alignment of a document with an item, from the postings of the stretch."""
+
+    def judge(row, item, shift, owner, place, sizes):
+        """``owner`` (an alignment, ascending) and ``place`` (in its item, ascending) of every equal word."""
+        far = 2 * window + int(sizes.max(initial=0))
+        key = owner * far + place
+        close = np.searchsorted(key, key + window) - np.arange(len(key))
+        run = np.cumsum(np.diff(key, prepend=-2) != 1) - 1
+        exact = np.bincount(run)[run] >= np.minimum(sizes[owner], window)
+        begins = exact | (close >= near) & (sizes[owner] >= window)
+        till = np.maximum.accumulate(np.where(begins, key, -far)) + window
+        covered = till > key
+        fresh = covered & (np.concatenate([[0], till[:-1]]) <= key)
+        key, owner, place, exact = (x[covered] for x in (key, owner, place, exact))
+        starts = np.flatnonzero(fresh[covered])
+        if not len(starts):
+            return None
+        ends, whose = np.append(starts[1:], len(key)) - 1, owner[starts]
+        counted = np.concatenate([[0], np.cumsum(exact)])
+        return pa.table([
+            pa.array(row[whose]), pa.array(item[whose]), pa.array((place[starts] + shift[whose]).astype(np.int32)),
+            pa.array((place[ends] + shift[whose] + 1).astype(np.int32)), pa.array(place[starts].astype(np.int32)),
+            pa.array(ends - starts + 1), pa.array(counted[ends + 1] > counted[starts]),
+            pa.ListArray.from_arrays(
+                pa.array(np.append(counted[starts], counted[-1]).astype(np.int32)),
+                pa.array((place + shift[owner])[exact].astype(np.int32)),
+            ),
+        ], ["row", "item", "start", "end", "item_start", "n_equal", "exact", "hits"])
+
+    def verify(table, starts):
+        group = np.zeros(table.num_rows, np.int64)
+        group[starts[(starts > 0) & (starts < table.num_rows)]] = 1
+        group = np.cumsum(group)
+        shift_column = table["shift"].combine_chunks()
+        posted = pc.is_null(shift_column).to_numpy(zero_copy_only=False)
+        lists = table.filter(pa.array(posted))
+        places, terms = (lists[c].combine_chunks() for c in ("places", "terms"))
+        at, held = places.flatten().to_numpy().astype(np.int64), terms.flatten().to_numpy()
+        of = np.repeat(group[posted], np.diff(places.offsets.to_numpy()))
+        found = np.unique(np.stack([
+            group[~posted], pc.fill_null(table["item"], 0).to_numpy()[~posted], pc.fill_null(shift_column, 0).to_numpy()[~posted],
+        ]), axis=1)
+        sizes = np.array([len(words[i]) for i in found[1].tolist()], np.int64)
+        far = int(at.max(initial=0)) + 2 * int(sizes.max(initial=0)) + 2
+        base = int(sizes.max(initial=0))
+        index = of * far + at + base
+        row_of = table["row"].to_numpy()[np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1])]
+        part = np.cumsum(sizes) // LOOKUPS
+        for lo, hi in zip(cuts := [0, *(np.flatnonzero(np.diff(part)) + 1).tolist()], [*cuts[1:], len(sizes)]):
+            where, item, shift = found[:, lo:hi]
+            own = sizes[lo:hi]
+            owner = np.repeat(np.arange(hi - lo), own)
+            place = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
+            wanted = np.concatenate([words[i] for i in item.tolist()]) if hi > lo else np.zeros(0, np.int64)
+            key = where[owner] * far + shift[owner] + place + base
+            spot = np.searchsorted(index, key)
+            equal = spot < len(index)
+            equal[equal] = index[spot[equal]] == key[equal]
+            equal[equal] = held[spot[equal]] == wanted[equal]
+            made = judge(row_of[where], item, shift, owner[equal], place[equal], own) if equal.any() else None
+            if made is not None:
+                yield made
+
+    return verify
+
+
+def _words_of(items: DataFrame) -> dict[int, np.ndarray]:
+    """The words of the items, in order; callers bound how many there are."""
+    found = items.select("item", "place", "term").toArrow().sort_by([("item", "ascending"), ("place", "ascending")])
+    names, starts = np.unique(found["item"].to_numpy(), return_index=True)
+    return dict(zip(names.tolist(), np.split(found["term"].to_numpy(), starts[1:])))
+
+
+def _verified_from(words, window: int, near: int):
+    def verify(table, starts):
+        yield from _verified(words.value, window, near)(table, starts)
+
+    return verify
+
+
 def find_contamination(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -124,8 +237,10 @@ def find_contamination(
        ``window - near`` others between them, so somewhere it has near / (window - near + 1)
        equal words in a row, rounded up. A posting farther than a window from every such run
        of a benchmark item, or from every anchor term, can be part of no match and is left out.
-    3. Anchors meet their postings: each hit aligns an item with a document. The other terms
-       of the windows around the anchor are looked up at their offsets from it.
+    3. Anchors meet their postings: each hit aligns an item with a document. Alignments meet
+       the document's own postings, in stretches of places, and the item's other terms are
+       looked up there at their offsets. Tasks get the words of the items in passes of about
+       ``PASS_WORDS``, an item's own together.
     4. Runs along one alignment of at least ``window`` matching places are exact matches; if
        ``near`` of ``window`` consecutive places match, around an anchor, that is a
        proximity match.
@@ -140,11 +255,12 @@ def find_contamination(
     of every alignment the runs of words under overlapping matches, as ``item_id``, ``start``
     and ``end`` (words of the document, the end exclusive), ``item_start``, ``n_equal`` (places
     that match) and ``exact`` (whether an exact match is among them). Null
-    or empty texts have no words. Rows of the benchmark with one id are one item; a null id
-    reads ``null``. Repeated rows are each judged, other columns of either table ignored.
+    or empty texts have no words. Rows of the benchmark with one id are one item; those with a
+    null id are one as well, which is counted but not in the list of ids. With ``near`` equal to ``window`` only
+    exact matches are looked for, which needs far fewer postings. Repeated rows are each judged, other columns of either table ignored.
     """
     numbered = benchmark.select(
-        F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("item_id"), F.col(item_text).alias("text")
+        F.col(item_id).cast("string").alias("item_id"), F.col(item_text).alias("text")
     ).withColumn("item", F.monotonically_increasing_id())
     run = max(1, -(-near // (window - near + 1)))
     items = saved(
@@ -190,51 +306,37 @@ def find_contamination(
         .select(F.col("p.terms").alias("term"), "row", F.col("p.places").alias("at")),
         "postings",
     )
-    aligned = index.join(anchors, "term").select("item", "row", (F.col("at") - F.col("anchor")).alias("shift"), "anchor")
-    worded = items.groupBy("item", "item_id", "size").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("place", "term"))), lambda x: x["term"]).alias("words")
-    )
-    key = F.struct("item")  # of its own, so that Spark can split an item that many documents hold
-    around = F.sequence(
-        F.greatest(F.col("anchor") - (window - 1), F.lit(0), -F.col("shift")),
-        F.least(F.col("anchor") + (window - 1), F.col("size") - 1),
+    shift = F.col("at") - F.col("anchor")
+    aligned = index.join(anchors, "term").select("row", F.floor(shift / STRETCH).alias("stretch"), "item", shift.alias("shift"))
+    longest, total = items.agg(F.max("size"), F.count("*")).first()
+    stretches = judged.filter(F.size("places") > 0).select("row", "places", "terms").mapInArrow(
+        _stretches(max(longest or 0, 1)), "row long, stretch long, places array<int>, terms array<long>"
     )
-    wanted = (
-        aligned.withColumn("_key", key).join(worded.withColumn("_key", key).drop("item"), "_key")
-        .select("item", "item_id", "size", "row", "shift", "words", F.explode(around).alias("place"))
-        .select("item", "item_id", "size", "row", "shift", "place", F.get("words", F.col("place")).alias("term"),
-                (F.col("shift") + F.col("place")).alias("at"))
-        .distinct()
-    )
-    found = wanted.join(index, ["row", "at", "term"], "left_semi")
-    along = Window.partitionBy("row", "item", "shift").orderBy("place")
-    runs = found.withColumns({
-        "run": F.col("place") - F.row_number().over(along),
-        "close": F.count("*").over(along.rangeBetween(0, window - 1)),
-    }).withColumn("long", F.count("*").over(Window.partitionBy("row", "item", "shift", "run")))
-    exact = F.col("long") >= F.least("size", F.lit(window))
-    begins = exact | ((F.col("close") >= near) & (F.col("size") >= window))
-    till = F.max(F.when(begins, F.col("place"))).over(along.rowsBetween(Window.unboundedPreceding, 0)) + window
-    fresh = (F.col("till") > F.col("place")) & F.coalesce(F.lag("till").over(along) <= F.col("place"), F.lit(True))
-    matches = (
-        runs.withColumns({"exact": exact, "till": till}).withColumn("fresh", fresh)
-        .filter(F.col("till") > F.col("place")).withColumn("match", F.count_if("fresh").over(along))
-        .groupBy("row", "item", "item_id", "shift", "match").agg(
-            F.min("at").alias("start"), (F.max("at") + 1).alias("end"), F.min("place").alias("item_start"),
-            F.count("*").alias("n_equal"), F.max("exact").alias("exact"),
-            F.collect_list(F.when(F.col("exact"), F.col("at"))).alias("hits"),
+    passes = -(-total // PASS_WORDS) or 1
+    if passes > 1:
+        aligned, stretches = saved(aligned, "aligned"), saved(stretches, "stretches")
+    matches = None
+    for number in range(passes):
+        own = F.pmod(F.xxhash64("item"), F.lit(passes)) == number
+        words = _words_of(items.filter(own))
+        both = stretches.select("row", "stretch", F.lit(None).cast("long").alias("item"), F.lit(None).cast("int").alias("shift"), "places", "terms").unionByName(
+            aligned.filter(own), allowMissingColumns=True
         )
-    )
+        verify = _verified_from(docs.sparkSession.sparkContext.broadcast(words), window, near)
+        part = map_groups(both, ("row", "stretch"), verify, _MATCH)
+        matches = part if matches is None else matches.unionByName(part)
+    matches = matches.join(items.filter("place = 0").select("item", "item_id"), "item")
     figures = matches.groupBy("row").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("hits")))).cast("long").alias("n_hit"),
         F.collect_set(F.when(F.col("exact"), F.col("item_id"))).alias("items"),
-        F.count_distinct("item_id").alias("n_near"),
+        F.max((F.col("exact") & F.col("item_id").isNull()).cast("long")).alias("nameless"),
+        (F.count_distinct("item_id") + F.max(F.col("item_id").isNull().cast("long"))).alias("n_near"),
         F.array_sort(F.collect_set(F.struct("item_id", "start", "end", "item_start", "n_equal", "exact"))).alias("matches"),
     )
     none = F.lit(0).cast("long")
     return judged.select("row", F.col("doc_id").alias(doc_id), "n_words", "text_hash").join(figures, "row", "left").select(
         doc_id, "n_words", F.coalesce("n_hit", none).alias("n_hit"),
-        F.coalesce(F.size("items").cast("long"), none).alias("n_items"),
+        F.coalesce(F.size("items") + F.col("nameless"), none).alias("n_items"),
         F.sha2(F.coalesce(F.array_join(F.array_sort("items"), ","), F.lit("")), 256).alias("items_sha256"),
         (F.coalesce("n_hit", none) > 0).alias("contaminated"), F.coalesce("n_near", none).alias("n_near"), "text_hash",
         F.coalesce("matches", F.array().cast(figures.schema["matches"].dataType)).alias("matches"),

@@ -4,6 +4,10 @@ import hashlib
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
+
+from epispark.llm import decontam
 from epispark.llm.decontam import find_contamination
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -27,8 +31,8 @@ def brute(docs, items):
             for p in range(len(w) - k + 1):
                 if tuple(w[p : p + k]) in windows:
                     hit |= set(range(p, p + k))
-                    ids.add("null" if item_id is None else str(item_id))
-        digest = hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
+                    ids.add(item_id)
+        digest = hashlib.sha256(",".join(sorted(str(i) for i in ids if i is not None)).encode()).hexdigest()
         out.append((doc_id, len(w), len(hit), len(ids), digest, bool(hit)))
     return sorted(out, key=repr)
 
@@ -67,6 +71,41 @@ def test_empty_tables(spark):
     assert found(spark, [(1, "a b")], []) == brute([(1, "a b")], [])
 
 
+def test_a_null_id_is_no_name(spark):
+    b = spark.createDataFrame([(None, "a b c"), ("null", "b c d"), ("x", "c d e")], "item_id string, text string")
+    d = spark.createDataFrame([(1, "a b c d e"), (2, "a b c")], "doc_id long, text string")
+    got = {r.doc_id: r for r in find_contamination(d, b).collect()}
+    assert [(got[k].n_items, got[k].n_near) for k in (1, 2)] == [(3, 3), (1, 1)]
+    assert got[1].items_sha256 == hashlib.sha256(b"null,x").hexdigest() and got[2].items_sha256 == hashlib.sha256(b"").hexdigest()
+
+
+def test_exact_only_passes_and_stretches(spark, monkeypatch):
+    rng = random.Random(11)
+    text = lambda n: " ".join(rng.choice(["the", "of", *(f"w{i}" for i in range(20))]) for _ in range(n))
+    items = [(i, text(rng.choice([4, 10, 30, 90]))) for i in range(20)]
+    docs = [(i, " ".join([text(rng.randrange(60)), rng.choice(items)[1], text(30), rng.choice(items)[1]] * 3)) for i in range(25)]
+    monkeypatch.setattr(decontam, "PASS_WORDS", 100)
+    monkeypatch.setattr(decontam, "LOOKUPS", 64)
+    want = brute(docs, items)
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for near in (8, 10):
+        assert sorted((tuple(r)[:6] for r in find_contamination(d, b, near=near).collect()), key=repr) == want
+
+
+def test_stretches_hold_what_an_alignment_needs():
+    rng = np.random.default_rng(4)
+    for reach in (1, 30, 9_000):
+        places = np.unique(rng.integers(0, 30_000, 400)).astype(np.int32)
+        batch = pa.RecordBatch.from_pydict({"row": [7], "places": [places], "terms": [places.astype(np.int64) * 3]})
+        (out,) = decontam._stretches(reach)([batch])
+        held = dict(zip(out.column("stretch").to_pylist(), out.column("places").to_pylist()))
+        for anchor in rng.integers(0, reach, 50):
+            for at in places:
+                shift = int(at) - int(anchor)
+                near = [p for p in places if shift <= p < shift + reach]
+                assert set(near) <= set(held[shift // decontam.STRETCH])
+
+
 def test_a_near_match_is_no_contamination(spark):
     item = [f"w{i}" for i in range(20)]
     doc = [*item[:9], "other", *item[10:18]]
