@@ -236,14 +236,16 @@ def first_of_groups(
     with the smallest id stays, one without an id only if none has one, and of rows with
     equal ids any one. Rows with a null or empty text all stay.
     """
-    rows = saved(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    found = link_near_duplicates(rows, shingle, percent, "_row", text).select("_row", "component_id")
-    order = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), "_row")
+    rows = saved(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc")), "rows")
+    texts = rows.select("row", F.col("doc")[text].alias("text"))
+    found = link_near_duplicates(texts, shingle, percent, "row", "text").select("row", "component_id")
+    own = F.col("doc")[doc_id]
+    order = F.struct(own.isNull().alias("none"), own.alias("id"), "row")
     firsts = (
-        found.join(rows.select("_row", doc_id), "_row").groupBy("component_id").agg(F.min(order).alias("first"))
-        .select(F.col("first._row").alias("_row"))
+        found.join(rows, "row").groupBy("component_id").agg(F.min(order).alias("first"))
+        .select(F.col("first.row").alias("row"))
     )
-    return rows.join(firsts, "_row", "left_semi").select(*docs.columns)
+    return rows.join(firsts, "row", "left_semi").select("doc.*")
 
 
 def _grouped(signed: DataFrame, classes: DataFrame, found: DataFrame, doc_id: str) -> DataFrame:

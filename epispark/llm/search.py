@@ -263,7 +263,7 @@ def _item_weights(asked: Asked, item: int) -> np.ndarray:
 
 def _searched(asked: Asked, least: np.ndarray, k: int):
     def search(table, starts):
-        for lo, hi in zip(starts, [*starts[1:], table.num_rows]):
+        for lo, hi in zip(starts, starts[1:]):
             part = table.slice(lo, hi - lo).sort_by([("kind", "ascending"), ("number", "ascending")]).combine_chunks()
             n = int((part["kind"].to_numpy() == 0).sum())
             docs, blocks = part.slice(0, n).combine_chunks(), part.slice(n).combine_chunks()

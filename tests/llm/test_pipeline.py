@@ -100,3 +100,16 @@ def test_one_row_of_each_group_stays(spark):
     expected = [(1, text["a"]), (2, text["b"]), (None, text["c"]), (4, text["d"] + " more"), (6, text["e"] + " more"),
                 (7, None), (7, None), (None, "")]
     assert sorted(((r.doc_id, r.text) for r in made.collect()), key=repr) == sorted(expected, key=repr)
+
+
+def test_columns_named_like_inner_ones_stay(spark):
+    names = ("_row", "row", "doc", "_id", "_hash", "text_hash", "component_id", "shingles")
+    rows = [(i, t, "en", "s", 1, *[f"{n}{i}" for n in names]) for i, t in enumerate(["a b c d e f", "A b c d e f", None, "g h"])]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names)
+    docs = spark.createDataFrame(rows, schema)
+    for stage in (chain.near_duplicate_stage, chain.decontamination_stage, chain.secret_stage):
+        out = stage(spark, docs, FOLDER)
+        assert out.columns == docs.columns
+        kept = {r.doc_id: tuple(r)[5:] for r in out.collect()}
+        assert len(kept) == (3 if stage is chain.near_duplicate_stage else 4)
+        assert all(kept[i] == rows[i][5:] for i in kept)
