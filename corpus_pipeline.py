@@ -22,26 +22,35 @@ from epispark.llm.workload import PIECE_MODEL, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier and their site don't speak against. Null and empty texts are
+    judged by their site, repeated rows each; an empty table stays empty."""
     return quality.keep_quality(docs, table(spark, sf_dir, "labels"), "source", "lang")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five words a shingle, similarity 0.8. One row of each group stays, repeated ones and copies included."""
+    """Five words a shingle, similarity 0.8. One row of each group stays, repeated ones and copies included;
+    rows without words are in no group and all stay."""
     return minhash.first_of_groups(docs, shingle=5)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontam.find_contamination(docs, table(spark, sf_dir, "benchmark")).filter("contaminated")
-    leaks = found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left_anti")
+    """Rows without ten words in a row of a benchmark item, or a whole shorter item. Exact matches decide, so
+    only those are looked for. Rows of one id are told apart by their text; null and empty texts stay."""
+    found = decontam.find_contamination(docs, table(spark, sf_dir, "benchmark"), near=10).filter("contaminated")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.struct(*docs.columns).alias("row"))
+    leaks = found.select("doc_id", "text_hash").distinct()
+    same = rows["doc_id"].eqNullSafe(leaks["doc_id"]) & (rows["text_hash"] == leaks["text_hash"])
+    return rows.join(leaks, same, "left_anti").select("row.*")
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row, secrets in its text replaced by a mark and ``n_chars`` counted anew; null texts stay null."""
     redacted = secrets.redact_secrets(docs)
     return redacted.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def piece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every text in place of it; null texts have null ids, empty ones none."""
     return pieces.encode_texts(docs.select("doc_id", "text", "lang", "source"), PIECE_MODEL).drop("text")
 
 
