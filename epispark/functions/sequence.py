@@ -20,6 +20,7 @@ UNSUPPORTED = "Unsupported reference base"
 BAD_CENTER = "Center is not CG"
 TOO_UNKNOWN = "Unknown fraction above threshold"
 VALID = "Valid"
+FAILURES = (MISSING, BAD_LENGTH, UNSUPPORTED, BAD_CENTER, TOO_UNKNOWN)
 
 
 def count_outside(sequence: Column, alphabet: str) -> Column:

@@ -38,10 +38,25 @@ def require_at_least(df: DataFrame, column: str, floor: float, message: str) ->
     require_empty(df.filter(F.col(column) < floor), message)
 
 
+def require_share(part: int | None, whole: int | None, floor: float, message: str) -> None:
+    """Raise if ``part`` is below the share ``floor`` of ``whole``; nothing of nothing passes."""
+    if whole and (part or 0) / whole < floor:
+        raise ValueError(f"{message}: {part} of {whole}")
+
+
+def require_none(count: int | None, message: str) -> None:
+    """Raise if offending rows were counted."""
+    if count:
+        raise ValueError(f"{message}: {count} rows")
+
+
 def require_same_count(left: DataFrame, right: DataFrame, message: str) -> None:
-    counts = left.count(), right.count()
-    if counts[0] != counts[1]:
-        raise ValueError(f"{message}: {counts[0]} and {counts[1]} rows")
+    require_equal(left.count(), right.count(), message)
+
+
+def require_equal(left: int, right: int, message: str) -> None:
+    if left != right:
+        raise ValueError(f"{message}: {left} and {right} rows")
 
 
 def alignment(left: DataFrame, right: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -115,3 +116,38 @@ def score(model: LogisticRegressionModel, rows: DataFrame) -> DataFrame:
     return scored.withColumn("score", F.get(vector_to_array("probability"), F.lit(1))).drop(
         "_features", "probability"
     )
+
+
+def optimum_conditions(
+    model: LogisticRegressionModel, rows: DataFrame, l1: float = 0.0, l2: float = 1e-4, tolerance: float = 1e-5
+) -> DataFrame:
+    """Whether the model is at the optimum of ``fit_weighted_classifier``: ``dim``, ``coefficient``, ``slope``, ``satisfied``.
+
+    ``dim`` is -1 for the intercept. The penalties are on coefficients of features scaled to
+    unit deviation. A slope, the loss's with the L2 part, must be 0 for the intercept and with
+    L2 alone; with an L1 part it must be ``l1`` times the deviation against the sign of a
+    coefficient, and no steeper than that where the coefficient is 0. One pass sums vectors.
+    """
+    counts = rows.agg(
+        F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg")
+    ).first()
+    weight = F.when(F.col("label") == 1, counts["neg"] / counts["pos"]).otherwise(1.0)
+    scored = score(model, rows).select(
+        F.col("features").cast("array<double>").alias("x"), weight.alias("w"),
+        (weight * (F.col("score") - F.col("label").cast("double"))).alias("r"),
+    )
+    vector = array_to_vector("x")
+    scaled = array_to_vector(F.transform("x", lambda v: v * F.col("r")))
+    sums = scored.agg(
+        F.sum("w").alias("total"), F.sum("r").alias("residual"), vector_to_array(Summarizer.sum(scaled)).alias("g"),
+        vector_to_array(Summarizer.variance(vector, F.col("w"))).alias("v"),
+    ).first()
+    total, spread = sums["total"], np.sqrt(np.array(sums["v"]))
+    beta = model.coefficients.toArray()
+    slope = np.array(sums["g"]) / total + l2 * spread**2 * beta
+    bound = l1 * spread
+    met = np.where(beta != 0, np.abs(slope + bound * np.sign(beta)) <= tolerance, np.abs(slope) <= bound + tolerance)
+    intercept = float(sums["residual"] / total)
+    found = [(-1, float(model.intercept), intercept, bool(abs(intercept) <= tolerance))]
+    found += [(j, float(b), float(s), bool(m)) for j, (b, s, m) in enumerate(zip(beta, slope, met))]
+    return rows.sparkSession.createDataFrame(found, "dim int, coefficient double, slope double, satisfied boolean")

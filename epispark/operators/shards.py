@@ -12,6 +12,11 @@ from epispark.operators.calls import SITE_KEY
 from epispark.operators.indexing import hash_blocks, position_blocks, with_row_index
 
 
+MANIFEST_COLUMNS = (
+    "split", "shard_index", "file", "row_count", "codes_width", "dtype", "shard_size", "total_rows", "shard_count"
+)
+
+
 def encode_windows(windows: DataFrame) -> DataFrame:
     """Both encodings of a window, stored as small integers and expanded on reading."""
     return windows.withColumn("base_codes", S.base_codes(F.col("sequence"))).withColumn(

@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from epispark.functions import sequence as S
 from epispark.operators import audit
 from epispark.operators import calls as C
 from epispark.operators import genome as G
 from epispark.operators import quality as Q
 from epispark.operators import splits as X
 from epispark.params import Params
-from epispark.sources import tables
+from epispark.sources import tables, versions
+from epispark.sources.staging import written
 
 
 @dataclass(frozen=True)
@@ -23,30 +25,21 @@ class Dataset:
     dropped: DataFrame
 
 
-def _stage(df: DataFrame, path: str) -> DataFrame:
-    """Written once beside the results, for steps that read it more than once."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def checked_pairs(calls: DataFrame, params: Params, path: str) -> DataFrame:
-    """Counts of both replicates per site, after the two-strand guard.
+    """Counts of both replicates per site, after the two-strand guard, whose figures are taken
+    while the pairs are written: the calls are read once and the pairs not again."""
 
-    Written once: the guard and the consensus both read it, and it is as small as the
-    sites, not the calls.
-    """
-    pairs = _stage(C.pair_replicates(C.stranded_counts(calls, params.chroms)), f"{path}/stages/pairs")
-    fractions = pairs.agg(*[
-        F.avg(
-            F.when(F.col(f"strand_row_count_rep{rep}") > 0,
-                   (F.col(f"strand_row_count_rep{rep}") == 2).cast("int"))
-        ).alias(f"rep{rep}")
-        for rep in (1, 2)
-    ])
+    def sites(rep: int, least: int) -> Column:
+        return F.count_if(F.col(f"strand_row_count_rep{rep}") >= least)
+
+    pairs, seen = written(
+        C.pair_replicates(C.stranded_counts(calls, params.chroms)), f"{path}/stages/pairs",
+        **{f"rep{rep}_{n}": sites(rep, n) for rep in (1, 2) for n in (1, 2)},
+    )
     for rep in (1, 2):
-        audit.require_at_least(
-            fractions, f"rep{rep}", params.min_two_strand_fraction,
-            "too few sites are supported by both strands",
+        audit.require_share(
+            seen[f"rep{rep}_2"], seen[f"rep{rep}_1"], params.min_two_strand_fraction,
+            f"too few sites of replicate {rep} are supported by both strands",
         )
     return pairs
 
@@ -60,7 +53,10 @@ def build_dataset(calls: DataFrame, tiles: DataFrame, params: Params, path: str)
         "consensus_methylation_ratio",
     )
     found = G.site_windows(consensus, tiles, params.tile_width, params.window)
-    windows = _stage(found, f"{path}/stages/windows")
+    status = S.window_status(F.col("sequence"), params.window, params.max_unknown_fraction)
+    windows, seen = written(
+        found, f"{path}/stages/windows", **{f"status_{k}": F.count_if(status == s) for k, s in enumerate(S.FAILURES)}
+    )
     valid = Q.valid_windows(windows, params.window, params.max_unknown_fraction)
     split = X.split_sites(valid)
     tables.write_splits(split, f"{path}/sites")
@@ -68,5 +64,11 @@ def build_dataset(calls: DataFrame, tiles: DataFrame, params: Params, path: str)
     summary = X.split_summary(sites)
     tables.write_summary(summary, f"{path}/split_summary")
     audit.require_empty(X.shared_groups(sites), "a chromosome is in two splits")
-    dropped = Q.status_counts(Q.window_status(windows, params.window, params.max_unknown_fraction))
+    counted = [(s, seen[f"status_{k}"]) for k, s in enumerate(S.FAILURES) if seen[f"status_{k}"]]
+    dropped = calls.sparkSession.createDataFrame(counted, Q.status_counts(Q.window_status(windows, params.window, 0.0)).schema)
     return Dataset(sites, summary, dropped)
+
+
+def publish_dataset(calls: DataFrame, tiles: DataFrame, params: Params, path: str) -> Dataset:
+    """``build_dataset`` as a new version of ``path``, current once its guards have passed."""
+    return versions.publish(calls.sparkSession, path, lambda folder: build_dataset(calls, tiles, params, folder))

@@ -13,7 +13,8 @@ from epispark.operators import nodes as N
 from epispark.operators import quality as Q
 from epispark.operators import shards as D
 from epispark.params import Params
-from epispark.sources import tables
+from epispark.sources import files, tables, versions
+from epispark.sources.shard_files import write_shard_files
 from epispark.sources.staging import staged
 
 
@@ -25,23 +26,29 @@ class Shards:
 
 
 def build_shards(sites: DataFrame, params: Params, path: str) -> Shards:
-    """Write ``shards`` with both encodings, ``manifest`` (one object per split, its shards by
-    folder inside ``shards``) and ``extraction_summary``.
+    """Write ``shards`` with both encodings, one file each, ``manifest`` (objects per split that list
+    its shards by file inside ``shards``) and ``extraction_summary``.
 
-    Both encodings stay in one row, so they cannot fall out of step.
+    Both encodings stay in one row, so they cannot fall out of step. The manifest comes from
+    what the tasks have written; the shards are not read for it.
     """
     rows = sites.select("split", "chrom", "canonical_position", "label", "sequence")
     audit.require_empty(Q.invalid_windows(rows, params.window), "windows of a wrong length or alphabet")
     coded = D.encode_windows(D.assign_shards(rows, params.shard_size)).drop("sequence", "row_index")
-    tables.write_shards(coded, f"{path}/shards")
-    written = sites.sparkSession.read.parquet(f"{path}/shards")
-    manifest = D.shard_manifest(written, "pair_codes", params.shard_size)
-    tables.write_json(D.nest_manifest(manifest), f"{path}/manifest")
+    write_shard_files(coded, f"{path}/shards", f"{path}/manifest", "pair_codes", params.shard_size)
+    spark = sites.sparkSession
+    written = spark.read.parquet(f"{path}/shards")
+    manifest = D.explode_manifest(files.read_manifests(spark, f"{path}/manifest")).select(*D.MANIFEST_COLUMNS)
     summary = D.extraction_summary(manifest)
     tables.write_json(summary, f"{path}/extraction_summary")
     return Shards(written, manifest, summary)
 
 
+def publish_shards(sites: DataFrame, params: Params, path: str) -> Shards:
+    """``build_shards`` as a new version of ``path``, current once its checks have passed."""
+    return versions.publish(sites.sparkSession, path, lambda folder: build_shards(sites, params, folder))
+
+
 def check_alignment(
     shards: DataFrame, other: DataFrame, site_nodes: DataFrame, nodes: DataFrame, params: Params
 ) -> None:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from epispark.functions.coordinates import normalize_chrom
+from epispark.functions.vectors import all_finite
 from epispark.operators import audit
 from epispark.operators import balance as B
 from epispark.operators import genome as G
@@ -19,7 +20,8 @@ from epispark.operators import nodes as N
 from epispark.operators import quality as Q
 from epispark.params import Params
 from epispark.schemas import NODE_EMBEDDINGS
-from epispark.sources import tables
+from epispark.sources import tables, versions
+from epispark.sources.staging import written
 
 
 @dataclass(frozen=True)
@@ -58,10 +60,9 @@ def build_graph(sizes: DataFrame, contacts: DataFrame, params: Params, path: str
     adjacency = H.symmetric_edges(inside, offsets, params.drop_diagonal)
     kept = H.topk_union(adjacency, params.top_k)
     featured = H.edge_features(kept, nodes, params.bin_width, params.max_contact_bins)
-    featured.write.mode("overwrite").parquet(f"{path}/edges")
-    edges = spark.read.parquet(f"{path}/edges")
-    vectors = edges.select("src", "dst", F.array(*H.EDGE_FEATURES).alias("features"))
-    audit.require_empty(audit.nonfinite_vectors(vectors, "features"), "edge features are not finite")
+    finite = all_finite(F.array(*H.EDGE_FEATURES))
+    edges, seen = written(featured, f"{path}/edges", wrong=F.count_if(~finite))
+    audit.require_none(seen["wrong"], "edge features are not finite")
     return Graph(nodes, edges)
 
 
@@ -122,11 +123,12 @@ def build_node_features(nodes: DataFrame, pooled: DataFrame, params: Params, pat
     else:
         full = covered.withColumnRenamed("embedding", "features")
     kept = full.select("node_index", *N.BIN_KEY, "covered", "sample_count", "features")
-    kept.write.mode("overwrite").parquet(f"{path}/node_features")
-    written = nodes.sparkSession.read.parquet(f"{path}/node_features")
-    audit.require_same_count(nodes, written, "nodes were lost or doubled")
-    audit.require_empty(audit.nonfinite_vectors(written, "features"), "node features are not finite")
-    return written
+    features, seen = written(
+        kept, f"{path}/node_features", rows=F.count("*"), wrong=F.count_if(~all_finite(F.col("features")))
+    )
+    audit.require_equal(nodes.count(), seen["rows"] or 0, "nodes were lost or doubled")
+    audit.require_none(seen["wrong"], "node features are not finite")
+    return features
 
 
 def link_sites(sites: DataFrame, nodes: DataFrame, params: Params, path: str) -> DataFrame:
@@ -134,7 +136,13 @@ def link_sites(sites: DataFrame, nodes: DataFrame, params: Params, path: str) ->
     linked = N.site_to_node(sites, H.chrom_offsets(nodes), params.bin_width).select(
         "split", "chrom", "canonical_position", "node_index"
     )
-    linked.write.mode("overwrite").partitionBy("split").parquet(f"{path}/site_nodes")
-    written = sites.sparkSession.read.parquet(f"{path}/site_nodes")
-    audit.require_empty(N.unmapped_sites(written), "sites lie outside all bins")
-    return written
+    found, seen = written(
+        linked, f"{path}/site_nodes", ("split",), unmapped=F.count_if(F.col("node_index").isNull())
+    )
+    audit.require_none(seen["unmapped"], "sites lie outside all bins")
+    return found
+
+
+def publish_graph(sizes: DataFrame, contacts: DataFrame, params: Params, path: str) -> Graph:
+    """``build_graph`` as a new version of ``path``, current once its guards have passed."""
+    return versions.publish(sizes.sparkSession, path, lambda folder: build_graph(sizes, contacts, params, folder))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def staging_folder(spark: SparkSession) -> str:
@@ -28,3 +28,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = f"{staging_folder(df.sparkSession)}/stage-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def written(df: DataFrame, path: str, partition_by: tuple[str, ...] = (), **figures: Column) -> tuple[DataFrame, dict]:
+    """Write ``df``, and return it read back with ``figures`` (aggregates) taken over the rows as they were written.
+
+    Nothing is read again for them. They are exact though tasks may run more than once: the
+    write is the last stage, where Spark counts each partition once. ``df`` must therefore not
+    be moved behind this. A figure of a table that turns out to be empty may be missing: None.
+    """
+    seen = Observation()
+    df.observe(seen, *[column.alias(name) for name, column in figures.items()]).write.mode("overwrite").partitionBy(
+        *partition_by
+    ).parquet(path)
+    found = seen.get
+    return df.sparkSession.read.schema(df.schema).parquet(path), {name: found.get(name) for name in figures}

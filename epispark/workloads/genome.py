@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from epispark.functions import sequence as S
 from epispark.operators import audit, genome as G, indexing as I, nodes as N, quality as Q
-from epispark.operators import shards as D
+from epispark.operators import epochs as E, shards as D
 from epispark.sources import files, properties as P
 from epispark.sources.staging import staged
 from epispark.workloads.bindings import PARAMS, Tables
@@ -250,6 +250,17 @@ def worker_shards(t: Tables):
     return ordered.select("split", "shard_index", "place", "worker")
 
 
+@query(f"""SELECT r.split, r.shard_index, chrom, canonical_position, w.i % 4 AS worker FROM b_sharded r JOIN (
+             SELECT split, shard_index,
+                    row_number() OVER (PARTITION BY split ORDER BY {_SHARD_KEY}, shard_index) - 1 AS i
+             FROM b_shards) w ON w.split = r.split AND w.shard_index = r.shard_index""")
+def buffered_epoch(t: Tables):
+    """Every row once, with the worker of its shard; the order inside a worker is no SQL."""
+    rows = t.sharded.select("split", "shard_index", *_SITE, "row_index")
+    read = E.buffered_epoch(rows, ["row_index"], seed=42, epoch=3, workers=4, buffer_rows=200)
+    return read.select("split", "shard_index", *_SITE, "worker")
+
+
 _KEYED = "md5(concat_ws('|', chrom, canonical_position, '45'))"
 
 

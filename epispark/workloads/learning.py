@@ -154,6 +154,29 @@ def weighted_classifier_fit(t: Tables):
     return learn.score(model, rows).select("vec_id", "label", F.round("score", 4).alias("score"))
 
 
+def _optimum(t: Tables, l1: float, l2: float):
+    """Conditions of the optimum over all features, for one class against the rest."""
+    rows = t.table("embeddings").select(
+        F.col("embedding").alias("features"), (F.col("label") < 3).cast("int").alias("label")
+    )
+    model = learn.fit_weighted_classifier(rows, l1=l1, l2=l2, max_iter=500, tol=1e-12)
+    return learn.optimum_conditions(model, rows, l1, l2).select("dim", "satisfied")
+
+
+_OPTIMUM = """SELECT CAST(unnest(range(-1, len(embedding))) AS INTEGER) AS dim, true AS satisfied
+              FROM (SELECT embedding FROM embeddings LIMIT 1) e"""
+
+
+@query(_OPTIMUM)
+def classifier_optimum(t: Tables):
+    return _optimum(t, l1=0.0, l2=1e-3)
+
+
+@query(_OPTIMUM)
+def sparse_classifier_optimum(t: Tables):
+    return _optimum(t, l1=5e-3, l2=1e-3)
+
+
 @query("""
     WITH k AS (
       SELECT chrom, canonical_position,
