@@ -88,3 +88,26 @@ def write_pending(rows: DataFrame, path: str, partition: str = "chrom") -> None:
         .partitionBy(partition)
         .parquet(path)
     )
+
+
+def write_bucketed(rows: DataFrame, name: str, path: str, keys: Sequence[str], buckets: int) -> DataFrame:
+    """A table kept at ``path``, its rows dealt and sorted by ``keys`` once and for all.
+
+    A join on exactly these keys leaves it where it is and deals out the other side only,
+    as long as it has no fewer ``buckets`` than ``spark.sql.shuffle.partitions``. Returns the table.
+    """
+    (
+        rows.repartition(buckets, *keys).write.mode("overwrite").option("path", path)
+        .bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name)
+    )
+    return rows.sparkSession.table(name)
+
+
+def write_tiles(tiles: DataFrame, name: str, path: str, buckets: int) -> DataFrame:
+    """Genome tiles for ``site_windows``: written once for an assembly, joined by many sets of sites."""
+    return write_bucketed(tiles, name, path, ("chrom", "tile_no"), buckets)
+
+
+def write_node_embeddings(pooled: DataFrame, name: str, path: str, buckets: int) -> DataFrame:
+    """Pooled embeddings for ``node_features``: the vectors stay where they are, the bare nodes move."""
+    return write_bucketed(pooled, name, path, ("chrom", "bin_start"), buckets)
