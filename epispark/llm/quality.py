@@ -157,14 +157,36 @@ def _strength(groups: DataFrame) -> tuple[float, float]:
     return mean, min(max(mean * (1 - mean) / spread - 1, 1.0), 1e6) if spread > 1e-9 else 1e6
 
 
+def _nested_strength(paths: DataFrame, hosts: DataFrame) -> float:
+    """How many documents a host's mean is worth for its paths, from the spread of the paths'
+    means around their own host's beyond what chance explains."""
+    p = paths.agg(
+        F.count("*").alias("g"), F.sum("n").alias("n"), F.sum("q").alias("q"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("inner"),
+    ).first()
+    if not p.g:
+        return 1e6
+    h = hosts.agg(
+        F.count("*").alias("g"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("outer"),
+        F.sum(F.col("nn") / F.col("n")).alias("share"), F.sum(F.col("s") - F.col("s") * F.col("s") / F.col("n")).alias("odd"),
+    ).first()
+    within = max(p.q - p.inner, 0.0) / max(p.n - p.g, 1)
+    spread = (p.inner - h.outer - (p.g - h.g) * within) / max(p.n - h.share, 1e-9)
+    return min(max(h.odd / p.n / spread - 1, 1.0), 1e6) if spread > 1e-9 else 1e6
+
+
 def _sites(scored: DataFrame) -> tuple[DataFrame, float, float, float]:
     """Documents and sum of verdicts per path and per host, the prior, and both strengths."""
     p = _probability(F.col("_evidence"))
     sums = [F.count("*").cast("double").alias("n"), F.sum(p).alias("s"), F.sum(p * p).alias("q")]
     paths = saved(scored.groupBy("_host", "_path").agg(*sums), "paths")
-    hosts = saved(paths.groupBy("_host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q")), "hosts")
+    hosts = saved(
+        paths.groupBy("_host").agg(
+            *[F.sum(c).alias(c) for c in ("n", "s", "q")], F.sum(F.col("n") * F.col("n")).alias("nn")
+        ),
+        "hosts",
+    )
     prior, host_strength = _strength(hosts)
-    _, path_strength = _strength(paths)
+    path_strength = _nested_strength(paths, hosts)
     totals = hosts.select("_host", F.col("n").alias("_host_n"), F.col("s").alias("_host_s"))
     named = paths.join(totals, "_host").select(
         "_host", "_path", F.col("n").alias("_path_n"), F.col("s").alias("_path_s"), "_host_n", "_host_s")
@@ -200,7 +222,8 @@ def score_quality(
     A classifier on features of whole texts is fitted on at most ``sample`` labelled
     documents. Its verdicts on all documents are summed per path and host. A host's mean is
     shrunk toward the mean of all documents, a path's toward its host's; how strongly is
-    estimated from the spread of the means (empirical Bayes, by moments). The score adds the
+    estimated from the spread of the means, of paths around their own host's (empirical
+    Bayes, by nested moments). The score adds the
     path's log-odds, taken without the document itself, to those of the text.
 
     Sums are made before anything is shuffled, so a host may hold any share of the rows; a

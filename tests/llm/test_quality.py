@@ -52,7 +52,18 @@ def test_posteriors_by_hand(spark):
         return mean, max(mean * (1 - mean) / spread - 1, 1) if spread > 1e-9 else 1e6
 
     hosts, paths = sums(lambda i: site[i][0]), sums(lambda i: site[i])
-    (prior, a), (_, b) = strength(hosts), strength(paths)
+    # Paths around their own host's mean, one host after the other.
+    inside = expected = kept = odd = 0.0
+    within = sum(q - s * s / n for n, s, q in paths.values()) / (len(p) - len(paths))
+    for h, (n, s, _) in hosts.items():
+        own = [v for (name, _), v in paths.items() if name == h]
+        inside += sum(m * (t / m - s / n) ** 2 for m, t, _ in own)
+        expected += (len(own) - 1) * within
+        kept += n - sum(m * m for m, _, _ in own) / n
+        odd += n * (s / n) * (1 - s / n)
+    spread = (inside - expected) / kept
+    b = max(odd / len(p) / spread - 1, 1) if spread > 1e-9 else 1e6
+    prior, a = strength(hosts)
     odds = lambda x: math.log(x / (1 - x))
     for r in rows:
         n, s, _ = hosts[site[r.doc_id][0]]
