@@ -64,10 +64,12 @@ def _bags(part: pa.RecordBatch, known: np.ndarray):
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, learned: Column, doc_id: str, text: str, label: str, sample: int) -> DataFrame:
-    """Texts and labels of at most ``sample`` documents, those with the smallest hashes."""
+    """Texts and labels of at most ``sample`` documents that there are, those with the smallest hashes.
+    Of rows with one id and unlike texts the smallest text is taken."""
+    there = docs.select(F.col(doc_id).alias("_id")).distinct()
     chosen = (
         labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("double").alias("_y"), learned.alias("_in")).dropna()
-        .filter("_in").groupBy("_id").agg((F.avg("_y") >= 0.5).cast("int").alias("_y"))
+        .filter("_in").join(there, "_id", "left_semi").groupBy("_id").agg((F.avg("_y") >= 0.5).cast("int").alias("_y"))
         .orderBy(F.xxhash64(F.col("_id").cast("string")), "_id").limit(sample)
     )
     texts = docs.select(F.col(doc_id).alias("_id"), F.coalesce(text, F.lit("")).alias("_text"))

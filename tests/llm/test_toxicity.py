@@ -80,3 +80,10 @@ def test_one_kind_of_label_or_none(spark):
         rows = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, model).collect()}
         assert low <= rows[1] <= high and rows[2] == 0 and len(rows) == 3
     assert toxicity.score_toxicity(docs.limit(0), model).count() == 0
+
+
+def test_labels_without_a_document_take_no_place_in_the_sample(spark):
+    docs = spark.createDataFrame([(i, "vile words" if i % 2 else "kind words") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4000)], "doc_id long, toxic int")
+    rows = toxicity._labelled(docs, labels, F.lit(True), "doc_id", "text", "toxic", 40).collect()
+    assert sorted(r._id for r in rows) == list(range(40))
