@@ -16,6 +16,7 @@ class Automaton:
 
     States are numbered in steps of the number of byte classes, ``start`` is where a text
     begins, ``rules[state // width]`` holds the numbers of the patterns that end there.
+    ``dead`` is the state that nothing can be reached from, or -1.
     """
 
     classes: bytes
@@ -24,21 +25,55 @@ class Automaton:
     accepting: int
     width: int
     rules: list[tuple[int, ...]]
+    dead: int = -1
 
     def matching(self, text: bytes) -> set[int]:
-        """The patterns that occur in ``text``, found in one pass over its bytes."""
-        steps, state, accepting, ended = self.steps, self.start, self.accepting, set()
-        for c in text.translate(self.classes):
+        """The patterns that occur in ``text``."""
+        return set(self.ends(text))
+
+    def ends(self, text: bytes) -> dict[int, int]:
+        """The patterns that occur in ``text`` and where the last match of each ends, found in
+        one pass over its bytes."""
+        steps, state, accepting, last = self.steps, self.start, self.accepting, {}
+        for i, c in enumerate(text.translate(self.classes), 1):
             state = steps[state + c]
             if state >= accepting:
-                ended.add(state)
-        return {k for s in ended for k in self.rules[s // self.width]}
+                last[state] = i
+        ends: dict[int, int] = {}
+        for s, i in last.items():
+            for k in self.rules[s // self.width]:
+                ends[k] = max(ends.get(k, 0), i)
+        return ends
+
+    def places(self, text: bytes) -> list[int]:
+        """How many bytes are read each time that a pattern has just been matched."""
+        steps, state, accepting, found = self.steps, self.start, self.accepting, []
+        for i, c in enumerate(text.translate(self.classes), 1):
+            state = steps[state + c]
+            if state >= accepting:
+                found.append(i)
+        return found
+
+    def longest(self, coded: bytes, at: int) -> tuple[int, tuple[int, ...]]:
+        """Where the longest match from ``at`` ends (-1: nowhere), and its patterns; for an anchored
+        automaton. ``coded`` is the text translated by ``classes``; reads to the end of the match
+        and on until none can follow."""
+        steps, state, end, held = self.steps, self.start, -1, self.start
+        for i in range(at, len(coded)):
+            state = steps[state + coded[i]]
+            if state >= self.accepting:
+                end, held = i + 1, state
+            elif state == self.dead:
+                break
+        return end, self.rules[held // self.width]
 
 
 class _Net:
-    """A nondeterministic automaton: edges on sets of bytes, and empty ones."""
+    """A nondeterministic automaton: edges on sets of bytes, and empty ones. With ``turned`` it
+    reads what a pattern matches from its end."""
 
-    def __init__(self):
+    def __init__(self, turned: bool):
+        self.turned = turned
         self.free: list[list[int]] = []
         self.edges: list[tuple[frozenset[int], int] | None] = []
 
@@ -56,7 +91,7 @@ class _Net:
         return b
 
     def build(self, tree, at: int, flags: int) -> int:
-        for kind, arg in tree:
+        for kind, arg in reversed(tree) if self.turned else tree:
             at = self.part(kind, arg, at, flags)
         return at
 
@@ -114,21 +149,16 @@ def _bytes_of(kind, arg, flags: int) -> set[int]:
     return set(range(256)) - held if turned else held
 
 
-def compile_patterns(patterns: list[bytes], most_states: int = 50_000) -> Automaton:
-    """One minimal automaton that tells which of ``patterns`` end at each byte of a text."""
-    net = _Net()
-    root = net.state()
-    ends = {}
-    for k, pattern in enumerate(patterns):
-        begin = net.state()
-        net.link(root, begin)
-        ends[net.build(_parser.parse(pattern), begin, 0)] = k
-
-    sets = {held for edge in net.edges if edge for held in [edge[0]]}
+def _classes(sets: set[frozenset[int]]) -> tuple[bytes, list[int]]:
+    """A class for every byte, equal for bytes that no set tells apart, and one byte of each class."""
     kinds: dict[tuple[bool, ...], int] = {}
     classes = bytes(kinds.setdefault(tuple(b in s for s in sets), len(kinds)) for b in range(256))
-    sample = [classes.index(c) for c in range(len(kinds))]
+    return classes, [classes.index(c) for c in range(len(kinds))]
+
 
+def _minimal(net: _Net, root: int, end: int, anchored: bool, sample: list[int], most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Transitions of the minimal automaton, state 0 first, and which states accept. It is built
+    by subset construction; states that no text tells apart are then merged."""
     reach: dict[int, frozenset[int]] = {}
 
     def closure(state: int) -> frozenset[int]:
@@ -139,18 +169,17 @@ def compile_patterns(patterns: list[bytes], most_states: int = 50_000) -> Automa
                 if s not in seen:
                     seen.add(s)
                     todo += net.free[s]
-            reach[state] = frozenset(s for s in seen if net.edges[s] or s in ends)
+            reach[state] = frozenset(s for s in seen if net.edges[s] or s == end)
         return reach[state]
 
     first = closure(root)
     names, todo, rows = {first: 0}, [first], []
-    while todo:
-        if len(names) > most_states:
-            raise ValueError("the patterns need too many states")
+    for now in todo:
+        if len(names) > most:
+            raise ValueError("a pattern needs too many states")
         row = []
-        now = todo.pop(0)
         for byte in sample:
-            after = set(first)
+            after = set() if anchored else set(first)
             for s in now:
                 if net.edges[s] and byte in net.edges[s][0]:
                     after |= closure(net.edges[s][1])
@@ -160,24 +189,57 @@ def compile_patterns(patterns: list[bytes], most_states: int = 50_000) -> Automa
                 todo.append(after)
             row.append(names[after])
         rows.append(row)
-    table = np.array(rows)
-    told = [tuple(sorted({ends[s] for s in held if s in ends})) for held in names]
-
-    outputs: dict[tuple[int, ...], int] = {}
-    label = np.array([outputs.setdefault(t, len(outputs)) for t in told])
+    table, told = np.array(rows), np.array([end in held for held in names])
+    label = told.astype(np.int64)
     while True:
-        _, finer = np.unique(np.column_stack([label, label[table]]), axis=0, return_inverse=True)
+        _, member, finer = np.unique(np.column_stack([label, label[table]]), axis=0, return_index=True, return_inverse=True)
         finer = finer.ravel()
-        if finer.max() == label.max():
+        if len(member) == len(np.unique(label)):
             break
         label = finer
-    _, member = np.unique(label, return_index=True)
-    order = np.argsort([bool(told[m]) for m in member], kind="stable")
+    order = np.argsort(finer[member] != finer[0], kind="stable")
+    rank = np.argsort(order)
+    return rank[finer[table[member[order]]]], told[member[order]]
+
+
+def compile_patterns(
+    patterns: list[bytes], anchored: bool = False, turned: bool = False, most_states: int = 50_000
+) -> Automaton:
+    """One minimal automaton that tells which of ``patterns`` end at each byte of a text.
+
+    Matches may begin anywhere, or with ``anchored`` at the first byte only; with ``turned``
+    the text is given from its end, and beginnings are told. Every pattern gets a minimal
+    automaton; the reachable part of their product tells them all at once, and is minimal
+    as well, for states that differ differ for some pattern.
+    """
+    nets = []
+    for pattern in patterns:
+        net = _Net(turned)
+        root = net.state()
+        nets.append((net, root, net.build(_parser.parse(pattern), root, 0)))
+    classes, sample = _classes({edge[0] for net, _, _ in nets for edge in net.edges if edge})
+    width = len(sample)
+    parts = [_minimal(*net, anchored, sample, most_states) for net in nets]
+
+    names = {(0,) * len(parts): 0}
+    fresh, blocks = np.zeros((1, len(parts)), dtype=np.int64), []
+    while len(fresh):
+        after = np.stack([table[fresh[:, k]] for k, (table, _) in enumerate(parts)], axis=2).reshape(-1, len(parts))
+        known, row = len(names), []
+        for states in map(tuple, after.tolist()):
+            row.append(names.setdefault(states, len(names)))
+        if len(names) > most_states:
+            raise ValueError("the patterns need too many states")
+        blocks.append(np.array(row).reshape(-1, width))
+        fresh = np.array(list(names)[known:], dtype=np.int64).reshape(-1, len(parts))
+    table = np.concatenate(blocks)
+    told = [tuple(k for k, (_, ends) in enumerate(parts) if ends[states[k]]) for states in names]
+    order = np.argsort([bool(t) for t in told], kind="stable")
     rank = np.argsort(order)
-    width = len(kinds)
-    steps = rank[label[table[member[order]]]] * width
-    silent = sum(not told[m] for m in member)
+    steps = rank[table[order]]
+    rules = [told[s] for s in order]
+    dead = [s for s in range(len(rules)) if not rules[s] and (steps[s] == s).all()]
     return Automaton(
-        classes, steps.ravel().tolist(), int(rank[label[0]]) * width, silent * width, width,
-        [told[m] for m in member[order]],
+        classes, (steps * width).ravel().tolist(), int(rank[0]) * width, sum(not t for t in told) * width, width, rules,
+        dead[0] * width if dead else -1,
     )

@@ -1,10 +1,12 @@
-"""Secret scan: all rules in one automaton, one pass over the bytes of a text."""
+"""Secret scan: all rules in one automaton, one pass over the bytes of a text; spans by automata as well."""
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,14 +20,21 @@ from epispark.llm.words import slices, text_bytes
 class Rule:
     """``pattern`` with a part (``group``) of at least ``least`` characters.
 
-    ``sign`` is what every such match begins with; the automaton looks for it.
+    ``whole`` matches what counts, for the rule's own automata: the pattern with that least
+    length in it. ``form`` is the same for the automaton of all rules, where least lengths may be
+    left out: together they need a state for each combination of lengths. With ``consumes`` a
+    match that is too short takes its place all the same. A pattern that is no regular one has
+    its regular beginning as ``whole``, and ``goes_on`` is set.
     """
 
     kind: str
     pattern: str
-    sign: str
+    whole: str
+    form: str
     group: int = 0
     least: int = 1
+    consumes: bool = False
+    goes_on: bool = False
 
 
 # The kinds of secrets and their forms, in the order they are listed.
@@ -42,15 +51,19 @@ _PRIVATE = (
     rf"|[\t ]*{_EOL}{_HEADERS}{_LINES}"
     r"|(?:[\t ]+[A-Za-z0-9+/]{20,}={0,2})++)?"
 )
+_SIGNED = r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"
+_BEGIN = r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
 RULES = (
-    Rule("assign", _ASSIGN.replace("(?i:", "(?ai:") + "+)", _ASSIGN + "{8})", 2, 8),
-    Rule("access", r"AKIA[A-Z0-9]+", r"AKIA[A-Z0-9]{12}", 0, 16),
-    Rule("hex", r"[0-9a-f]+", r"[0-9a-f]{32}", 0, 32),
-    Rule("repo", r"gh[opsu]_[A-Za-z0-9]{36,}", r"gh[opsu]_"),
-    Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{20,}", r"xox[abprs]-"),
-    Rule("live", r"[rs]k_live_[A-Za-z0-9]{16,}", r"[rs]k_live_"),
-    Rule("signed", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", r"eyJ[A-Za-z0-9_-]"),
-    Rule("private", _PRIVATE, r"-----BEGIN "),
+    Rule("assign", _ASSIGN.replace("(?i:", "(?ai:") + "+)", _ASSIGN + "{8,})", _ASSIGN + "{8,})", 2, 8, consumes=True),
+    Rule("access", r"AKIA[A-Z0-9]+", r"AKIA[A-Z0-9]{12,}", r"AKIA[A-Z0-9]+", 0, 16),
+    Rule("hex", r"[0-9a-f]+", r"[0-9a-f]{32,}", r"[0-9a-f]{32,}", 0, 32),
+    *(Rule(kind, pattern, pattern, form) for kind, pattern, form in (
+        ("repo", r"gh[opsu]_[A-Za-z0-9]{36,}", r"gh[opsu]_[A-Za-z0-9]+"),
+        ("chat", r"xox[abprs]-[A-Za-z0-9-]{20,}", r"xox[abprs]-[A-Za-z0-9-]+"),
+        ("live", r"[rs]k_live_[A-Za-z0-9]{16,}", r"[rs]k_live_[A-Za-z0-9]+"),
+        ("signed", _SIGNED, _SIGNED.replace("{10,}", "+")),
+    )),
+    Rule("private", _PRIVATE, _BEGIN, _BEGIN, goes_on=True),
 )
 BASE = ("assign", "access", "hex")
 
@@ -60,21 +73,53 @@ SPANS = T.ArrayType(T.StructType([
 _ARROW_SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _scanner(rules: tuple[Rule, ...]) -> tuple[Automaton, list[re.Pattern]]:
-    return compile_patterns([r.sign.encode() for r in rules]), [re.compile(r.pattern) for r in rules]
-
-
-def _spans(raw: bytes, automaton: Automaton, patterns: list[re.Pattern], rules: tuple[Rule, ...]) -> list[tuple]:
-    kinds = automaton.matching(raw)
-    if not kinds:
+@dataclass(frozen=True)
+class _Bounds:
+    """What finds the bounds of a rule's matches where it occurs: one automaton reads back over the
+    text and tells where matches begin, one reads on from there to the end of the longest."""
+
+    back: Automaton
+    on: Automaton
+    tail: re.Pattern | None
+
+    def spans(self, raw: bytes, last: int) -> list[tuple[int, int]]:
+        coded, at, found = raw.translate(self.on.classes), 0, []
+        text = raw.decode("latin-1") if self.tail else ""
+        for read in reversed(self.back.places(raw[:last][::-1])):
+            start = last - read
+            if start < at:
+                continue
+            at, told = self.on.longest(coded, start)
+            if self.tail:
+                at = self.tail.match(text, start).end()
+            if 0 in told:
+                found.append((start, at))
+        return found
+
+
+@lru_cache(maxsize=8)
+def _scanner(rules: tuple[Rule, ...]) -> tuple[Automaton, list[_Bounds]]:
+    bounds = []
+    for rule in rules:
+        whole = rule.whole.encode()
+        forms = [whole, rule.pattern.encode()] if rule.consumes else [whole]
+        bounds.append(_Bounds(
+            compile_patterns(forms[-1:], turned=True), compile_patterns(forms, anchored=True),
+            re.compile(rule.pattern) if rule.goes_on else None,
+        ))
+    return compile_patterns([r.form.encode() for r in rules]), bounds
+
+
+def _spans(raw: bytes, automaton: Automaton, bounds: list[_Bounds], rules: tuple[Rule, ...]) -> list[tuple]:
+    found = sorted(
+        (a, k, b) for k, last in automaton.ends(raw).items() for a, b in bounds[k].spans(raw, last)
+    )
+    if not found:
         return []
-    text, found = raw.decode(), []
-    for k in sorted(kinds):
-        rule = rules[k]
-        for m in patterns[k].finditer(text):
-            if m.end(rule.group) - m.start(rule.group) >= rule.least:
-                found.append((m.start(), k, m.end()))
-    return [(rules[k].kind, a, b) for a, k, b in sorted(found)]
+    points = None if raw.isascii() else np.append(0, np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80))
+    return [
+        (rules[k].kind, a, b) if points is None else (rules[k].kind, int(points[a]), int(points[b])) for a, k, b in found
+    ]
 
 
 def _each(part: pa.RecordBatch, text: str, scanner, rules) -> list[list[tuple]]:
@@ -89,10 +134,13 @@ def find_secrets(
 ) -> DataFrame:
     """``doc_id`` and ``spans`` (kind, start, end) of every secret, by start and rule.
 
-    Start and end count code points, the end exclusive. The rules' signs are compiled once,
-    on the driver, into one minimal automaton; a task reads each byte of a text once and
-    learns which rules occur. Only for those the bounds of the matches are then taken from
-    the rule's pattern: leftmost, not overlapping within a kind, too short ones dropped.
+    Start and end count code points, the end exclusive. All rules are compiled once, on the
+    driver, into one minimal automaton; a task reads each byte of a text once and learns which
+    rules have a match and where the last one ends. Only from there back the rule's own
+    automaton, turned round, tells the beginnings of its matches, and from the leftmost one on
+    the longest match is read: leftmost, not overlapping within a kind, too short ones dropped.
+    The time is in proportion to the text. What a private key's BEGIN line is followed by is no
+    regular language (the END line repeats its name), so a pattern of ``re`` reads on from there.
 
     One row per row of ``docs``, repeated ones included; a null or empty text has no spans.
     Other columns are not looked at.
