@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from epispark.llm.store import saved
 
 
+def whole_numbers(rows: DataFrame, column: str) -> None:
+    """Raise a TypeError unless ``column`` holds whole numbers (or nothing but nulls)."""
+    kind = rows.schema[column].dataType
+    if not isinstance(kind, (T.IntegralType, T.NullType)):
+        raise TypeError(f"{column} must be whole numbers, not {kind.simpleString()}")
+
+
 def _met(edges: DataFrame, least: DataFrame) -> DataFrame:
     """Edges with what ``least`` says of their ``u``. The join has a key of its own, so Spark
     deals out both sides for it and can split those of a node with very many edges."""

@@ -11,13 +11,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from epispark.llm.groups import in_blocks, map_groups, star
-from epispark.llm.links import components
+from epispark.llm.links import components, whole_numbers
 from epispark.llm.store import saved
 
 #: Vectors of a cell that one task compares with as many others.
 BLOCK = 2048
 #: Added to every bound, far above what rounding can do.
 SLACK = 1e-6
+#: Rotated coordinates are counted in steps, so that every task has the same ones.
+STEPS = 1 << 22
 
 
 def rotation(size: int) -> np.ndarray:
@@ -56,20 +58,44 @@ def _keyed(batches):
             [*batch.columns, pa.array(keys, pa.binary()), pa.array(sizes, pa.int32())], [*batch.schema.names, "key", "size"])
 
 
+def _turned(unit: np.ndarray) -> np.ndarray:
+    """Rotated vectors in whole steps of 2^-22."""
+    return np.rint(unit @ rotation(unit.shape[1]) * STEPS)
+
+
+def _close(x: np.ndarray, budget: float) -> np.ndarray:
+    """Which rows of ``x`` (in steps) are within the squared distance of each other."""
+    x = x / STEPS
+    square = (x * x).sum(axis=1)
+    return square[:, None] + square - 2 * (x @ x.T) <= budget
+
+
+def _able(x: np.ndarray, budget: float, home: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Which pairs of a cell are to be verified there."""
+    able = _close(x, budget) & (home[:, None] | home)
+    if side.any():
+        able &= side[:, None] != side
+    np.fill_diagonal(able, False)
+    return able
+
+
 def _placed(least: float, width: int, grid: int):
-    """Every vector in its home cell of each block, and in the cells before it that it can reach into."""
+    """Every vector in its home cell of each block, and in the cells before it that it can reach
+    into: its key and the coordinates of the block, not the vector."""
 
     def place(batches):
         for batch in batches:
             sizes = batch.column("size").to_numpy()
             for size in np.unique(sizes):
                 part = batch.filter(pa.array(sizes == size))
-                turned = _matrix(part.column("vector")) @ rotation(int(size))
+                turned = _turned(_matrix(part.column("vector")))
+                part = part.select(["key", "label", "size"])
                 blocks, budgets = _budgets(int(size), width, least)
                 for number, (block, budget) in enumerate(zip(blocks, budgets)):
                     reach = np.sqrt(budget) + SLACK
                     step = 3 * reach
-                    x = turned[:, block][:, :grid]
+                    held = turned[:, block].astype(np.int32)
+                    x = held[:, :grid] / STEPS
                     home = np.floor(x / step).astype(np.int64)
                     weights = np.array([1_000_003**k % (1 << 61) for k in range(home.shape[1])], dtype=np.int64)
                     own = home @ weights
@@ -84,12 +110,33 @@ def _placed(least: float, width: int, grid: int):
                         picked = part.take(pa.array(take))
                         yield pa.RecordBatch.from_arrays(
                             [*picked.columns, pa.array(np.full(len(take), number, np.int32)), pa.array(other[take]),
-                             pa.array(np.full(len(take), here))],
-                            [*picked.schema.names, "block", "cell", "home"])
+                             pa.array(np.full(len(take), here)),
+                             pa.ListArray.from_arrays(
+                                 pa.array(np.arange(len(take) + 1, dtype=np.int32) * held.shape[1]),
+                                 pa.array(held[take].ravel()))],
+                            [*picked.schema.names, "block", "cell", "home", "part_of"])
 
     return place
 
 
+def _surviving(least: float, width: int):
+    """Vectors of a cell that another one of it is close to in the cell's block."""
+
+    def survive(table: pa.Table, bounds: np.ndarray):
+        sizes, numbers, homes, sides = (table.column(c).to_numpy() for c in ("size", "block", "home", "side"))
+        kept = np.zeros(table.num_rows, dtype=bool)
+        for a, b in zip(bounds, bounds[1:]):
+            if b - a < 2:
+                continue
+            budget = _budgets(int(sizes[a]), width, least)[1][int(numbers[a])]
+            x = table.column("part_of").slice(a, b - a).combine_chunks().flatten().to_numpy().reshape(b - a, -1)
+            kept[a:b] = _able(x, budget + SLACK, homes[a:b], sides[a:b]).any(axis=1)
+        if kept.any():
+            yield table.select(["key", "label", "size", "block", "cell", "home"]).filter(pa.array(kept))
+
+    return survive
+
+
 def _linked(least: float, width: int):
     """Links inside a cell: for each vector how many vectors it is linked with and the first
     one that it hangs together with. A link is counted in the first block that can tell it."""
@@ -101,26 +148,14 @@ def _linked(least: float, width: int):
         for a, b in zip(bounds, bounds[1:]):
             unit = _matrix(table.column("vector").slice(a, b - a))
             blocks, budgets = _budgets(int(sizes[a]), width, least)
-            turned = np.rint(unit @ rotation(int(sizes[a])) * (1 << 22)) / (1 << 22)
-
-            def close(k, rows):
-                x = turned[rows, blocks[k]]
-                square = (x * x).sum(axis=1)
-                return square[:, None] + square - 2 * (x @ x.T) <= budgets[k]
-
-            rows = np.arange(b - a)
-            able = close(int(numbers[a]), rows)
-            home, side = homes[a:b], sides[a:b]
-            able &= home[:, None] | home
-            if side.any():
-                able &= side[:, None] != side
-            np.fill_diagonal(able, False)
+            turned, number = _turned(unit), int(numbers[a])
+            able = _able(turned[:, blocks[number]], budgets[number], homes[a:b], sides[a:b])
             rows = np.flatnonzero(able.any(axis=1))
             if not len(rows):
                 continue
             able = able[np.ix_(rows, rows)] & (unit[rows] @ unit[rows].T >= least)
-            for k in range(int(numbers[a])):
-                able &= ~close(k, rows)
+            for k in range(number):
+                able &= ~_close(turned[rows][:, blocks[k]], budgets[k])
             links = able @ times[a:b][rows]
             held = np.flatnonzero(links)
             if not len(held):
@@ -150,7 +185,9 @@ def link_vectors(
     3. Each block is a range join: cells three times as wide as the block's reach over its
        first coordinates (the more vectors a label has, the more coordinates); a vector goes
        to its own cell and to those before it that it reaches into, so two in reach meet once.
-    4. In a cell, pairs within the block's budget are verified on the whole vectors. Pairs are
+    4. Cells hold a vector's key and its coordinates in the block. Those that another one of the
+       cell is close to are joined with their whole vectors and placed in the cell again.
+    5. There, pairs within the block's budget are verified on the whole vectors. Pairs are
        counted, in the first block that can tell them, and leave the task as a number per
        vector and a star over what hangs together. A large cell is compared in pairs of blocks.
 
@@ -161,8 +198,9 @@ def link_vectors(
     label, a null, empty or zero vector, or one with a null or non-finite number links with
     nothing; vectors of different lengths do not link. Rows that share an id each count; in
     components the id stands for all of them. A null id has a null ``component_id`` and is
-    kept. Other columns are ignored.
+    kept. Ids are whole numbers; a column of another type is an error. Other columns are ignored.
     """
+    whole_numbers(vectors, vec_id)
     picked = vectors.select(
         F.col(vec_id).cast("long").alias("vec_id"), F.col(label).cast("string").alias("label"), F.col(vector).alias("vector")
     )
@@ -177,17 +215,16 @@ def link_vectors(
     )
     most = classes.groupBy("label", "size").count().agg(F.max("count")).first()[0] or 0
     grid = min(width, max(1, int(np.ceil(np.log(max(most, 1) / BLOCK) / np.log(2))) + 1))
-    placed = saved(
-        classes.mapInArrow(
-            _placed(least, width, grid),
-            f"key binary, label string, size int, vector {kind}, node long, times long, block int, cell long, home boolean",
-        ),
-        "placed",
-    )
     at = ("label", "size", "block", "cell")
+    cells = "key binary, label string, size int, block int, cell long, home boolean"
+    placed = saved(classes.mapInArrow(_placed(least, width, grid), f"{cells}, part_of array<int>"), "placed")
+    surviving = map_groups(
+        in_blocks(placed, at, BLOCK, "key"), (*at, "part"), _surviving(least, width), cells
+    ).dropDuplicates(["key", "block", "cell"])
+    near = saved(surviving.join(classes.select("key", "vector", "node", "times"), "key"), "near")
     found = saved(
         map_groups(
-            in_blocks(placed, at, BLOCK, "key"), (*at, "part"), _linked(least, width),
+            in_blocks(near, at, BLOCK, "key"), (*at, "part"), _linked(least, width),
             "key binary, links long, a long, b long",
         ),
         "links",

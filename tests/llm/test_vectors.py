@@ -75,3 +75,19 @@ def test_corner_cases(spark):
     assert all(got[k] == (0, k, True) for k in (4, 6, 7, 8, 9, 10, 11, 12, 13, 16))
     assert found(spark, [(None, 1, one), (2, 1, one)]) == [(2, 1, 2, True), (None, 1, None, True)]
     assert found(spark, []) == []
+
+
+def test_ids_are_whole_numbers(spark):
+    with pytest.raises(TypeError, match="vec_id"):
+        vectors.link_vectors(spark.createDataFrame([("a", 1, [1.0])], "vec_id string, label int, embedding array<double>"))
+
+
+def test_cells_hold_coordinates_of_their_block(spark):
+    rng = np.random.default_rng(4)
+    keyed = spark.createDataFrame(
+        [(bytes([k]), "1", 20, rng.standard_normal(20).tolist()) for k in range(30)],
+        "key binary, label string, size int, vector array<double>")
+    placed = keyed.mapInArrow(vectors._placed(0.98, 8, 1), (
+        "key binary, label string, size int, block int, cell long, home boolean, part_of array<int>")).collect()
+    assert {(r.block, len(r.part_of)) for r in placed} == {(0, 8), (1, 8), (2, 4)}
+    assert sum(r.home for r in placed) == 90
