@@ -177,6 +177,25 @@ def _blocks(page: _Page) -> list[tuple[int, str, float]]:
     return out
 
 
+def _title(blocks: list[tuple[int, str, float]], tags: list[str], parents: list[int], best: int) -> int | None:
+    """The headline outside the ``best`` element: the only h1 before it, beside it or beside an element
+    around it, and not mostly a link. None if the best element has an h1 or begins with a heading."""
+    around, within, at = {best}, [False] * len(tags), best
+    while parents[at] >= 0:
+        at = parents[at]
+        around.add(at)
+    for k in range(len(tags)):
+        within[k] = k == best or parents[k] >= 0 and within[parents[k]]
+    own = [at for at, _, _ in blocks if within[at]]
+    if any(tags[at] == "h1" for at in own) or own and tags[own[0]] == "h2":
+        return None
+    heads = {at: share for at, _, share in blocks if tags[at] == "h1"}
+    if len(heads) != 1:
+        return None
+    (at, share), = heads.items()
+    return at if at < best and parents[at] in around and share < 0.5 else None
+
+
 def main_text(html: str) -> str:
     """The article of a page: its blocks in page order, with an empty line between two.
 
@@ -186,7 +205,8 @@ def main_text(html: str) -> str:
     element's share of link text. The best element, or the article or main element around
     it, is kept, and beside it those with a fifth of its score and long plain paragraphs;
     lists and divisions in it that are two thirds link text are not, unless an article or
-    main element is around them.
+    main element is around them. A page's only h1 is kept if it stands before the best element,
+    beside it or beside an element around it, and that has no headline of its own.
 
     An element whose name says that it is apart is left out, unless it is or holds an article
     or main element, or most of the page's points (all of them, if the name is not sure).
@@ -259,6 +279,9 @@ def main_text(html: str) -> str:
             plain = links[k] < 0.25 * size[k]
             if score[k] >= least or tags[k] == "p" and plain and size[k] > 80:
                 kept.add(k)
+    title = _title(blocks, tags, parents, best) if best else None
+    if title is not None and title not in apart:
+        kept.add(title)
     inside, article = [False] * len(tags), [False] * len(tags)
     for k in range(len(tags)):
         article[k] = tags[k] in ("article", "main") or parents[k] >= 0 and article[parents[k]]

@@ -122,3 +122,24 @@ def test_unbalanced_markup_takes_time_in_proportion(html):
 def test_a_column_named_like_an_inner_one(spark):
     pages = spark.createDataFrame([(1, "<p>a</p>", "kept", "x")], "page_id long, html string, _html string, text string")
     assert [tuple(r) for r in extract_text(pages).collect()] == [(1, "kept", "a", 1)]
+
+
+def test_a_headline_beside_its_container():
+    text = "A long paragraph of plain words, with a comma, and more of them than a menu has. " * 3
+    body = f"<div id=content><p>{text}</p><p>{text}</p></div>"
+    said = f"{text.strip()}\n\n{text.strip()}"
+    for page in (f"<h1>Title</h1>{body}", f"<div class=page><h1>Title</h1><div>{body}</div></div>"):
+        assert main_text(page) == f"Title\n\n{said}"
+    for page in (
+        f"<h1><a href=/>Site</a></h1>{body}", f"<header><h1>Site</h1></header>{body}", f"<h1 class=banner>Site</h1>{body}",
+        f"<div><h1>Other</h1></div>{body}", f"{body}<h1>Later</h1>", f"<h1>One</h1><h1>Two</h1>{body}",
+    ):
+        assert main_text(page) == said, page
+    own = body.replace("<p>", "<h1>Own</h1><p>", 1)
+    assert main_text(f"<h1>Site</h1>{own}") == f"Own\n\n{said}"
+
+
+def test_a_headline_is_found_in_time_in_proportion():
+    began = time.perf_counter()
+    main_text("<h1>Title</h1>" + "<div>" * 50_000 + "<p>" + "words, " * 50 + "</p>")
+    assert time.perf_counter() - began < 5
