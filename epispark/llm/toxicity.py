@@ -135,7 +135,15 @@ def learn_sentences(
     docs: DataFrame, labels: DataFrame, learned: Column, doc_id: str = "doc_id", text: str = "text",
     label: str = "toxic", sample: int = 20_000, features: int = 1024,
 ) -> SentenceModel:
-    """Fit on at most ``sample`` labelled documents for which ``learned`` holds."""
+    """Fit on at most ``sample`` labelled documents for which ``learned`` holds.
+
+    Two bytes for a word that is one of ``features`` (32,767 at most), and two for its sentence,
+    come to the driver. Labels with a null are none; those of one document are averaged, the
+    smallest of its texts counts, a null text as an empty one. Without documents of both kinds
+    every document gets the same score a sentence.
+    """
+    if features > 32_767:
+        raise ValueError("at most 32,767 features")
     train = _labelled(docs, labels, learned, doc_id, text, label, sample)
     known, positive = _select(train, features)
     if not len(known):
@@ -145,19 +153,24 @@ def learn_sentences(
         for batch in batches:
             for part in slices(batch, "_text"):
                 counts, rows, number, which = _bags(part, known)
-                edges = pa.array(np.searchsorted(rows, np.arange(part.num_rows + 1)).astype(np.int32))
+                fresh = np.flatnonzero(np.diff(number, prepend=-1))  # where a sentence's features begin
+                sizes = np.diff(fresh, append=len(number))
+                texts = np.arange(part.num_rows + 1)
                 yield pa.RecordBatch.from_arrays([
                     part.column("_y"), pa.array(counts.astype(np.int64)),
-                    pa.ListArray.from_arrays(edges, pa.array(number.astype(np.int64))),
-                    pa.ListArray.from_arrays(edges, pa.array(which.astype(np.int32))),
-                ], ["y", "counts", "sentence", "feature"])
-
-    got = train.mapInArrow(bag, "y int, counts long, sentence array<long>, feature array<int>").toArrow().combine_chunks()
-    sizes = got.column("feature").combine_chunks().value_lengths().to_numpy()
+                    pa.ListArray.from_arrays(
+                        pa.array(np.searchsorted(rows[fresh], texts).astype(np.int32)), pa.array(sizes.astype(np.int16))),
+                    pa.ListArray.from_arrays(
+                        pa.array(np.searchsorted(rows, texts).astype(np.int32)), pa.array(which.astype(np.int16))),
+                ], ["y", "counts", "sizes", "feature"])
+
+    got = train.mapInArrow(bag, "y int, counts long, sizes array<short>, feature array<short>").toArrow().combine_chunks()
+    sizes, feature = (got.column(c).combine_chunks() for c in ("sizes", "feature"))
+    each = sizes.flatten().to_numpy()
     weights, bias = fit_noisy_or(
-        got.column("y").to_numpy(), got.column("counts").to_numpy(), np.repeat(np.arange(len(sizes)), sizes),
-        got.column("sentence").combine_chunks().flatten().to_numpy(),
-        got.column("feature").combine_chunks().flatten().to_numpy(), len(known),
+        got.column("y").to_numpy(), got.column("counts").to_numpy(),
+        np.repeat(np.arange(len(feature)), feature.value_lengths().to_numpy()), np.repeat(np.arange(len(each)), each),
+        feature.flatten().to_numpy(), len(known),
     )
     return SentenceModel(known, weights, bias)
 
