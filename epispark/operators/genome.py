@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from epispark.functions.coordinates import bin_start
 from epispark.operators.indexing import even_sample_in_row
 
+# Bins of one row that is dealt out when bins are cut.
+STRETCH = 256
+
 
 def tile_contigs(contigs: DataFrame, tile_width: int, flank: int) -> DataFrame:
     """Tiles of contigs that are small enough to arrive as one string each.
@@ -118,11 +121,20 @@ def sampled_cg_windows(tiles: DataFrame, bin_width: int, window: int, limit: int
 
 
 def genome_bins(chrom_lengths: DataFrame, bin_width: int) -> DataFrame:
-    """Fixed-width bins of every chromosome; an empty chromosome has none."""
-    width = F.lit(bin_width).cast("bigint")
+    """Fixed-width bins of every chromosome; an empty chromosome has none.
+
+    Chromosomes are few and may all come in one task, and the bins cut from one row are
+    held in memory together with what is made of them. So stretches of ``STRETCH`` bins are
+    cut first and dealt out to as many tasks as a shuffle has.
+    """
+    width, stretch = (F.lit(n).cast("bigint") for n in (bin_width, bin_width * STRETCH))
+    tasks = int(chrom_lengths.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    first = F.sequence(F.lit(0).cast("bigint"), F.col("length") - 1, stretch)
+    stretches = chrom_lengths.filter(F.col("length") > 0).select("chrom", "length", F.explode(first).alias("_first"))
+    last = F.least(F.col("_first") + stretch, F.col("length")) - 1
     return (
-        chrom_lengths.filter(F.col("length") > 0)
-        .withColumn("bin_start", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("length") - 1, width)))
+        stretches.repartition(tasks)
+        .withColumn("bin_start", F.explode(F.sequence(F.col("_first"), last, width)))
         .withColumn("bin_end", F.least(F.col("bin_start") + width, F.col("length")))
         .select("chrom", "bin_start", "bin_end")
     )

@@ -127,6 +127,17 @@ def test_genome_bins(spark, length, bins):
     assert values(G.genome_bins(rows, 10), "bin_start", "bin_end") == bins
 
 
+def test_bins_of_one_chromosome_are_dealt_out(spark):
+    length = 10 * (16 * G.STRETCH) + 3
+    sizes = spark.createDataFrame([("chr1", "chr1", length)], "chrom string, raw_name string, length bigint").coalesce(1)
+    nodes = H.node_index(sizes, 10, ["chr1"])
+    assert values(nodes, "node_index", "bin_start", "bin_end") == [
+        (i, 10 * i, min(10 * i + 10, length)) for i in range(16 * G.STRETCH + 1)
+    ]
+    per_task = [r["count"] for r in nodes.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(per_task) == 8 and max(per_task) <= 3 * G.STRETCH
+
+
 # -- window quality ----------------------------------------------------------
 
 
