@@ -17,6 +17,9 @@ BIN_KEY = ("chrom", "bin_start")
 # Width of one step of the exponent when exponentials of any size are summed.
 EXPONENT_STEP = 32
 
+# Width of a block of nodes whose neighbours' vectors are mixed in one task, in longest edges.
+BLOCK_REACHES = 8
+
 
 def pool_embeddings(windows: DataFrame) -> DataFrame:
     """Mean embedding and number of windows of every bin."""
@@ -105,11 +108,12 @@ def neighbour_aggregate(edges: DataFrame, features: DataFrame, score: str, max_b
     """Mean of the neighbours' vectors at every target, weighted by the edges' softmax.
 
     No edge is longer than ``max_bins`` (one that is fails the query). So the nodes are cut
-    into blocks wider than that, a vector goes to its own block and the two beside it, and
-    the edges to the block of their target: three copies of a vector instead of one per
-    edge. A block holds a bounded number of vectors and edges and is summed in one task.
+    into blocks several times wider than that, a vector goes to its own block and, from
+    within ``max_bins`` of an end, to the block beside it, and the edges to the block of their
+    target: one copy of most vectors instead of one per edge. A block holds a bounded number
+    of vectors and edges and is summed in one task.
     """
-    width = max_bins + 1
+    width = BLOCK_REACHES * (max_bins + 1)
     span = F.abs(F.col("src") - F.col("dst"))
     too_long = F.raise_error(F.lit(f"an edge is longer than {max_bins} bins")).cast("bigint")
     home = F.floor(F.col("dst") / F.lit(width))
@@ -120,10 +124,12 @@ def neighbour_aggregate(edges: DataFrame, features: DataFrame, score: str, max_b
         .select("src", "dst", "attention", F.when(span <= max_bins, home).otherwise(too_long).alias("block"))
     )
     own = F.floor(F.col("node_index") / F.lit(width))
+    place = F.pmod("node_index", F.lit(width))
+    before, after = F.when(place < max_bins, own - 1), F.when(place >= width - max_bins, own + 1)
     vectors = features.filter(F.col("features").isNotNull()).select(
         "node_index",
         F.col("features").cast("array<double>").alias("vector"),
-        F.explode(F.array(own - 1, own, own + 1)).alias("block"),
+        F.explode(F.array_compact(F.array(before, own, after))).alias("block"),
     )
 
     def mix(edges: pa.Table, nodes: pa.Table) -> pa.Table:
@@ -135,17 +141,19 @@ def neighbour_aggregate(edges: DataFrame, features: DataFrame, score: str, max_b
         by_target = np.argsort(dst[here], kind="stable")
         dst, place, share = dst[here][by_target], order[place[here][by_target]], share[here][by_target]
         targets, starts = np.unique(dst, return_index=True)
-        found = []
+        means, length = np.empty(0), 0
         if len(targets):
             table = nodes.column("vector").combine_chunks().flatten().to_numpy().reshape(len(known), -1)
-            total = np.add.reduceat(share, starts)
+            total, length = np.add.reduceat(share, starts), table.shape[1]
+            means = np.empty((len(targets), length))
             for lo in range(0, len(targets), 64):
                 a = starts[lo]
                 b = starts[lo + 64] if lo + 64 < len(targets) else len(dst)
                 sums = np.add.reduceat(share[a:b, None] * table[place[a:b]], starts[lo : lo + 64] - a, axis=0)
-                found.extend(sums / total[lo : lo + 64, None])
+                np.divide(sums, total[lo : lo + 64, None], out=means[lo : lo + 64])
+        bounds = pa.array(np.arange(len(targets) + 1, dtype=np.int32) * np.int32(length))
         return pa.table({
-            "dst": pa.array(targets, pa.int64()), "embedding": pa.array(list(found), pa.list_(pa.float64())),
+            "dst": pa.array(targets, pa.int64()), "embedding": pa.ListArray.from_arrays(bounds, pa.array(means.ravel())),
         })
 
     return messages.groupBy("block").cogroup(vectors.groupBy("block")).applyInArrow(

@@ -496,6 +496,30 @@ def test_a_hub_of_full_degree_and_wide_vectors(spark):
         N.neighbour_aggregate(edges, features, "s", cap - 1).collect()
 
 
+def test_neighbours_across_blocks(spark):
+    import numpy as np
+
+    cap, nodes = 3, 4 * N.BLOCK_REACHES * 4
+    vectors = np.random.default_rng(1).random((nodes, 2))
+    features = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "node_index bigint, features array<double>")
+    near = [[j for j in range(i - cap, i + cap + 1) if 0 <= j < nodes] for i in range(nodes)]
+    edges = spark.createDataFrame([(j, i, 0.0) for i in range(nodes) for j in near[i]], "src bigint, dst bigint, s double")
+    mixed = N.neighbour_aggregate(edges, features, "s", cap)
+    found = {r["dst"]: r["embedding"] for r in mixed.collect()}
+    assert len(found) == nodes and all(np.allclose(found[i], vectors[near[i]].mean(axis=0)) for i in range(nodes))
+
+
+def test_most_vectors_are_sent_once(spark, monkeypatch):
+    sent, nodes = [], 16 * N.BLOCK_REACHES * 4
+    cogroup = type(spark.range(1).groupBy("id")).cogroup
+    monkeypatch.setattr(
+        type(spark.range(1).groupBy("id")), "cogroup", lambda a, b: sent.append(b._df.count()) or cogroup(a, b)
+    )
+    features = spark.range(nodes).selectExpr("id AS node_index", "array(1D) AS features")
+    edges = spark.range(nodes).selectExpr("id AS src", "id AS dst", "0D AS s")
+    assert N.neighbour_aggregate(edges, features, "s", 3).count() == nodes and sent[0] <= 1.25 * nodes
+
+
 def test_masked_scores_have_no_weight(spark):
     low = float("-inf")
     rows = [("a", 1.0, [1.0]), ("a", low, [5.0]), ("a", None, [7.0]), ("b", low, [2.0])]
