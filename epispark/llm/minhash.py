@@ -65,12 +65,18 @@ def _key(values: np.ndarray) -> bytes | None:
         return b"".join(np.sum(mix(values * np.uint64(k)), dtype=np.uint64).tobytes() for k in (3, 5))
 
 
-def _bands(low: np.ndarray) -> np.ndarray:
-    """A number for each band of a signature, and for what it holds."""
-    band = np.arange(BANDS, dtype=np.uint64)
-    for k in range(ROWS):
-        band = mix(band * np.uint64(0xD6E8FEB86659FD93) + low.reshape(BANDS, ROWS)[:, k])
-    return band.view(np.int64)
+def _bands(batches):
+    """A row for every band of a set: its number above the low bytes of the band's coordinates.
+
+    Sets that have nothing in common agree in the 40 bits of a band by chance 1 time in 2**40."""
+    place = np.uint64(256) ** np.arange(ROWS, dtype=np.uint64)
+    number = np.arange(BANDS, dtype=np.uint64) << np.uint64(8 * ROWS)
+    for batch in batches:
+        marks = np.frombuffer(b"".join(batch.column("marks").to_pylist()), np.uint8)
+        band = marks.reshape(-1, BANDS, ROWS).astype(np.uint64) @ place + number
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(batch.column("set").to_numpy(), BANDS)), pa.array(band.ravel().view(np.int64))], ["set", "band"]
+        )
 
 
 def _signed(size: int):
@@ -82,9 +88,8 @@ def _signed(size: int):
                 yield pa.RecordBatch.from_arrays([
                     part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([_key(s) for s in sets], pa.binary()),
-                    pa.array([None if x is None else _bands(x) for x in lows], pa.list_(pa.int64())),
                     pa.array([None if x is None else x.astype(np.uint8).tobytes() for x in lows], pa.binary()),
-                ], ["doc_id", "n_shingles", "key", "bands", "marks"])
+                ], ["doc_id", "n_shingles", "key", "marks"])
 
     return sign
 
@@ -163,8 +168,8 @@ def link_near_duplicates(
     is one run, a null or empty one has none and is linked with nothing.
 
     1. Documents with equal sets become one: a 128-bit sum over the set tells.
-    2. Circulant MinHash signs each set; those that share a band form a bucket, which is
-       compared by the low bytes of its signatures. Members that agree often enough and are
+    2. Circulant MinHash signs each set, of which the low bytes are kept; those that share a
+       band form a bucket, which is compared by whole signatures. Members that agree often enough and are
        of like size are candidates. Of a large bucket only a star over what hangs together
        leaves a task, never its pairs.
     3. Candidates that hang together form a cluster, for which the texts are read again.
@@ -184,45 +189,54 @@ def link_near_duplicates(
     if not 80 <= percent <= 100:
         raise ValueError("the bands are laid out for 80 to 100 percent")
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = saved(
-        texts.mapInArrow(
-            _signed(shingle), "doc_id long, n_shingles long, key binary, bands array<long>, marks binary"
-        ),
-        "signed",
-    )
+    signed = saved(texts.mapInArrow(_signed(shingle), "doc_id long, n_shingles long, key binary, marks binary"), "signed")
     # One row for each set, however often its text is repeated; equal sets are signed alike.
     members = saved(
         signed.filter("key is not null and doc_id is not null").groupBy("key").agg(
-            F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n_shingles", "bands", "marks")]
+            F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n_shingles", "marks")]
         ),
         "members",
     )
     classes = members.select("key", "doc_id")
-    banded = members.select("key", F.explode("bands").alias("band"))
-    key = F.struct("band").alias("_key")  # of its own, so that Spark can split a frequent band
-    full = banded.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select(key)
-    placed = banded.select("*", key).join(full, "_key", "left_semi").drop("_key")
-    buckets = saved(placed.join(members.select("key", "doc_id", "n_shingles", "marks"), "key"), "buckets")
+    # Half a key stands for a set on the way; two that agree in it would both come to their buckets.
+    marked = members.select(F.xxhash64("key").alias("set"), "doc_id", "n_shingles", "marks")
+    banded = marked.select("set", "marks").mapInArrow(_bands, "set long, band long")
+    other = F.bitwise_not("band").alias("_key")  # of its own, so that Spark can split a frequent band
+    full = banded.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select(other)
+    placed = banded.select("set", other).join(full, "_key", "left_semi").select("set", F.bitwise_not("_key").alias("band"))
+    buckets = saved(placed.join(marked, "set"), "buckets")
     candidates = map_groups(
-        in_blocks(buckets, ("band",), BLOCK, "key").drop("key"), ("band", "part"), _alike, "a long, b long"
+        in_blocks(buckets, ("band",), BLOCK, "set").drop("set"), ("band", "part"), _alike, "a long, b long"
+    )
+    # Where a text will be compared is known before it is read, so its set is moved there at once.
+    found = components(candidates).withColumnsRenamed({"node": "doc_id", "component": "cluster"})
+    often = signed.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id", F.lit(True).alias("often"))
+    clusters = saved(
+        in_blocks(saved(found, "found"), ("cluster",), BLOCK)
+        .groupBy("doc_id", "cluster").agg(F.collect_list("part").alias("parts")).join(often, "doc_id", "left")
+        .select("doc_id", "cluster", "parts", F.coalesce("often", F.lit(False)).alias("often")),
+        "clusters",
     )
-    clusters = saved(components(candidates), "clusters").withColumnsRenamed({"node": "doc_id", "component": "cluster"})
 
     def read(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = _sets(part, shingle)
                 yield pa.RecordBatch.from_arrays([
-                    part.column("doc_id"), pa.array([_key(s) for s in sets], pa.binary()),
+                    *[part.column(c) for c in ("doc_id", "cluster", "parts")], pa.array([_key(s) for s in sets], pa.binary()),
                     pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
-                ], ["doc_id", "key", "shingles"])
+                ], ["doc_id", "cluster", "parts", "key", "shingles"])
 
-    whole = (
-        texts.join(clusters.select("doc_id"), "doc_id").mapInArrow(read, "doc_id long, key binary, shingles array<long>")
-        .filter("key is not null").dropDuplicates(["doc_id", "key"]).drop("key")
-    )
+    def sets(wanted: str) -> DataFrame:
+        ids = clusters.filter(wanted).drop("often")
+        return texts.join(ids, "doc_id").mapInArrow(
+            read, "doc_id long, cluster long, parts array<string>, key binary, shingles array<long>"
+        ).filter("key is not null")
+
+    # Only the rows of an id that has several are moved to be told apart first.
+    whole = sets("not often").unionByName(sets("often").dropDuplicates(["doc_id", "key"]))
     links = map_groups(
-        in_blocks(clusters, ("cluster",), BLOCK).join(whole, "doc_id"), ("cluster", "part"), _similar(percent), "a long, b long"
+        whole.select("doc_id", "cluster", F.explode("parts").alias("part"), "shingles"), ("cluster", "part"), _similar(percent), "a long, b long"
     )
     return _grouped(signed, classes, components(links), doc_id)
 

@@ -1,8 +1,10 @@
 """Near-duplicate linking against all pairs compared by brute force."""
 
+import os
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from epispark.llm import minhash
@@ -96,3 +98,27 @@ def test_thousands_of_rows_with_one_id(spark, monkeypatch):
     got = found(spark, docs)
     assert {(d, c, k) for d, _, c, k in got if d != 9} == {(7, 3, False), (3, 3, True)} and len(got) == len(docs)
     assert all(c == 3 for _, _, c, _ in got) and sizes[0] <= 40 * 32
+
+
+def test_little_is_stored_and_moved_for_a_text(spark, monkeypatch):
+    kept, own = {}, minhash.saved
+    monkeypatch.setattr(minhash, "saved", lambda df, name: kept.setdefault(name, own(df, name)))
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    docs = [(i, " ".join(edited(rng, base, 0.01 * (i % 3)))) for i in range(400)]
+    assert found(spark, [*docs, docs[7]]) == sorted([*brute(docs, 4), brute(docs, 4)[7]], key=repr)
+    signed = sum(os.path.getsize(f.removeprefix("file://")) for f in kept["signed"].inputFiles())
+    assert "bands" not in kept["signed"].columns + kept["members"].columns and signed < 300 * len(docs)
+    often = {r.doc_id for r in kept["clusters"].filter("often").collect()}
+    assert often == {7} & {r.doc_id for r in kept["clusters"].collect()} and kept["clusters"].count() > 100
+
+
+def test_bands_are_the_low_bytes_of_their_rows():
+    low = np.random.default_rng(3).integers(0, 1 << 32, (3, minhash.ROWS * minhash.BANDS)).astype(np.uint32)
+    low[1, 5:10] = low[0, 5:10]
+    marks = [x.astype(np.uint8).tobytes() for x in low]
+    (rows,) = minhash._bands([pa.record_batch({"set": pa.array([4, 5, 6]), "marks": pa.array(marks, pa.binary())})])
+    band = rows.column("band").to_numpy().reshape(3, minhash.BANDS)
+    assert rows.column("set").to_pylist() == [s for s in (4, 5, 6) for _ in range(minhash.BANDS)]
+    assert np.flatnonzero(band[0] == band[1]).tolist() == [1] and len(np.unique(band)) == 3 * minhash.BANDS - 1
+    assert band[2, 39] == (39 << 40) + int.from_bytes(marks[2][195:], "little")
