@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from epispark.sources.staging import staging_folder
+
 Model = Callable[[list], np.ndarray]
 
 _loaded: dict[str, Model] = {}
@@ -84,7 +87,9 @@ def fit_weighted_classifier(
 ) -> LogisticRegressionModel:
     """Logistic regression on ``features``, positives weighted by negatives per positive.
 
-    ``features`` is an array column. ``l1`` and ``l2`` are the two penalties.
+    ``features`` is an array column. ``l1`` and ``l2`` are the two penalties. The model comes
+    back from the staging folder: as fitted it has a summary that holds the session, which
+    cannot be sent to tasks once figures were taken in it (``sources.staging.written``).
     """
     counts = rows.agg(
         F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg")
@@ -105,7 +110,9 @@ def fit_weighted_classifier(
         maxIter=max_iter,
         tol=tol,
     )
-    return fitted.fit(data)
+    path = f"{staging_folder(rows.sparkSession)}/model-{uuid.uuid4().hex}"
+    fitted.fit(data).write().save(path)
+    return LogisticRegressionModel.load(path)
 
 
 def score(model: LogisticRegressionModel, rows: DataFrame) -> DataFrame:

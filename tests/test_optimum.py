@@ -1,8 +1,10 @@
 """The conditions of the optimum hold for a fitted model and fail for one that is not."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from epispark.operators import learn
+from epispark.sources.staging import written
 
 
 def test_conditions(spark):
@@ -19,3 +21,10 @@ def test_conditions(spark):
         assert not all(r.satisfied for r in learn.optimum_conditions(model, rows, l1 + 0.01, l2).collect())
     early = learn.fit_weighted_classifier(rows, 0.0, 1e-3, max_iter=1)
     assert not all(r.satisfied for r in learn.optimum_conditions(early, rows, 0.0, 1e-3).collect())
+
+
+def test_a_model_scores_after_figures_were_taken(spark, tmp_path):
+    rows = spark.createDataFrame([([float(i % 7)], int(i % 7 > 3)) for i in range(50)], "features array<double>, label int")
+    kept, figures = written(rows, str(tmp_path / "rows"), n=F.count("*"))
+    scores = learn.score(learn.fit_weighted_classifier(kept), kept).collect()
+    assert figures == {"n": 50} and all((r.score > 0.5) == r.label for r in scores)
